@@ -37,8 +37,8 @@ class Cube:
                 raise ValueError(f"unknown bands {missing}; there are {sorted(known)}")
         return replace(self, df=self.df.where(F.col("band").isin(list(names))))
 
-    def band(self, name: str) -> Cube:
-        return Cube(self.bands([name]).df.drop("band"), tuple(d for d in self.dims if d != "band"), name)
+    def band(self, name: str, strict: bool = True) -> Cube:
+        return Cube(self.bands([name], strict).df.drop("band"), tuple(d for d in self.dims if d != "band"), name)
 
     def _require(self, dim: str) -> None:
         if dim not in self.dims:

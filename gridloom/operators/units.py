@@ -65,6 +65,8 @@ ENCODING_PHRASES = {
     "add offset -1000": "e4_plus_1000", "scale 1e-4 with 1000 added": "e4_plus_1000", "10000*refl + 1000": "e4_plus_1000",
     "native dn": "profile", "dn as in profile": "profile", "standard scaling": "profile", "surface reflectance": "profile", "integer product": "profile",
 }
+#: Mean reflectance that a scene over land or water can have.
+POSSIBLE = (0.004, 1.3)
 #: A size in the text is the row's own if it differs by less than this share.
 SAME = 0.002
 #: A size is a nominal one if it differs by less than this share.
@@ -176,11 +178,23 @@ def size_texts(facts: DataFrame) -> DataFrame:
 
 
 def encoding_votes(facts: DataFrame) -> DataFrame:
-    """(tile_id, satellite_id, text_encoding): what most headers of the group say. The product's own encoding is also
-    the phrase of headers that say nothing particular, so it only wins where nothing else has a fifth of its votes."""
-    counts = facts.where(F.col("encoding").isNotNull()).groupBy("tile_id", "satellite_id", "encoding").agg(F.count(F.lit(1)).alias("n"))
+    """(tile_id, satellite_id, encoding, n): how many headers of the group name each encoding."""
+    return facts.where(F.col("encoding").isNotNull()).groupBy("tile_id", "satellite_id", "encoding").agg(F.count(F.lit(1)).alias("n"))
+
+
+def voted_encoding(levels: DataFrame, votes: DataFrame) -> DataFrame:
+    """Adds text_encoding to groups (tile_id, satellite_id, level, own_scale, own_offset): what most headers say. A vote
+    counts only if the group's level then is a possible reflectance, so a stray phrase decides nothing. The product's own
+    encoding is also the phrase of headers that say nothing particular: it wins only where nothing else has a fifth of
+    its votes."""
+    table = F.broadcast(factors(levels.sparkSession))  # six fixed rows
+    named = votes.join(table, "encoding", "left").withColumnsRenamed({"tile_id": "v_tile", "satellite_id": "v_sat"})
+    both = levels.join(named, levels["tile_id"].eqNullSafe(F.col("v_tile")) & levels["satellite_id"].eqNullSafe(F.col("v_sat")), "left")
+    value = F.col("level") * F.coalesce("f_scale", "own_scale") + F.coalesce("f_offset", "own_offset")
+    counts = F.col("encoding").isNotNull() & value.between(*POSSIBLE)
     weight = F.when(F.col("encoding") == "profile", F.col("n")).otherwise(F.col("n") * 5)
-    return counts.groupBy("tile_id", "satellite_id").agg(F.max_by("encoding", F.struct(weight, "encoding")).alias("text_encoding"))
+    best = F.max_by(F.when(counts, F.col("encoding")), F.when(counts, F.struct(weight, F.col("encoding"))))
+    return both.groupBy("tile_id", "satellite_id", "level_encoding").agg(best.alias("text_encoding"))
 
 
 def level_encoding(level: Column, scale: Column, offset: Column) -> Column:
@@ -246,19 +260,18 @@ def measured_units(observations: DataFrame, scenes_index: DataFrame, profiles: D
     ).join(products, F.col("product_id") == F.col("p_id"), "left")
     px = F.filter(F.coalesce("pixels", F.array().cast("array<int>")), lambda p: p.isNotNull())
     level = F.try_divide(F.aggregate(px, F.lit(0).cast("long"), lambda a, p: a + p).cast("double"), F.size(px).cast("double"))
-    levels = (
+    classed = (
         rows.where(F.col("own_scale").isNotNull())
-        .select("tile_id", "satellite_id", level_encoding(level, F.col("own_scale"), F.col("own_offset")).alias("e"), level.alias("l"))
+        .select("tile_id", "satellite_id", level_encoding(level, F.col("own_scale"), F.col("own_offset")).alias("e"), level.alias("l"), "own_scale", "own_offset")
         .where(F.col("l").isNotNull())
         .groupBy("tile_id", "satellite_id", "e")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("tile_id", "satellite_id")
-        .agg(F.max_by("e", F.struct("n", "e")).alias("level_encoding"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.ln(F.greatest("l", F.lit(1.0)))).alias("s"), F.min("own_scale").alias("own_scale"), F.min("own_offset").alias("own_offset"))
     )
-    votes = encoding_votes(facts)
-    verdicts = levels.join(votes, [levels["tile_id"].eqNullSafe(votes["tile_id"]), levels["satellite_id"].eqNullSafe(votes["satellite_id"])], "left").select(
-        levels["tile_id"].alias("v_tile"), levels["satellite_id"].alias("v_sat"), F.coalesce("text_encoding", "level_encoding").alias("encoding")
+    levels = classed.groupBy("tile_id", "satellite_id").agg(
+        F.max_by("e", F.struct("n", "e")).alias("level_encoding"), F.exp(F.sum("s") / F.sum("n")).alias("level"), F.min("own_scale").alias("own_scale"), F.min("own_offset").alias("own_offset")
     )
+    voted = voted_encoding(levels, encoding_votes(facts))
+    verdicts = voted.select(F.col("tile_id").alias("v_tile"), F.col("satellite_id").alias("v_sat"), F.coalesce("text_encoding", "level_encoding").alias("encoding"))
     texts = size_texts(facts).withColumnRenamed("file_key", "t_key")
     sized = rows.join(texts, F.col("file_key") == F.col("t_key"), "left")
     full = sized.join(verdicts, F.col("tile_id").eqNullSafe(F.col("v_tile")) & F.col("satellite_id").eqNullSafe(F.col("v_sat")), "left")

@@ -58,7 +58,7 @@ def scan_observations(spark, sf):
 @query(f"""SELECT obs_id, band, epoch_us(time) AS time_us, min_value, max_value FROM observations WHERE tile_id = '{HOT}' AND band IN ('red', 'nir')
  AND time >= TIMESTAMPTZ '2024-01-15 00:00:00+00' AND time <= TIMESTAMPTZ '2024-06-15 00:00:00+00' AND product_id <> 'kestrel_sr' AND min_value IS NOT NULL""")
 def filter_tile_band_time(spark, sf):
-    df = ops.in_bands(ops.in_tiles(obs(spark, sf), [HOT]), ["red", "nir"])
+    df = ops.in_tiles(obs(spark, sf), [HOT]).where(F.col("band").isin("red", "nir"))
     df = ops.between_times(df, _ts(2024, 1, 15), _ts(2024, 6, 15)).where((F.col("product_id") != "kestrel_sr") & F.col("min_value").isNotNull())
     return df.select("obs_id", "band", us(), "min_value", "max_value")
 
@@ -78,6 +78,7 @@ SELECT obs_id, tile_id, band, epoch_us(time) AS time_us, pixels FROM observation
 def observation_point_lookup(spark, sf):
     df = obs(spark, sf)
     first = df.where((F.col("tile_id") == HOT) & (F.col("band") == "green")).agg(F.min(F.unix_micros("time"))).first()[0]
+    first = first or 0
     at = datetime.fromtimestamp(first // 1_000_000, UTC).replace(microsecond=first % 1_000_000)
     return ops.at_instant(df, HOT, "green", at).select("obs_id", "tile_id", "band", us(), "pixels")
 
@@ -281,7 +282,7 @@ def std_time(spark, sf):
 
 @query(f"SELECT epoch_us(time) AS time_us, x, CAST(value AS DOUBLE) AS value FROM {_CELLS} WHERE band = 'red' AND y = (SELECT arg_min(y, (abs(y - 2.4), y)) FROM {_CELLS} WHERE band = 'red')")
 def nearest_label_sel(spark, sf):
-    c = _cube(spark, sf).band("red").nearest("y", 2.4)
+    c = _cube(spark, sf).band("red", strict=False).nearest("y", 2.4)
     return c.df.select(us(), "x", "value")
 
 

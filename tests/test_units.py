@@ -60,18 +60,19 @@ def test_sizes_by_text_and_by_number(spark, observations):
 
 def test_pixels_by_votes_and_levels(spark, observations):
     rows = []
-    for sat, level in (("told", 330), ("dull", 330), ("own", 1500), ("loud", 300_000)):
+    for sat, level in (("told", 150), ("dull", 330), ("own", 1500), ("loud", 300_000)):
         rows += [{"satellite_id": sat, "pixels": [level, level + 2, None], "resolution": 10.0, "source_file": f"/arc/p/x0001_y0001/{sat}_{k}.tif"} for k in range(3)]
     rows += [{"satellite_id": None, "pixels": None, "resolution": None, "source_file": None}, {"product_id": "unknown", "satellite_id": "z", "pixels": [5]}]
     rows += [{"product_id": "q", "satellite_id": "e4", "pixels": [1500], "resolution": 30.0, "source_file": "/arc/q/x0001_y0001/e4_1.tif"}]
-    scenes = [("g", "/arc/p/x0001_y0001/told_0.tif", "told", "reflectance in percent", 1), ("g", "/arc/p/x0001_y0001/own_0.tif", "own", "native DN", 1), ("g", None, None, None, 1), ("g", "", "x", "unit pct", 1)]
+    scenes = [("g", "/arc/p/x0001_y0001/told_0.tif", "told", "reflectance in per mille", 1), ("g", "/arc/p/x0001_y0001/own_0.tif", "own", "native DN", 1), ("g", "/arc/p/x0001_y0001/own_1.tif", "own", "unit pct", 1),  # impossible, so no vote
+        ("g", None, None, None, 1), ("g", "", "x", "unit pct", 1)]
     u, cases = found(spark, observations(rows), scenes)
     encodings = {r["satellite_id"]: r["encoding"] for r in u.collect()}
-    assert encodings["told"] == "percent" and encodings["dull"] == "permille" and encodings["own"] == "profile" and encodings["loud"] == "ppm" and encodings["e4"] == "e4"
+    assert encodings["told"] == "permille" and encodings["dull"] == "permille" and encodings["own"] == "profile" and encodings["loud"] == "ppm" and encodings["e4"] == "e4"
     assert u.count() == 15
     assert sorted(c[0] for c in cases if c[1] == "pixels") == [1, 2, 3, 4, 5, 6, 10, 11, 12, 15]
     value = {r["obs_id"]: r["reflectance"] for r in units.in_common_units(u).collect()}
-    assert abs(value[1][0] - 3.3) < 1e-9 and value[1][2] is None and abs(value[7][0] - 0.15) < 1e-9 and value[13] is None
+    assert abs(value[1][0] - 0.15) < 1e-9 and value[1][2] is None and abs(value[7][0] - 0.15) < 1e-9 and value[13] is None
 
 
 def test_empty(spark, observations):
