@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,11 @@ from gridloom.llm.encode import VOCABULARY, _worker, pieces
 
 CAPACITY = 4096
 #: Containers of a window. More give a little less unused space and take longer to merge.
-WINDOW = 256
+WINDOW = 128
+#: Share of a window's room that is left for slack, at least, where its end can be chosen.
+LOOSE = 0.002
+#: Containers an overfull one is divided anew with, and items of the two at most; beyond that, items are exchanged.
+PARTNERS, TOGETHER = 64, 12
 
 
 def differencing(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
@@ -60,10 +65,19 @@ def differencing(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
 
 
 def exchange(sizes: np.ndarray, home: np.ndarray, filled: np.ndarray, capacity: int) -> bool:
-    """Bring overfull containers down to the capacity by exchanging one item for a smaller one of another container with
-    room for the difference, the smallest sufficient difference first; changes home and filled in place. False if one
-    stays overfull."""
-    for _ in range(4 * len(filled)):
+    """Bring overfull containers down to the capacity by exchanging one item for a smaller one, or for nothing, of another
+    container with room for the difference, the smallest sufficient difference first; changes home and filled in place.
+    False if one stays overfull."""
+    items = len(sizes)
+    sizes = np.concatenate([sizes, np.zeros(len(filled), np.int64)])  # an item of no size in each: to move is to exchange
+    place = np.concatenate([home, np.arange(len(filled))])
+    done = _exchange(sizes, place, filled, capacity)
+    home[:] = place[:items]
+    return done
+
+
+def _exchange(sizes: np.ndarray, home: np.ndarray, filled: np.ndarray, capacity: int) -> bool:
+    for _ in range(8 * len(filled)):
         c = int(filled.argmax())
         over = filled[c] - capacity
         if over <= 0:
@@ -87,11 +101,48 @@ def exchange(sizes: np.ndarray, home: np.ndarray, filled: np.ndarray, capacity:
     return bool(filled.max() <= capacity)
 
 
+@cache
+def _subsets(n: int) -> np.ndarray:
+    """All subsets of n items that hold the first one, as rows of 0 and 1."""
+    return ((np.arange(1 << (n - 1))[:, None] >> np.arange(n - 1)) & 1).astype(np.int64) if n > 1 else np.zeros((1, 0), np.int64)
+
+
+def redivide(sizes: np.ndarray, home: np.ndarray, filled: np.ndarray, capacity: int) -> bool:
+    """Bring overfull containers down by dividing their items and those of another container anew: of all divisions of
+    the two the one that fills a container fullest without exceeding it, else the one that leaves the least excess.
+    Containers with much room are tried first. Changes home and filled in place; False if one stays overfull."""
+    for _ in range(4 * len(filled)):
+        c = int(filled.argmax())
+        if filled[c] <= capacity:
+            return True
+        mine, best = np.flatnonzero(home == c), (int(filled[c] - capacity), -1, None, None)
+        for d in np.argsort(filled, kind="stable")[:PARTNERS].tolist():
+            both = np.concatenate([mine, np.flatnonzero(home == d)])
+            if d == c or len(both) > TOGETHER:
+                continue
+            one = sizes[both[0]] + _subsets(len(both)) @ sizes[both[1:]]
+            other = filled[c] + filled[d] - one
+            excess = np.maximum(one - capacity, 0) + np.maximum(other - capacity, 0)
+            if excess.min() == 0:
+                at = int(np.where(excess == 0, np.maximum(one, other), -1).argmax())
+                best = (0, d, both, at)
+                break
+            if excess.min() < best[0]:
+                best = (int(excess.min()), d, both, int(excess.argmin()))
+        _, d, both, at = best
+        if both is None:
+            return False
+        first = np.concatenate([[1], _subsets(len(both))[at]]).astype(bool)
+        home[both] = np.where(first, c, d)
+        filled[c], filled[d] = sizes[both[first]].sum(), sizes[both[~first]].sum()
+    return bool(filled.max() <= capacity)
+
+
 def pack_window(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Containers as lists of indices into ``sizes``; no size exceeds the capacity. The number of containers rises from
     the least possible until the fullest one fits; with one container a text it always does. As differencing balances
-    and a tight window has next to no slack, the few containers it leaves a little overfull may exchange items before
-    the number rises."""
+    and a tight window has next to no slack, the few containers it leaves a little overfull are divided anew with others
+    or exchange items before the number rises."""
     k = max(1, -(-sum(sizes) // capacity))
     n = np.array(sizes, np.int64)
     while True:
@@ -99,7 +150,7 @@ def pack_window(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         home, filled = np.zeros(len(sizes), np.int64), np.zeros(max(k, 1), np.int64)
         for c, (s, items) in enumerate(parts):
             home[items], filled[c] = c, s
-        if filled.max() <= capacity or exchange(n, home, filled, capacity):
+        if filled.max() <= capacity or redivide(n, home, filled, capacity) or exchange(n, home, filled, capacity):
             order = np.argsort(home, kind="stable")
             cuts = np.flatnonzero(np.diff(home[order])) + 1
             return [x.tolist() for x in np.split(order, cuts)] if len(order) else []
@@ -136,7 +187,7 @@ def _windows(entries: Iterator[tuple[int | None, int]], capacity: int, window: i
             held.append((doc, piece, start, take))
             filled += take
             slack = -filled % capacity
-            if filled >= window * capacity and (2 * window <= slack <= capacity // 4 or filled >= 2 * window * capacity):
+            if filled >= window * capacity and (LOOSE <= slack / filled <= 2 * LOOSE or filled >= 2 * window * capacity):
                 yield flush()
     if held:
         yield flush()
