@@ -1,4 +1,4 @@
-"""Command line: info, ingest, recovery."""
+"""Command line: info, ingest, migrate, recovery."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 import json
 
 from gridloom.ingest import ingest
+from gridloom.maintenance import migrate
 from gridloom.session import local_session
 from gridloom.warehouse import Warehouse
 
@@ -20,6 +21,11 @@ def parser() -> argparse.ArgumentParser:
     take.add_argument("source")
     take.add_argument("warehouse")
     take.add_argument("--product")
+    move = sub.add_parser("migrate", help="move chunk files into a warehouse")
+    move.add_argument("source")
+    move.add_argument("warehouse")
+    move.add_argument("--dry-run", action="store_true")
+    move.add_argument("--backup")
     rec = sub.add_parser("recovery", help="look for what broken commits left")
     rec.add_argument("action", choices=["diagnose", "repair", "verify"])
     rec.add_argument("warehouse")
@@ -34,6 +40,9 @@ def main(argv: list[str] | None = None) -> int:
         result = ingest(spark, args.source, args.warehouse, **({"product_id": args.product} if args.product else {}))
         print(json.dumps(result.__dict__, default=str))
         return int(bool(result.errors))
+    if args.command == "migrate":
+        print(json.dumps(migrate(spark, args.source, args.warehouse, args.dry_run, args.backup).__dict__))
+        return 0
     if args.command == "info":
         store = Warehouse(spark, args.warehouse)
         print(json.dumps(store.summary(), default=str))

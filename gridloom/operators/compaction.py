@@ -8,7 +8,8 @@ records come out side by side, the smallest row_id first, and are told apart as
 kept and surplus afterwards. Outputs roll over by bytes within a key range, and
 the range metadata of every output file is written anew.
 
-A hot chunk is cut by time and content, as both belong to the range key.
+A hot chunk is cut by time and content, as both belong to the range key; a record
+with very many copies leaves the merge (see merged_runs).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.joins import null_safe_join
 from gridloom.functions.tiles import ID_INSIDE, tile_text, tile_x, tile_y
 
 KEY = ["tile_id", "year_month", "band"]
@@ -47,16 +49,17 @@ def path_key(path: Column) -> dict[str, Column]:
     }
 
 
-def merged_runs(chunk_rows: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Records of all files in key order with ``surplus``: true for every record equal to one before it.
+RANGES = [*KEY, "stray", "time", "digest"]
+#: Equal records of one content beyond which a group of copies is taken out of the merge.
+MANY_COPIES = 1_000_000
 
-    Two records are equal if their paths name the same tile, month and band and time, pixels and mask are equal, NULL
-    being equal to NULL. Where a path names no tile, month or band, the path itself stands for what is missing, so
-    that records of unreadable paths never merge with those of other files. Columns: tile_id, year_month, band,
-    chunk_path, row_id, time, pixels, mask, digest, surplus."""
+
+def keyed_records(chunk_rows: DataFrame) -> DataFrame:
+    """The records with what their paths name and a digest of their content. ``stray`` is NULL where the path names
+    tile, month and band, and the path itself where it does not."""
     named = path_key(F.col("chunk_path"))
     complete = named["tile_id"].isNotNull() & named["year_month"].isNotNull() & named["band"].isNotNull()
-    keyed = chunk_rows.select(
+    return chunk_rows.select(
         *[c.alias(k) for k, c in named.items()],
         F.when(~complete | F.col("chunk_path").isNull(), F.coalesce("chunk_path", F.lit(""))).alias("stray"),
         "chunk_path",
@@ -66,11 +69,40 @@ def merged_runs(chunk_rows: DataFrame, partitions: int | None = None) -> DataFra
         "mask",
         F.xxhash64("pixels", "mask").alias("digest"),
     )
-    ranges = [*KEY, "stray", "time", "digest"]
-    spread = keyed.repartitionByRange(*([partitions] if partitions else []), *[F.col(c).asc_nulls_first() for c in ranges])
+
+
+def merged_runs(chunk_rows: DataFrame, partitions: int | None = None, many: int = MANY_COPIES) -> DataFrame:
+    """Records of all files in key order with ``surplus``: true for every record equal to one before it.
+
+    Two records are equal if their paths name the same tile, month and band and time, pixels and mask are equal, NULL
+    being equal to NULL. Where a path names no tile, month or band, the path itself stands for what is missing, so
+    that records of unreadable paths never merge with those of other files. Rows repeated with their row_id are equal
+    too: one of them is kept. Columns: tile_id, year_month, band, chunk_path, row_id, time, pixels, mask, digest, surplus.
+
+    Copies of one record fall into one range. A first pass counts them, combined map-side; records with more than
+    ``many`` copies leave the merge: their smallest row_id comes from a map-side combined aggregate, and their rows are
+    told by comparing with it where they lie."""
+    keyed = keyed_records(chunk_rows)
+    crowds = keyed.groupBy(*RANGES).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > many).drop("copies")
+    few = crowds.count()  # at most rows / many
+    if not few:
+        return _merge(keyed, partitions).drop("stray")
+    hint = few <= 10_000
+    apart = null_safe_join(keyed, crowds, RANGES, "left_anti", hint)
+    crowd = null_safe_join(keyed, crowds, RANGES, "left_semi", hint)
+    content = [*RANGES, "pixels", "mask"]
+    least = crowd.groupBy(*content).agg(F.min("row_id").alias("least"))
+    told = null_safe_join(crowd, least, content, "inner", hint)
+    later = told.where(~F.col("row_id").eqNullSafe(F.col("least"))).drop("least").withColumn("surplus", F.lit(True))
+    heads = _merge(told.where(F.col("row_id").eqNullSafe(F.col("least"))).drop("least"), partitions)
+    return _merge(apart, partitions).unionByName(heads).unionByName(later).drop("stray")
+
+
+def _merge(keyed: DataFrame, partitions: int | None) -> DataFrame:
+    spread = keyed.repartitionByRange(*([partitions] if partitions else []), *[F.col(c).asc_nulls_first() for c in RANGES])
     # Partitioned by a superset of the range key: the window needs no further exchange, and its sort is the merge.
-    same = Window.partitionBy(*ranges, "pixels", "mask").orderBy(F.col("row_id").asc_nulls_last())
-    return spread.withColumn("surplus", F.row_number().over(same) > 1).drop("stray")
+    same = Window.partitionBy(*RANGES, "pixels", "mask").orderBy(F.col("row_id").asc_nulls_last())
+    return spread.withColumn("surplus", F.row_number().over(same) > 1)
 
 
 def rolled_files(chunk_rows: DataFrame, target_bytes: int = 128 << 20, partitions: int | None = None) -> DataFrame:
@@ -136,6 +168,6 @@ def catalogue_drift(tile_metadata: DataFrame, chunk_rows: DataFrame) -> DataFram
     return listed.join(held, "chunk_path", "full").select("chunk_path", "listed", F.coalesce("held", F.lit(0)).alias("held"), state.alias("state"))
 
 
-def surplus_records(chunk_rows: DataFrame) -> DataFrame:
+def surplus_records(chunk_rows: DataFrame, many: int = MANY_COPIES) -> DataFrame:
     """row_id of every record that equals another with a smaller row_id."""
-    return merged_runs(chunk_rows).where("surplus").select("row_id")
+    return merged_runs(chunk_rows, many=many).where("surplus").select("row_id")

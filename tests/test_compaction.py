@@ -56,6 +56,16 @@ def test_nothing_lost_and_files_roll(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/data")).count() == len(kept)
 
 
+def test_crowds_of_copies(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice(SAME), "2024-03-01", [1, 2], [True]) for k in range(300)]
+    rows += [(1000 + k, SAME[0], f"2024-03-0{1 + k % 3}", [k % 5], None) for k in range(60)] + [(0, SAME[0], "2024-03-01", [1, 2], [True])]
+    df = frame(spark, rows)
+    assert rows_of(c.surplus_records(df, many=50)) == rows_of(c.surplus_records(df))
+    merged = c.merged_runs(df, many=50)
+    assert merged.count() == len(rows) and merged.where("surplus").count() == 300 + 60 - 15
+
+
 def test_window_needs_no_second_exchange(spark):
     plan = c.surplus_records(frame(spark, [(1, SAME[0], "2024-03-01", [1], [True])]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
