@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.compaction import path_key
+from gridloom.operators.compaction import with_path_key
 from gridloom.operators.observations import pixel_stats
 from gridloom.sources.chunks import load_chunks
 from gridloom.warehouse import Warehouse
@@ -27,11 +27,13 @@ class MigrationResult:
 def chunk_observations(spark: SparkSession, folder: str) -> DataFrame:
     """Observations of all chunk files below a folder, with tile, month and band from the path. Files whose path names
     none of them are left out."""
-    rows = load_chunks(spark, folder)
-    named = path_key(F.concat(F.lit("/"), F.regexp_replace("path", r"([^/]+)\.arrow$", "$1-0000.arrow")))
+    hashed = F.concat(F.lit("/"), F.regexp_replace("path", r"([^/]+)\.arrow$", "$1-0000.arrow"))
+    rows = with_path_key(load_chunks(spark, folder).withColumn("_hashed", hashed), "_hashed")
     stats = pixel_stats(F.col("pixels"), F.col("mask"))
     out = rows.select(
-        *[c.alias(k) for k, c in named.items()],
+        "tile_id",
+        "year_month",
+        "band",
         "time",
         "pixels",
         "mask",

@@ -19,34 +19,41 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.joins import null_safe_join
-from gridloom.functions.tiles import ID_INSIDE, tile_text, tile_x, tile_y
+from gridloom.functions.tiles import canonical
 
 KEY = ["tile_id", "year_month", "band"]
 #: Bytes of a record beside its arrays: row id, time and their share of page headers.
 RECORD_BYTES = 24
 
 
-def path_key(path: Column) -> dict[str, Column]:
-    """Tile, month and band that a chunk path names, whatever the layout: ``tiles/x.._y../YYYY-MM/band-hash.arrow``,
+def with_path_key(df: DataFrame, path: str = "chunk_path") -> DataFrame:
+    """Adds tile_id, year_month and band that a chunk path names, whatever the layout: ``tiles/x.._y../YYYY-MM/band-hash.arrow``,
     ``tile_id=../band=../year_month=../part-..``, other prefixes, separators, case, short months or a ``.tmp`` end.
-    A part that the path does not name is NULL."""
-    p = F.lower(F.regexp_replace(path, r"[/\\]+", "/"))
-    year = F.regexp_extract(p, r"(?:^|[/=])(\d{4})-(\d{1,2})(?=/)", 1)
-    month = F.regexp_extract(p, r"(?:^|[/=])(\d{4})-(\d{1,2})(?=/)", 2)
-    hive = F.regexp_extract(p, r"(?:^|/)band=([^/]+)", 1)
-    plain = F.regexp_extract(p, r"/([a-z][a-z0-9]*(?:_[0-9]{1,2})?)[-_.][0-9a-f]{4,}\.arrow(?:\.tmp)?$", 1)
-    full = lambda c: F.when(c != "", c)
-    inside = ID_INSIDE.replace("[/\\\\=]", "[/=]").replace("[/\\\\]", "[/]")
-    return {
-        "tile_id": tile_text(tile_x(p, inside), tile_y(p, inside)),
-        "year_month": F.when(year != "", F.concat(year, F.lit("-"), F.lpad(month, 2, "0"))),
-        "band": F.coalesce(full(hive), full(plain)),
-    }
+    A part that the path does not name is NULL. Columns of these names are replaced.
+
+    Done in steps, so that every pattern is matched once a row: Spark keeps projections apart whose merging would repeat
+    costly expressions."""
+    p = F.col("_p")
+    pick = lambda pattern: F.regexp_extract(p, pattern, 1)
+    full = lambda c: F.when(F.col(c) != "", F.col(c))
+    month = F.substring_index("_m", "-", -1)
+    return (
+        df.withColumn("_p", F.lower(F.regexp_replace(path, r"[/\\]+", "/")))
+        .withColumns(
+            {
+                "_t": pick(r"(?:^|[/=])(x[+-]?\d{1,9}_y[+-]?\d{1,9})(?=$|/)"),
+                "_m": pick(r"(?:^|[/=])(\d{4}-\d{1,2})(?=/)"),
+                "_b": F.when(p.contains("/band="), pick(r"/band=([^/]+)")).otherwise(pick(r"/([a-z][a-z0-9]*(?:_[0-9]{1,2})?)[-_.][0-9a-f]{4,}\.arrow(?:\.tmp)?$")),
+            }
+        )
+        .withColumns({"tile_id": canonical("_t"), "year_month": F.when(F.col("_m") != "", F.concat(F.substring("_m", 1, 5), F.lpad(month, 2, "0"))), "band": full("_b")})
+        .drop("_p", "_t", "_m", "_b")
+    )
 
 
 RANGES = [*KEY, "stray", "time", "digest"]
@@ -57,18 +64,10 @@ MANY_COPIES = 1_000_000
 def keyed_records(chunk_rows: DataFrame) -> DataFrame:
     """The records with what their paths name and a digest of their content. ``stray`` is NULL where the path names
     tile, month and band, and the path itself where it does not."""
-    named = path_key(F.col("chunk_path"))
-    complete = named["tile_id"].isNotNull() & named["year_month"].isNotNull() & named["band"].isNotNull()
-    return chunk_rows.select(
-        *[c.alias(k) for k, c in named.items()],
-        F.when(~complete | F.col("chunk_path").isNull(), F.coalesce("chunk_path", F.lit(""))).alias("stray"),
-        "chunk_path",
-        "row_id",
-        "time",
-        "pixels",
-        "mask",
-        F.xxhash64("pixels", "mask").alias("digest"),
-    )
+    named = with_path_key(chunk_rows.select("chunk_path", "row_id", "time", "pixels", "mask"))
+    complete = F.col("tile_id").isNotNull() & F.col("year_month").isNotNull() & F.col("band").isNotNull()
+    stray = F.when(~complete, F.coalesce("chunk_path", F.lit("")))
+    return named.select(*KEY, stray.alias("stray"), "chunk_path", "row_id", "time", "pixels", "mask", F.xxhash64("pixels", "mask").alias("digest"))
 
 
 def merged_runs(chunk_rows: DataFrame, partitions: int | None = None, many: int = MANY_COPIES) -> DataFrame:
