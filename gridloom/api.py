@@ -17,6 +17,7 @@ from gridloom.functions.tiles import canonical_or_self, tile_bounds, tile_x, til
 from gridloom.operators import observations as ops
 from gridloom.operators import spatial
 from gridloom.operators.cube import Cube
+from gridloom.products import ProductRegistry
 from gridloom.schema import SCENES
 from gridloom.warehouse import Warehouse
 
@@ -141,29 +142,49 @@ def scenes(spark: SparkSession, warehouse: str, time: tuple[datetime, datetime]
     return df.orderBy(F.col("acquisition_time").asc_nulls_first())
 
 
-def open_scenes(spark: SparkSession, warehouse: str, bands: list[str] | None = None, **filters) -> Cube:
+def _blocks(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Blocks of the named files, one scan per folder."""
+    out = None
+    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+        part = spark.read.format("cog").load(folder.removeprefix("file:"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("_f", F.regexp_extract("path", r"([^/]+)$", 1))
+
+
+def _cells(blocks: DataFrame, *keep: str) -> DataFrame:
+    px = blocks.select(*keep, "row", "col", "width", F.posexplode("pixels").alias("i", "value"))
+    return px.select(*keep, (F.col("row") + F.floor(F.col("i") / F.col("width"))).cast("int").alias("y"), (F.col("col") + F.col("i") % F.col("width")).cast("int").alias("x"), "value")
+
+
+def open_scenes(spark: SparkSession, warehouse: str, bands: list[str] | None = None, cloud_mask: ProductRegistry | None = None, **filters) -> Cube:
     """Cube (band, time, y, x) of registered scenes, read from their files. No scene raises QueryError. y and x are pixel
-    positions of each scene's own raster; missing cells are rows that are not there."""
+    positions of each scene's own raster; missing cells are rows that are not there.
+
+    ``cloud_mask``: profiles that say which band and values of a product's mask files mean clear. Cells that are not
+    clear are NULL. Scenes without a mask file, or of a product without such a rule, stay as they are."""
     from gridloom.sources import cog
 
     cog.register(spark)
     found = scenes(spark, warehouse, **filters)
-    files = found.select("source_file").distinct().limit(10_001).collect()  # names only
+    files = [tuple(r) for r in found.select("source_file", "mask_source_file").distinct().limit(10_001).collect()]  # names only
     if not files:
         raise QueryError("no scene meets the query")
     if len(files) > 10_000:
         raise QueryError("more than 10,000 scenes; narrow the query")
-    blocks = None
-    for folder in sorted({f[0].rsplit("/", 1)[0] for f in files}):
-        part = spark.read.format("cog").load(folder.removeprefix("file:"))
-        blocks = part if blocks is None else blocks.unionByName(part)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    named = blocks.withColumn("_f", name).join(found.select(F.regexp_extract("source_file", r"([^/]+)$", 1).alias("_f"), "acquisition_time", "band_names"), "_f")
-    named = cog.band_names_of(named, F.col("band_names"))
+    facts = found.select(F.regexp_extract("source_file", r"([^/]+)$", 1).alias("_f"), F.col("acquisition_time").alias("time"), "band_names", "product_id", F.regexp_extract("mask_source_file", r"([^/]+)$", 1).alias("mask_name"))
+    named = cog.band_names_of(_blocks(spark, [f for f, _ in files]).join(facts, "_f"), F.col("band_names"))
     if bands is not None:
         named = named.where(F.col("band_name").isin(bands))
-    px = named.select(F.col("band_name").alias("b"), F.col("acquisition_time").alias("time"), "row", "col", "width", F.posexplode("pixels").alias("i", "value"))
-    cells = px.select(F.col("b").alias("band"), "time", (F.col("row") + F.floor(F.col("i") / F.col("width"))).cast("int").alias("y"), (F.col("col") + F.col("i") % F.col("width")).cast("int").alias("x"), "value")
+    cells = _cells(named.withColumn("band", F.col("band_name")), "band", "time", "product_id", "mask_name")
+    masks = [m for _, m in files if m]
+    if cloud_mask is not None and masks:
+        rules = cloud_mask.to_df(spark).where("cloud_mask IS NOT NULL").select("product_id", "cloud_mask.band_index", "cloud_mask.clear_values")
+        quality = _blocks(spark, masks).join(facts.select(F.col("mask_name").alias("_f"), "product_id").distinct(), "_f").join(rules, "product_id")
+        quality = _cells(quality.where(F.col("band") == F.col("band_index")), "_f", "clear_values")
+        seen = quality.select(F.col("_f").alias("mask_name"), "y", "x", F.array_contains("clear_values", F.col("value").cast("int")).alias("clear"))
+        # A mask serves all bands of its scene: the join is on the pixel, not on the band.
+        joined = cells.join(seen, ["mask_name", "y", "x"], "left")
+        cells = joined.withColumn("value", F.when(F.coalesce("clear", F.lit(True)), F.col("value")))
     return Cube.of(cells, ["band", "time", "y", "x"])
 
 

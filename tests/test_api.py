@@ -3,11 +3,13 @@
 import numpy as np
 import pytest
 from conftest import utc
+from pyspark.sql import functions as F
 
 from gridloom import api, cli, maintenance
 from gridloom.errors import QueryError
 from gridloom.ingest import ingest
-from gridloom.sources import chunks, sample
+from gridloom.products import CloudMask, ProductProfile, ProductRegistry
+from gridloom.sources import chunks, sample, tiff
 from gridloom.warehouse import Warehouse
 
 TILES = ("x0000_y0000", "x0001_y0000")
@@ -71,6 +73,21 @@ def test_scenes(spark, tmp_path):
         api.open_scenes(spark, w, product_id="none")
 
 
+def test_cloud_masks(spark, tmp_path):
+    sample.create_sample_data(str(tmp_path / "in"))
+    quality = np.zeros((2, 64, 64), np.uint8)
+    quality[1, :, :16] = 3
+    quality[1, :, 16:32] = 1
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/qa_20240115.tif").write_bytes(tiff.write(quality, (0, 0, 1, 1), 32652, compression=tiff.NONE, tile=16))
+    w = str(tmp_path / "w")
+    ingest(spark, str(tmp_path / "in"), w, mask_path=str(tmp_path / "m"))
+    rules = ProductRegistry([ProductProfile("in", {"red": 3}, cloud_mask=CloudMask(2, (0, 1)))])
+    cells = {str(r["time"])[:10]: r["n"] for r in api.open_scenes(spark, w, ["red"], rules).df.groupBy("time").agg(F.count("value").alias("n")).collect()}
+    assert cells == {"2024-01-15": 64 * 48, "2024-02-15": 64 * 64, "2024-03-15": 64 * 64}
+    assert api.open_scenes(spark, w, ["red"], ProductRegistry([])).df.where("value IS NULL").count() == 0
+
+
 def test_migration(spark, tmp_path):
     src, w = str(tmp_path / "tiles"), str(tmp_path / "w")
     for tile in TILES:
