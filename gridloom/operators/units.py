@@ -138,9 +138,12 @@ def read_header(text: str | None) -> tuple[float | None, str | None, str | None]
 
 
 def file_key(path: Column) -> Column:
-    """Spelling-free name of a source file: no scheme, host or drive, one kind of separator, no extension."""
-    p = F.lower(F.regexp_replace(F.trim(path), r"[/\\]+", "/"))
-    return F.regexp_replace(F.regexp_replace(p, r"^(?:[a-z0-9+]+:/[^/]+(?=/)|[a-z]:)", ""), r"\.[a-z0-9]{1,5}$", "")
+    """Spelling-free name of a source file: no scheme, host or drive, one kind of separator, no extension. Plain paths
+    are spared the patterns that they cannot match."""
+    p = F.lower(F.trim(path))
+    clean = F.regexp_replace(F.regexp_replace(p, r"[/\\]+", "/"), r"^(?:[a-z0-9+]+:/[^/]+(?=/)|[a-z]:)", "")
+    odd = p.contains("//") | p.contains("\\") | p.contains(":")
+    return F.regexp_replace(F.when(odd, clean).otherwise(p), r"\.[a-z0-9]{1,5}$", "")
 
 
 def header_facts(scenes_index: DataFrame) -> DataFrame:
@@ -262,8 +265,9 @@ def measured_units(observations: DataFrame, scenes_index: DataFrame, profiles: D
     level = F.try_divide(F.aggregate(px, F.lit(0).cast("long"), lambda a, p: a + p).cast("double"), F.size(px).cast("double"))
     classed = (
         rows.where(F.col("own_scale").isNotNull())
-        .select("tile_id", "satellite_id", level_encoding(level, F.col("own_scale"), F.col("own_offset")).alias("e"), level.alias("l"), "own_scale", "own_offset")
+        .select("tile_id", "satellite_id", level.alias("l"), "own_scale", "own_offset")  # a step of its own: the level is used often
         .where(F.col("l").isNotNull())
+        .withColumn("e", level_encoding(F.col("l"), F.col("own_scale"), F.col("own_offset")))
         .groupBy("tile_id", "satellite_id", "e")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.ln(F.greatest("l", F.lit(1.0)))).alias("s"), F.min("own_scale").alias("own_scale"), F.min("own_offset").alias("own_offset"))
     )
