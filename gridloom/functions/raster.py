@@ -13,10 +13,10 @@ TOP = 65535
 
 def bilinear(values: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
     """Bilinear with aligned end points, rounded half away from zero, kept within unsigned 16 bits. An empty input gives
-    zeros, an input of the wanted size itself."""
+    zeros, an input of the wanted size itself. Leading axes are images of their own."""
     if values.size == 0:
-        return np.zeros((out_h, out_w), np.int32)
-    h, w = values.shape
+        return np.zeros((*values.shape[:-2], out_h, out_w), np.int32)
+    h, w = values.shape[-2:]
     if (h, w) == (out_h, out_w):
         return values.astype(np.int32)
 
@@ -28,8 +28,9 @@ def bilinear(values: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
     y0, y1, fy = steps(h, out_h)
     x0, x1, fx = steps(w, out_w)
     v = values.astype(float)
-    north = v[y0][:, x0] * (1 - fx) + v[y0][:, x1] * fx
-    south = v[y1][:, x0] * (1 - fx) + v[y1][:, x1] * fx
+    top, bottom = v[..., y0, :], v[..., y1, :]
+    north = top[..., x0] * (1 - fx) + top[..., x1] * fx
+    south = bottom[..., x0] * (1 - fx) + bottom[..., x1] * fx
     return np.clip(np.floor(north * (1 - fy)[:, None] + south * fy[:, None] + 0.5), 0, TOP).astype(np.int32)
 
 
@@ -46,14 +47,19 @@ def bilinear_column(pixels: Column, out_h: int, out_w: int) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def kernel(s: pd.Series) -> pd.Series:
-        def one(a):
-            if a is None:
-                return None
-            v = np.asarray(a, dtype=float)
-            side = int(round(len(v) ** 0.5))
-            return None if side * side != len(v) or np.isnan(v).any() else bilinear(v.reshape(side, side), out_h, out_w).ravel()
-
-        return s.map(one)
+        arrays, out = s.tolist(), [None] * len(s)
+        sizes = np.array([-1 if a is None else len(a) for a in arrays], dtype=int)
+        for n in np.unique(sizes[sizes >= 0]):  # arrays of one size are resampled together
+            side = int(round(n**0.5))
+            if side * side != n:
+                continue
+            at = np.flatnonzero(sizes == n)
+            v = np.array([arrays[i] for i in at], dtype=float)
+            full = ~np.isnan(v).any(axis=1)
+            got = bilinear(v[full].reshape(full.sum(), side, side), out_h, out_w)
+            for i, image in zip(at[full], got.reshape(full.sum(), out_h * out_w), strict=True):
+                out[i] = image
+        return pd.Series(out, dtype=object)
 
     return kernel(pixels)
 

@@ -45,6 +45,14 @@ def obs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "observations")
 
 
+def by_tile(spark: SparkSession, sf: str, name: str = "observations") -> DataFrame:
+    """A whole table under canonical ids: ids that name the same pair are one tile. Read by the queries named *_whole."""
+    return table(spark, sf, name).withColumn("tile_id", tiles.canonical_or_self("tile_id"))
+
+
+_BY_TILE = f"(SELECT * REPLACE ({tile_sql('tile_id')} AS tile_id) FROM observations)"
+
+
 def _ts(*a: int) -> datetime:
     return datetime(*a, tzinfo=UTC)
 
@@ -625,6 +633,31 @@ def resample_nearest(spark, sf):
     return df.select("obs_id", F.posexplode("m").alias("i", "valid"))
 
 
+@query(f"""WITH l AS (SELECT tile_id AS tile, arg_max(pixels, (time, obs_id)) AS pixels FROM {_BY_TILE} WHERE band = 'red' AND regexp_matches(tile_id, '^x-?[0-9]+_y-?[0-9]+$') GROUP BY 1),
+ g AS (SELECT CAST(regexp_extract(tile, '^x(-?[0-9]+)_', 1) AS INT) AS tx, CAST(regexp_extract(tile, '_y(-?[0-9]+)$', 1) AS INT) AS ty, unnest(range(16)) AS i, unnest(pixels) AS value FROM l), o AS (SELECT min(tx) AS x0, max(ty) AS y1 FROM g)
+SELECT CAST((y1 - ty) * 4 + i // 4 AS BIGINT) AS row, CAST((tx - x0) * 4 + i % 4 AS BIGINT) AS col, value FROM g, o""")
+def mosaic_whole(spark, sf):
+    """Latest image of every tile of the data on one raster; cells between the tiles have no row."""
+    df = by_tile(spark, sf).where((F.col("band") == "red") & tiles.canonical("tile_id").isNotNull())
+    newest = df.groupBy("tile_id").agg(F.max_by("pixels", F.struct("time", "obs_id")).alias("pixels")).withColumn("mask", F.transform("pixels", lambda p: F.lit(True)))
+    px = ops.explode_pixels(newest.withColumns({"tx": tiles.tile_x("tile_id"), "ty": tiles.tile_y("tile_id")}), ["tx", "ty"])
+    seen = df.select("tile_id").distinct()
+    x0, y1 = seen.agg(F.min(tiles.tile_x("tile_id"))).scalar(), seen.agg(F.max(tiles.tile_y("tile_id"))).scalar()
+    return px.select(((y1 - F.col("ty")) * 4 + F.col("y")).cast("long").alias("row"), ((F.col("tx") - x0) * 4 + F.col("x")).cast("long").alias("col"), "value")
+
+
+@query(ORACLE["resample_bilinear"].replace(" WHERE tile_id = 'x4554_y-0505'", ""))
+def resample_bilinear_whole(spark, sf):
+    df = obs(spark, sf).select("obs_id", raster.bilinear_column(F.col("pixels"), 7, 7).alias("p"))
+    return df.select("obs_id", F.posexplode("p").alias("i", "value"))
+
+
+@query(ORACLE["resample_nearest"].replace(" WHERE tile_id = 'x4554_y-0505'", ""))
+def resample_nearest_whole(spark, sf):
+    df = obs(spark, sf).select("obs_id", raster.nearest_column(F.col("mask"), 6, 6).alias("m"))
+    return df.select("obs_id", F.posexplode("m").alias("i", "valid"))
+
+
 @query(f"SELECT obs_id, band, epoch_us(time) AS time_us, pixels[2 * 4 + 1 + 1] AS value FROM observations WHERE tile_id = '{HOT}' AND time >= TIMESTAMPTZ '2024-01-01 00:00:00+00' AND time <= TIMESTAMPTZ '2024-12-31 00:00:00+00'")
 def point_timeseries(spark, sf):
     """Series of the pixel that holds a point, by the tile's affine transform."""
