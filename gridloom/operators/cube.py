@@ -146,9 +146,13 @@ class Cube:
 
 def align_outer(cells: DataFrame, dims: Mapping[str, Sequence[str]]) -> DataFrame:
     """Dense union of scenes of different extents: every instant of the first group of dims with every cell of the
-    second, value NULL where a scene has none. dims: {"outer": [...], "inner": [...]}. For export: the result is as
-    large as the product, which is its meaning; kept sparse everywhere else."""
-    outer, inner = list(dims["outer"]), list(dims["inner"])
+    second, value NULL where a scene has none. dims: {"outer": [...], "inner": [...]}, and under "by" dims whose groups
+    are aligned each on its own. For export: the result is as large as the product, which is its meaning; kept sparse
+    everywhere else."""
+    outer, inner, by = list(dims["outer"]), list(dims["inner"]), list(dims.get("by", []))
+    if by:
+        frame = cells.select(*by, *outer).distinct().join(cells.select(*by, *inner).distinct(), by)
+        return frame.join(cells, [*by, *outer, *inner], "left")
     places = cells.select(*inner).distinct()
     times = cells.select(*outer).distinct().agg(F.collect_set(F.struct(*outer)).alias("_t"))
     frame = places.join(F.broadcast(times)).select(*inner, F.explode("_t").alias("_t")).select(*[F.col(f"_t.{c}").alias(c) for c in outer], *inner)

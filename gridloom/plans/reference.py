@@ -309,6 +309,102 @@ QUERIES["resample_1w_mean"] = _resample("mean", "1W")
 ORACLE["resample_1w_mean"] = f"SELECT strftime(date_trunc('week', time AT TIME ZONE 'UTC'), '%Y-%m-%d') AS start, band, y, x, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_CELLS} GROUP BY 1, 2, 3, 4"
 
 
+# the same over all tiles and products
+_PLACE = ["tile_id", "product_id"]
+_WHOLE_PX = _PIXELS.replace("FROM observations", f"FROM {_BY_TILE}")
+_WHOLE_CELLS = f"(SELECT tile_id, product_id, band, time, CAST(i // 4 AS INT) AS y, CAST(i % 4 AS INT) AS x, value FROM ({_WHOLE_PX}) WHERE valid)"
+
+
+def _whole_cube(spark, sf) -> cubes.Cube:
+    px = ops.explode_pixels(by_tile(spark, sf), [*_PLACE, "band", "time"]).where("valid")
+    return cubes.Cube.of(px, [*_PLACE, "band", "time", "y", "x"])
+
+
+@query(ORACLE["scan_observations"].replace(f" WHERE tile_id = '{HOT}'", "").replace("obs_id, band", "obs_id, tile_id, band").replace("FROM observations", f"FROM {_BY_TILE}"))
+def scan_observations_whole(spark, sf):
+    return by_tile(spark, sf).select("obs_id", "tile_id", "band", us(), "pixels", "mask")
+
+
+@query(f"SELECT obs_id, CAST(i // 4 AS INT) AS y, CAST(i % 4 AS INT) AS x, value, valid FROM ({_PIXELS})")
+def explode_pixels_whole(spark, sf):
+    return ops.explode_pixels(obs(spark, sf), ["obs_id"])
+
+
+@query(f"SELECT tile_id, band, year_month, count(*) AS n FROM {_BY_TILE} GROUP BY 1, 2, 3")
+def count_observations_whole(spark, sf):
+    return by_tile(spark, sf).groupBy("tile_id", "band", "year_month").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT obs_id, tile_id, band, epoch_us(time) AS time_us, pixels[2 * 4 + 1 + 1] AS value FROM {_BY_TILE}")
+def point_timeseries_whole(spark, sf):
+    """Series of the point at 0.3 of every tile's width and 0.6 of its height, over all times."""
+    side = ops.width_of(F.size("pixels"))
+    at = F.floor(side * 0.6) * side + F.floor(side * 0.3)
+    return by_tile(spark, sf).select("obs_id", "tile_id", "band", us(), F.get("pixels", at.cast("int")).alias("value"))
+
+
+@query(f"SELECT tile_id, product_id, band, y, x, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3, 4, 5")
+def mean_time_whole(spark, sf):
+    return _whole_cube(spark, sf).reduce("mean", "time").df
+
+
+@query(f"SELECT tile_id, product_id, band, epoch_us(time) AS time_us, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3, 4")
+def mean_yx_whole(spark, sf):
+    return _whole_cube(spark, sf).reduce("mean", ["y", "x"]).df.select(*_PLACE, "band", us(), "value")
+
+
+@query(f"SELECT tile_id, product_id, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2")
+def mean_all_whole(spark, sf):
+    return _whole_cube(spark, sf).reduce("mean", ["band", "time", "y", "x"]).df
+
+
+@query(f"SELECT tile_id, product_id, band, y, x, CAST(max(value) AS DOUBLE) AS hi, CAST(min(value) AS DOUBLE) AS lo FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3, 4, 5")
+def max_min_time_whole(spark, sf):
+    return _whole_cube(spark, sf).df.groupBy(*_PLACE, "band", "y", "x").agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
+
+
+@query(f"SELECT tile_id, product_id, band, y, x, CAST(median(value) AS DOUBLE) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3, 4, 5")
+def median_time_whole(spark, sf):
+    return _whole_cube(spark, sf).reduce("median", "time").df
+
+
+@query(f"SELECT tile_id, product_id, band, round(stddev_pop(value), 4) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3")
+def std_time_whole(spark, sf):
+    return _whole_cube(spark, sf).reduce("std", ["time", "y", "x"]).df.withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH c AS {_WHOLE_CELLS}, n AS (SELECT tile_id, product_id, band, arg_min(y, (abs(y - 2.4), y)) AS y FROM c GROUP BY 1, 2, 3)
+SELECT tile_id, product_id, band, epoch_us(time) AS time_us, x, CAST(value AS DOUBLE) AS value FROM c JOIN n USING (tile_id, product_id, band, y)""")
+def nearest_label_sel_whole(spark, sf):
+    """The row of pixels nearest to y = 2.4 of every tile, product and band."""
+    c = _whole_cube(spark, sf).df
+    keys = [*_PLACE, "band"]
+    label = c.groupBy(*keys).agg(F.min_by("y", F.struct(F.abs(F.col("y") - 2.4), "y")).alias("y"))
+    return c.join(label, [*keys, "y"]).select(*keys, us(), "x", "value")
+
+
+@query(f"""WITH c AS (SELECT tile_id, product_id, band, time, y, x, max(value) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3, 4, 5, 6), t AS (SELECT DISTINCT tile_id, product_id, band, time FROM c), p AS (SELECT DISTINCT tile_id, product_id, band, y, x FROM c)
+SELECT tile_id, product_id, band, epoch_us(time) AS time_us, y, x, c.value FROM t JOIN p USING (tile_id, product_id, band) LEFT JOIN c USING (tile_id, product_id, band, time, y, x)""")
+def scene_outer_align_whole(spark, sf):
+    """Dense union of the scenes of each tile, product and band."""
+    keys = [*_PLACE, "band"]
+    cells = ops.explode_pixels(by_tile(spark, sf), [*keys, "time"]).where("valid").groupBy(*keys, "time", "y", "x").agg(F.max("value").alias("value"))
+    return cubes.align_outer(cells, {"by": keys, "outer": ["time"], "inner": ["y", "x"]}).select(*keys, us(), "y", "x", "value")
+
+
+def _resample_whole(how: str, period: str):
+    def run(spark, sf):
+        c = _whole_cube(spark, sf).resample(period, how)
+        return c.df.select(F.date_format("time", "yyyy-MM-dd").alias("start"), *_PLACE, "band", "y", "x", "value")
+
+    return run
+
+
+for _name, _how, _period in (*((f"resample_1m_{h}", h, "1M") for h in ("mean", "max", "min", "median")), ("resample_1w_mean", "mean", "1W")):
+    QUERIES[f"{_name}_whole"] = _resample_whole(_how, _period)
+    ORACLE[f"{_name}_whole"] = ORACLE[_name].replace("AS start, band", "AS start, tile_id, product_id, band").replace(_CELLS, _WHOLE_CELLS).replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5, 6")
+
+
 # statistics and catalogue
 @query("""WITH v AS (SELECT obs_id, pixels, list_filter(list_zip(pixels, mask), lambda s: s[2]) AS ok FROM observations),
  w AS (SELECT obs_id, CASE WHEN len(ok) > 0 THEN list_transform(ok, lambda s: s[1]) ELSE pixels END AS p FROM v)

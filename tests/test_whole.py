@@ -46,3 +46,17 @@ def test_bilinear_of_mixed_arrays(spark):
     got = {r["k"]: r["q"] for r in df.select("k", raster.bilinear_column(F.col("p"), 3, 3).alias("q")).collect()}
     one = lambda a, n: raster.bilinear(np.array(a).reshape(n, n), 3, 3).ravel().tolist()
     assert got == {0: one(square, 4), 1: None, 2: None, 3: one(small, 2), 4: None, 5: [0] * 9, 6: one(square[::-1], 4)}
+
+
+def test_cubes_take_every_tile_and_product(spark, at):
+    other = {"tile_id": "X2_y1", "product_id": "q", "pixels": [10] * 16, "mask": [True] * 8 + [False] * 8}
+    sf = at([{"tile_id": "x0002_y0001"} | PX, {"tile_id": " x2_y0001"} | PX | {"time": "2024-03-01", "pixels": [k + 2 for k in range(16)]}, other])
+    assert not run(spark, sf, "mean_time")
+    got = {(r["tile_id"], r["product_id"], 4 * r["y"] + r["x"]): r["value"] for r in run(spark, sf, "mean_time_whole")}
+    assert got == {("x0002_y0001", "p", k): k + 1.0 for k in range(16)} | {("x0002_y0001", "q", k): 10.0 for k in range(8)}
+    assert {(r["product_id"], r["value"]) for r in run(spark, sf, "mean_all_whole")} == {("p", 8.5), ("q", 10.0)}
+    assert len(run(spark, sf, "scan_observations_whole")) == 3 and len(run(spark, sf, "explode_pixels_whole")) == 48
+    assert sorted(r["n"] for r in run(spark, sf, "count_observations_whole")) == [3]
+    assert {r["y"] for r in run(spark, sf, "scene_outer_align_whole") if r["product_id"] == "q"} == {0, 1}
+    assert len(run(spark, sf, "scene_outer_align_whole")) == 2 * 16 + 8
+    assert sorted(r["start"] for r in run(spark, sf, "resample_1m_mean_whole")) == ["2024-01-01"] * 24 + ["2024-03-01"] * 16
