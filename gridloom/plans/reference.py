@@ -5,6 +5,7 @@ Times come out as microseconds since 1970, so that both engines compare integers
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -41,8 +42,8 @@ def us() -> Column:
     return F.unix_micros("time").alias("time_us")
 
 
-def obs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "observations")
+def obs(spark: SparkSession, sf: str, name: str = "observations") -> DataFrame:
+    return table(spark, sf, name)
 
 
 def by_tile(spark: SparkSession, sf: str, name: str = "observations") -> DataFrame:
@@ -77,8 +78,8 @@ def filter_month_range(spark, sf):
 
 
 @query("SELECT tile_id, band, count(*) AS n FROM observations WHERE product_id = 'meridian_sr' GROUP BY 1, 2")
-def filter_product(spark, sf):
-    return obs(spark, sf).where(F.col("product_id") == "meridian_sr").groupBy("tile_id", "band").agg(F.count(F.lit(1)).alias("n"))
+def filter_product(spark, sf, read=obs):
+    return read(spark, sf).where(F.col("product_id") == "meridian_sr").groupBy("tile_id", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH moment AS (SELECT min(time) AS t FROM observations WHERE tile_id = '{HOT}' AND band = 'green')
@@ -133,19 +134,19 @@ def month_label_sel(spark, sf):
 @query("""WITH d AS (SELECT *, abs(epoch_us(time) - 1710460800000000) AS d FROM observations WHERE time IS NOT NULL),
  best AS (SELECT tile_id, band, min((d, epoch_us(time))) AS b FROM d GROUP BY 1, 2)
 SELECT o.obs_id, o.tile_id, o.band, epoch_us(o.time) AS time_us FROM d o JOIN best ON o.tile_id = best.tile_id AND o.band = best.band AND epoch_us(o.time) = b[2]""")
-def nearest_time_sel(spark, sf):
-    return ops.nearest_in_time(obs(spark, sf), _ts(2024, 3, 15), ["tile_id", "band"]).select("obs_id", "tile_id", "band", us())
+def nearest_time_sel(spark, sf, read=obs):
+    return ops.nearest_in_time(read(spark, sf), _ts(2024, 3, 15), ["tile_id", "band"]).select("obs_id", "tile_id", "band", us())
 
 
 @query("SELECT obs_id, tile_id, satellite_id, band FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, satellite_id, band ORDER BY time, obs_id) AS i FROM observations) WHERE i = 3")
-def isel_time(spark, sf):
-    return ops.at_position(obs(spark, sf), ["tile_id", "satellite_id", "band"], 2, ["time", "obs_id"]).select("obs_id", "tile_id", "satellite_id", "band")
+def isel_time(spark, sf, read=obs):
+    return ops.at_position(read(spark, sf), ["tile_id", "satellite_id", "band"], 2, ["time", "obs_id"]).select("obs_id", "tile_id", "satellite_id", "band")
 
 
 @query("""SELECT obs_id FROM (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY tile_id, satellite_id, band) AS n FROM observations WINDOW w AS (PARTITION BY tile_id, satellite_id, band ORDER BY time, obs_id))
  WHERE i >= n - 4 AND i < n - 1""")
-def isel_time_slice(spark, sf):
-    return ops.at_position(obs(spark, sf), ["tile_id", "satellite_id", "band"], slice(-4, -1), ["time", "obs_id"]).select("obs_id")
+def isel_time_slice(spark, sf, read=obs):
+    return ops.at_position(read(spark, sf), ["tile_id", "satellite_id", "band"], slice(-4, -1), ["time", "obs_id"]).select("obs_id")
 
 
 # projections and reshaping
@@ -181,13 +182,13 @@ def _aligned_sql(*bands: str, where: str = "true") -> str:
     return f"SELECT tile_id, satellite_id, time, {picks} FROM observations WHERE band IN ({names}) AND {where} GROUP BY 1, 2, 3"
 
 
-def _aligned(spark, sf, *bands: str) -> DataFrame:
-    return ops.band_arrays(obs(spark, sf), list(bands), _KEYS)
+def _aligned(df: DataFrame, *bands: str) -> DataFrame:
+    return ops.band_arrays(df, list(bands), _KEYS)
 
 
 @query(f"SELECT tile_id, satellite_id, epoch_us(time) AS time_us, blue, green, red, nir FROM ({_aligned_sql('blue', 'green', 'red', 'nir')})")
-def pivot_bands(spark, sf):
-    return _aligned(spark, sf, "blue", "green", "red", "nir").select("tile_id", "satellite_id", us(), "blue", "green", "red", "nir")
+def pivot_bands(spark, sf, read=obs):
+    return _aligned(read(spark, sf), "blue", "green", "red", "nir").select("tile_id", "satellite_id", us(), "blue", "green", "red", "nir")
 
 
 _PX = "SELECT tile_id, satellite_id, epoch_us(time) AS time_us, CAST(i AS INT) AS i, {e} AS value FROM (SELECT *, unnest(range(16)) AS i FROM ({a})) WHERE {w}"
@@ -210,26 +211,26 @@ _NDVI = _div_sql("CAST(nir[i + 1] - red[i + 1] AS DOUBLE)", "CAST(nir[i + 1] + r
 
 
 @query(_PX.format(e=_NDVI, a=_aligned_sql("red", "nir"), w="red IS NOT NULL AND nir IS NOT NULL"))
-def ndvi_pixels(spark, sf):
-    return _per_pixel(_aligned(spark, sf, "red", "nir"), _zip2("nir", "red", expr.ndvi))
+def ndvi_pixels(spark, sf, read=obs):
+    return _per_pixel(_aligned(read(spark, sf), "red", "nir"), _zip2("nir", "red", expr.ndvi))
 
 
 @query(_PX.format(e="2.5 * " + _div_sql("CAST(nir[i + 1] - red[i + 1] AS DOUBLE)", "(nir[i + 1] + 6.0 * CAST(red[i + 1] AS DOUBLE) - 7.5 * CAST(blue[i + 1] AS DOUBLE) + 1.0)"), a=_aligned_sql("blue", "red", "nir"), w="blue IS NOT NULL AND red IS NOT NULL AND nir IS NOT NULL"))
-def evi_pixels(spark, sf):
-    df = _aligned(spark, sf, "blue", "red", "nir").where("blue IS NOT NULL AND red IS NOT NULL AND nir IS NOT NULL")
+def evi_pixels(spark, sf, read=obs):
+    df = _aligned(read(spark, sf), "blue", "red", "nir").where("blue IS NOT NULL AND red IS NOT NULL AND nir IS NOT NULL")
     z = F.arrays_zip("nir", "red", "blue")
     return _per_pixel(df, F.transform(z, lambda s: expr.evi(s["nir"], s["red"], s["blue"])))
 
 
 @query(_PX.format(e=f"(nir[i + 1] + 2.0 * red[i + 1]) - red[i + 1] * 0.5 + {_div_sql('1.0', '(nir[i + 1] - 100.0)')}", a=_aligned_sql("red", "nir"), w="red IS NOT NULL AND nir IS NOT NULL"))
-def band_arith(spark, sf):
-    return _per_pixel(_aligned(spark, sf, "red", "nir"), _zip2("nir", "red", lambda n, r: (n + r * 2.0) - r * 0.5 + expr.divide(F.lit(1.0), n - 100.0)))
+def band_arith(spark, sf, read=obs):
+    return _per_pixel(_aligned(read(spark, sf), "red", "nir"), _zip2("nir", "red", lambda n, r: (n + r * 2.0) - r * 0.5 + expr.divide(F.lit(1.0), n - 100.0)))
 
 
 @query(_PX.format(e=f"CASE WHEN nir[i + 1] > red[i + 1] THEN sqrt(CAST(abs({_NDVI}) AS DOUBLE)) ELSE greatest(0.0, least({_NDVI}, 1.0)) END", a=_aligned_sql("red", "nir"), w="red IS NOT NULL AND nir IS NOT NULL AND nir[i + 1] + red[i + 1] <> 0"))
-def bandmath_expr(spark, sf):
+def bandmath_expr(spark, sf, read=obs):
     text = "np.where(b1 > red, np.sqrt(np.abs((b1 - b0) / (b1 + b0))), np.maximum(0, np.minimum((nir - red) / (nir + red), 1)))"
-    df = _aligned(spark, sf, "red", "nir")
+    df = _aligned(read(spark, sf), "red", "nir")
     z = F.filter(F.arrays_zip("red", "nir", F.sequence(F.lit(0), F.lit(15)).alias("k")), lambda s: s["nir"] + s["red"] != 0)
     px = df.where("red IS NOT NULL AND nir IS NOT NULL").select("tile_id", "satellite_id", us(), F.explode(z).alias("s"))
     value = compile_expression(text, {"red": F.col("s.red"), "nir": F.col("s.nir")})
@@ -238,9 +239,9 @@ def bandmath_expr(spark, sf):
 
 @query(f"""WITH v AS (SELECT tile_id, strftime(time AT TIME ZONE 'UTC', '%Y-%m') AS month, {_NDVI} AS v FROM (SELECT *, unnest(range(16)) AS i FROM ({_aligned_sql("red", "nir")})) WHERE red IS NOT NULL AND nir IS NOT NULL)
 SELECT tile_id, month, count(*) AS n, round(avg(v), 6) AS ndvi FROM v WHERE v BETWEEN -1 AND 1 GROUP BY 1, 2""")
-def ndvi_tile_month(spark, sf):
+def ndvi_tile_month(spark, sf, read=obs):
     """Flagship: align bands, per-pixel index, keep its valid range, monthly mean per tile."""
-    df = _aligned(spark, sf, "red", "nir").where("red IS NOT NULL AND nir IS NOT NULL")
+    df = _aligned(read(spark, sf), "red", "nir").where("red IS NOT NULL AND nir IS NOT NULL")
     v = F.filter(_zip2("nir", "red", expr.ndvi), lambda p: p.between(-1.0, 1.0))
     per = df.select("tile_id", expr.year_month(F.col("time")).alias("month"), F.size(v).cast("long").alias("n"), F.aggregate(v, F.lit(0.0), lambda a, p: a + p).alias("s"))
     return per.groupBy("tile_id", "month").agg(F.sum("n").alias("n"), F.round(F.try_divide(F.sum("s"), F.sum("n").cast("double")), 6).alias("ndvi")).where("n > 0")
@@ -437,8 +438,8 @@ def tile_band_statistics(spark, sf):
 
 @query("""WITH v AS (SELECT tile_id, band, list_filter(list_zip(pixels, mask), lambda s: s[2]) AS ok, pixels FROM observations), w AS (SELECT tile_id, band, CASE WHEN len(ok) > 0 THEN list_transform(ok, lambda s: s[1]) ELSE pixels END AS p FROM v)
 SELECT tile_id, band, CAST(sum(len(p)) AS BIGINT) AS n_pixels, CAST(sum(list_sum(p)) AS BIGINT) AS pixel_sum FROM w GROUP BY 1, 2""")
-def weighted_mean(spark, sf):
-    return ops.weighted_mean(obs(spark, sf), ["tile_id", "band"])
+def weighted_mean(spark, sf, read=obs):
+    return ops.weighted_mean(read(spark, sf), ["tile_id", "band"])
 
 
 @query(f"SELECT DISTINCT {tile_sql('tile_id')} AS tile_id FROM observations")
@@ -492,8 +493,8 @@ def series_trend(spark, sf):
 
 
 @query("SELECT count(*) AS records, count(DISTINCT tile_id) AS tiles, list_sort(list(DISTINCT band)) AS bands, min(epoch_us(time)) AS first_us, max(epoch_us(time)) AS last_us FROM observations")
-def info_report(spark, sf):
-    return obs(spark, sf).agg(F.count(F.lit(1)).alias("records"), F.countDistinct("tile_id").alias("tiles"), F.sort_array(F.collect_set("band")).alias("bands"), F.min(F.unix_micros("time")).alias("first_us"), F.max(F.unix_micros("time")).alias("last_us"))
+def info_report(spark, sf, read=obs):
+    return read(spark, sf).agg(F.count(F.lit(1)).alias("records"), F.countDistinct("tile_id").alias("tiles"), F.sort_array(F.collect_set("band")).alias("bands"), F.min(F.unix_micros("time")).alias("first_us"), F.max(F.unix_micros("time")).alias("last_us"))
 
 
 @query("SELECT regexp_extract(lower(chunk_path), '(\\.[a-z]+)$', 1) AS suffix, count(*) AS files, CAST(sum(file_bytes) AS BIGINT) AS bytes FROM tile_metadata GROUP BY 1")
@@ -503,19 +504,19 @@ def storage_stats(spark, sf):
 
 @query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT tile_id, band, year_month FROM observations)) AS stored, (SELECT count(*) FROM (SELECT DISTINCT tile_id, band, year_month FROM tile_metadata)) AS listed,
  (SELECT count(*) FROM (SELECT DISTINCT tile_id, band, year_month FROM tile_metadata EXCEPT SELECT DISTINCT tile_id, band, year_month FROM observations)) AS missing""")
-def migration_check(spark, sf):
+def migration_check(spark, sf, read=obs):
     """Chunks of the store against those of the catalogue."""
     key = ["tile_id", "band", "year_month"]
-    a = obs(spark, sf).select(*key).distinct().withColumn("s", F.lit(1))
-    b = table(spark, sf, "tile_metadata").select(*key).distinct().withColumn("l", F.lit(1))
+    a = read(spark, sf).select(*key).distinct().withColumn("s", F.lit(1))
+    b = read(spark, sf, "tile_metadata").select(*key).distinct().withColumn("l", F.lit(1))
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
     both = a.alias("a").join(b.alias("b"), on, "full")
     return both.agg(F.count("s").alias("stored"), F.count("l").alias("listed"), F.count_if(F.col("l").isNotNull() & F.col("s").isNull()).alias("missing"))
 
 
 @query("SELECT tile_id, band, obs_id, epoch_us(time) AS time_us FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, band ORDER BY time DESC, obs_id DESC) AS r FROM observations) WHERE r = 1")
-def latest_per_tile(spark, sf):
-    newest = obs(spark, sf).groupBy("tile_id", "band").agg(F.max(F.struct("time", "obs_id")).alias("n"))
+def latest_per_tile(spark, sf, read=obs):
+    newest = read(spark, sf).groupBy("tile_id", "band").agg(F.max(F.struct("time", "obs_id")).alias("n"))
     return newest.select("tile_id", "band", "n.obs_id", F.unix_micros("n.time").alias("time_us"))
 
 
@@ -540,9 +541,9 @@ def nodata_mask(spark, sf):
 
 @query(f"""WITH a AS ({_aligned_sql("green", "red")}), p AS (SELECT tile_id, satellite_id, time, unnest(red) AS v, unnest(green) AS q FROM a WHERE red IS NOT NULL AND green IS NOT NULL)
 SELECT tile_id, satellite_id, epoch_us(time) AS time_us, count(*) FILTER (q % 8 IN (0, 1, 2, 5)) AS n, CAST(sum(v) FILTER (q % 8 IN (0, 1, 2, 5)) AS DOUBLE) / nullif(count(*) FILTER (q % 8 IN (0, 1, 2, 5)), 0) AS value FROM p GROUP BY 1, 2, 3""")
-def cloud_masked_mean(spark, sf):
+def cloud_masked_mean(spark, sf, read=obs):
     """The low bits of another band stand for a quality band with eight classes, four of them clear."""
-    df = _aligned(spark, sf, "green", "red").where("red IS NOT NULL AND green IS NOT NULL")
+    df = _aligned(read(spark, sf), "green", "red").where("red IS NOT NULL AND green IS NOT NULL")
     kept = F.filter(ops.keep_clear(F.col("red"), F.transform("green", lambda q: q % 8), [0, 1, 2, 5]), lambda p: p.isNotNull())
     total = F.aggregate(kept, F.lit(0).cast("long"), lambda a, p: a + p)
     n = F.size(kept).cast("long")
@@ -613,10 +614,10 @@ def pixels_for_resolution(spark, sf):
 
 @query("""SELECT site_id, record FROM (SELECT s.site_id, o.tile AS record, row_number() OVER (PARTITION BY s.site_id, o.tile) AS r FROM (SELECT site_id, CAST(floor(lon * 111319.49079327358 * cos(radians(lat)) / 2560.0) AS INT) AS x,
  CAST(floor(lat * 111319.49079327358 / 2560.0) AS INT) AS y FROM sites) s JOIN (SELECT DISTINCT tile_id AS tile, CAST(regexp_extract(tile_id, '[xX]([+-]?[0-9]+)', 1) AS INT) AS x, CAST(regexp_extract(tile_id, '[yY]([+-]?[0-9]+)', 1) AS INT) AS y FROM observations) o USING (x, y)) WHERE r = 1""")
-def point_in_tile_join(spark, sf):
+def point_in_tile_join(spark, sf, read=obs):
     """Points meet tiles by an equi-join on the computed id, not by a range join."""
     sites = table(spark, sf, "sites").select("site_id", tiles.tile_of_point(F.col("lon"), F.col("lat")).alias("id"))
-    seen = obs(spark, sf).select(F.col("tile_id").alias("record")).distinct().withColumn("id", tiles.canonical("record"))
+    seen = read(spark, sf).select(F.col("tile_id").alias("record")).distinct().withColumn("id", tiles.canonical("record"))
     return sites.join(seen, "id").select("site_id", "record")
 
 
@@ -643,8 +644,8 @@ def buffer_tiles(spark, sf):
 
 
 @query("SELECT DISTINCT tile_id FROM tile_metadata WHERE tile_id IN (SELECT tile_id FROM observations)")
-def available_tiles_semi(spark, sf):
-    return table(spark, sf, "tile_metadata").select("tile_id").distinct().join(obs(spark, sf).select("tile_id").distinct(), "tile_id", "left_semi")
+def available_tiles_semi(spark, sf, read=obs):
+    return read(spark, sf, "tile_metadata").select("tile_id").distinct().join(read(spark, sf).select("tile_id").distinct(), "tile_id", "left_semi")
 
 
 @query("SELECT b AS band FROM (VALUES ('red'), ('nir'), ('thermal'), ('b9')) v(b) WHERE b NOT IN (SELECT band FROM observations)")
@@ -654,9 +655,9 @@ def invalid_bands_anti(spark, sf):
 
 
 @query("SELECT tile_id, band, year_month FROM observations WHERE tile_id IS NOT NULL AND band IS NOT NULL AND year_month IS NOT NULL INTERSECT SELECT tile_id, band, year_month FROM tile_metadata")
-def chunks_in_both(spark, sf):
+def chunks_in_both(spark, sf, read=obs):
     key = ["tile_id", "band", "year_month"]
-    return obs(spark, sf).select(*key).where("tile_id IS NOT NULL AND band IS NOT NULL AND year_month IS NOT NULL").intersect(table(spark, sf, "tile_metadata").select(*key))
+    return read(spark, sf).select(*key).where("tile_id IS NOT NULL AND band IS NOT NULL AND year_month IS NOT NULL").intersect(read(spark, sf, "tile_metadata").select(*key))
 
 
 @query("""WITH e AS (SELECT satellite_id, min(time AT TIME ZONE 'UTC') AS lo, max(time AT TIME ZONE 'UTC') AS hi FROM observations GROUP BY 1)
@@ -781,16 +782,16 @@ def snapshot_history(spark, sf):
 
 
 @query("SELECT tile_id, satellite_id, product_id, band, epoch_us(time) AS time_us, obs_id FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, satellite_id, product_id, band, time ORDER BY coalesce(epoch_us(ingestion_time), -2208988800000000) DESC, obs_id DESC) AS r FROM observations) WHERE r = 1")
-def latest_delivery(spark, sf):
+def latest_delivery(spark, sf, read=obs):
     keys = ["tile_id", "satellite_id", "product_id", "band", "time"]
-    return ops.latest_delivery(obs(spark, sf).select(*keys, "ingestion_time", "obs_id"), keys).select("tile_id", "satellite_id", "product_id", "band", us(), "obs_id")
+    return ops.latest_delivery(read(spark, sf).select(*keys, "ingestion_time", "obs_id"), keys).select("tile_id", "satellite_id", "product_id", "band", us(), "obs_id")
 
 
 @query("""WITH p AS (SELECT tile_id, band, strftime(time AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, product_id, list_sum(pixels) AS s, len(pixels) AS n FROM observations WHERE band IN ('red', 'nir'))
 SELECT tile_id, band, day, count(DISTINCT product_id) AS products, CAST(sum(s) AS DOUBLE) / sum(n) AS value FROM p GROUP BY 1, 2, 3""")
-def daily_fusion(spark, sf):
+def daily_fusion(spark, sf, read=obs):
     """Products of a tile brought together by day; tiles of every product share one 4 x 4 raster here."""
-    px = obs(spark, sf).where("band IN ('red', 'nir')").select("tile_id", "band", F.date_format("time", "yyyy-MM-dd").alias("day"), "product_id", F.size("pixels").cast("long").alias("n"), F.aggregate("pixels", F.lit(0).cast("long"), lambda a, p: a + p).alias("s"))
+    px = read(spark, sf).where("band IN ('red', 'nir')").select("tile_id", "band", F.date_format("time", "yyyy-MM-dd").alias("day"), "product_id", F.size("pixels").cast("long").alias("n"), F.aggregate("pixels", F.lit(0).cast("long"), lambda a, p: a + p).alias("s"))
     return px.groupBy("tile_id", "band", "day").agg(F.countDistinct("product_id").alias("products"), F.try_divide(F.sum("s").cast("double"), F.sum("n").cast("double")).alias("value"))
 
 
@@ -800,6 +801,25 @@ def bulk_rollup(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
 
 
+# the same under canonical tile ids
+def _canonical_ids(f: Query) -> Query:
+    return lambda spark, sf: f(spark, sf, read=by_tile)
+
+
+def _by_tile_sql(sql: str) -> str:
+    return re.sub(r"\b(FROM|JOIN) (observations|tile_metadata)\b", lambda m: f"{m[1]} {_BY_TILE.replace('observations', m[2])}", sql)
+
+
+for _f in (
+    ndvi_tile_month, ndvi_pixels, evi_pixels, pivot_bands, band_arith, bandmath_expr,
+    cloud_masked_mean, latest_per_tile, weighted_mean, latest_delivery, migration_check, chunks_in_both,
+    available_tiles_semi, filter_product, nearest_time_sel, isel_time, isel_time_slice, daily_fusion,
+    info_report, point_in_tile_join,
+):
+    QUERIES[f"{_f.__name__}_whole"] = _canonical_ids(_f)
+    ORACLE[f"{_f.__name__}_whole"] = _by_tile_sql(ORACLE[_f.__name__])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

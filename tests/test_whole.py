@@ -60,3 +60,13 @@ def test_cubes_take_every_tile_and_product(spark, at):
     assert {r["y"] for r in run(spark, sf, "scene_outer_align_whole") if r["product_id"] == "q"} == {0, 1}
     assert len(run(spark, sf, "scene_outer_align_whole")) == 2 * 16 + 8
     assert sorted(r["start"] for r in run(spark, sf, "resample_1m_mean_whole")) == ["2024-01-01"] * 24 + ["2024-03-01"] * 16
+
+
+def test_bands_of_one_tile_are_aligned_however_its_id_is_written(spark, at):
+    ones = {"mask": [True] * 16}
+    sf = at([{"tile_id": "x0002_y-0001", "band": "red", "pixels": [100] * 16} | ones, {"tile_id": " X2_Y-1 ", "band": "nir", "pixels": [300] * 16} | ones])
+    assert not run(spark, sf, "ndvi_tile_month")
+    assert [tuple(r) for r in run(spark, sf, "ndvi_tile_month_whole")] == [("x0002_y-0001", "2024-01", 16, 0.5)]
+    assert len(run(spark, sf, "ndvi_pixels")) == 0 and len(run(spark, sf, "ndvi_pixels_whole")) == 16
+    assert len(run(spark, sf, "pivot_bands_whole")) == 1
+    assert {r["tile_id"] for r in run(spark, sf, "latest_per_tile_whole")} == {"x0002_y-0001"}
