@@ -114,12 +114,27 @@ def bbox_scenes(spark, sf):
 
 
 @query(_SCENES + """SELECT scene_group, epoch_us(instant) AS time_us, band_names FROM b WHERE instant >= TIMESTAMP '2024-01-01' AND instant <= TIMESTAMP '2024-04-01' AND product_id = 'halo2_l2a' """)
-def scenes_filtered(spark, sf):
+def scenes_filtered(spark, sf, read=scenes):
     """A scene without an instant fails every time filter."""
-    s = scenes(spark, sf).where((F.col("instant") >= F.lit(_ts(2024, 1, 1))) & (F.col("instant") <= F.lit(_ts(2024, 4, 1))) & (F.col("product_id") == "halo2_l2a"))
+    s = read(spark, sf).where((F.col("instant") >= F.lit(_ts(2024, 1, 1))) & (F.col("instant") <= F.lit(_ts(2024, 4, 1))) & (F.col("product_id") == "halo2_l2a"))
     return s.orderBy(F.col("acquisition_time").asc_nulls_first()).select("scene_group", F.unix_micros("instant").alias("time_us"), "band_names")
 
 
+_ANY_TIME = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})?$"
+_SCENES_WHOLE = f"WITH s AS (SELECT *, CASE WHEN regexp_matches(acquisition_time, '{_ANY_TIME}') THEN try_cast(acquisition_time AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END AS instant," + _SCENES.split("AS instant,", 1)[1]
+
+
+def scenes_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenes with the instant of every ISO form: T or a blank, any offset; UTC where none is given."""
+    iso = F.when(F.col("acquisition_time").rlike(_ANY_TIME), F.col("acquisition_time").try_cast("timestamp"))
+    return scenes(spark, sf).withColumn("instant", iso)
+
+
+@query(ORACLE["scenes_filtered"].replace(_SCENES, _SCENES_WHOLE))
+def scenes_filtered_whole(spark, sf):
+    return scenes_filtered(spark, sf, read=scenes_whole)
+
+
 @query("""SELECT obs_id, epoch_us(time) AS time_us FROM observations WHERE time >= TIMESTAMPTZ '2024-03-01 00:00:00+00' AND time <= TIMESTAMPTZ '2024-06-01 00:00:00+00'""")
 def month_slice_sel(spark, sf):
     """In a slice the end month stands for its first instant."""
@@ -470,8 +485,8 @@ def count_observations(spark, sf):
 @query(_SCENES + """, g AS (SELECT product_id, count(*) AS scenes, min(epoch_us(instant)) AS first_us, max(epoch_us(instant)) AS last_us FROM b GROUP BY 1),
  n AS (SELECT product_id, list_sort(list_distinct(flatten(list(band_names)))) AS bands FROM scenes_index GROUP BY 1)
 SELECT g.product_id, scenes, first_us, last_us, n.bands, p.provider, p.resolution FROM g LEFT JOIN n USING (product_id) LEFT JOIN product_profiles p USING (product_id)""")
-def warehouse_summary(spark, sf):
-    s = scenes(spark, sf)
+def warehouse_summary(spark, sf, read=scenes):
+    s = read(spark, sf)
     per = s.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("scenes"), F.min(F.unix_micros("instant")).alias("first_us"), F.max(F.unix_micros("instant")).alias("last_us"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("band_names")))).alias("bands"),
@@ -479,6 +494,11 @@ def warehouse_summary(spark, sf):
     return per.join(table(spark, sf, "product_profiles").select("product_id", "provider", "resolution"), "product_id", "left")
 
 
+@query(ORACLE["warehouse_summary"].replace(_SCENES, _SCENES_WHOLE))
+def warehouse_summary_whole(spark, sf):
+    return warehouse_summary(spark, sf, read=scenes_whole)
+
+
 @query("SELECT product_id, list_sort(list_distinct(flatten(list(band_names)))) AS bands FROM scenes_index GROUP BY 1")
 def band_union(spark, sf):
     return table(spark, sf, "scenes_index").groupBy("product_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("band_names")))).alias("bands"))

@@ -70,3 +70,16 @@ def test_bands_of_one_tile_are_aligned_however_its_id_is_written(spark, at):
     assert len(run(spark, sf, "ndvi_pixels")) == 0 and len(run(spark, sf, "ndvi_pixels_whole")) == 16
     assert len(run(spark, sf, "pivot_bands_whole")) == 1
     assert {r["tile_id"] for r in run(spark, sf, "latest_per_tile_whole")} == {"x0002_y-0001"}
+
+
+SCENE = "scene_group string, acquisition_time string, product_id string, bounds array<double>, crs string, band_names array<string>"
+
+
+def test_scenes_of_every_form_of_time_count(spark, tmp_path):
+    times = ["2024-02-01T00:00:00Z", "2024-02-01 00:00:00", "2024-02-01T00:00:00", "2024-01-01T01:00:00+02:00", "2024-04-01T01:00:00+02:00", "soon", None]
+    spark.createDataFrame([(str(k), t, "halo2_l2a", None, None, ["red"]) for k, t in enumerate(times)], SCENE).write.parquet(f"{tmp_path}/scenes_index.parquet")
+    spark.createDataFrame([("halo2_l2a", "h", 10.0)], "product_id string, provider string, resolution double").write.parquet(f"{tmp_path}/product_profiles.parquet")
+    assert {r["scene_group"] for r in run(spark, str(tmp_path), "scenes_filtered")} == {"0"}
+    assert {r["scene_group"] for r in run(spark, str(tmp_path), "scenes_filtered_whole")} == {"0", "1", "2", "4"}
+    (row,) = run(spark, str(tmp_path), "warehouse_summary_whole")
+    assert (row["first_us"], row["last_us"]) == (1704063600000000, 1711926000000000)
