@@ -451,6 +451,27 @@ def tile_band_statistics(spark, sf):
     return s.withColumns({c: F.round(c, 4) for c in ("mean_value", "cloud_cover")})
 
 
+_ROLLUP_WHOLE = _ROLLUP.replace("FROM observations WHERE min_value IS NULL OR (min_value >= 0 AND max_value < 1e6)", f"FROM {_BY_TILE}")
+
+
+# Wild statistics are averaged too and rounded by neither engine alike, so there is no SQL for the means: tests/test_whole.py.
+@query()
+def tile_month_rollup_whole(spark, sf):
+    return ops.tile_month_rollup(by_tile(spark, sf))
+
+
+@query()
+def tile_band_statistics_whole(spark, sf):
+    return ops.tile_band_statistics(ops.tile_month_rollup(by_tile(spark, sf)))
+
+
+@query()
+def series_trend_whole(spark, sf):
+    """Every usable reading counts and has a position; series of one reading have no slope."""
+    df = by_tile(spark, sf).where("mean_value IS NOT NULL AND NOT isnan(mean_value)").select("tile_id", "satellite_id", "band", F.struct("time", "obs_id").alias("at"), "mean_value")
+    return cubes.trend(df, ["tile_id", "satellite_id", "band"], "at", "mean_value")
+
+
 @query("""WITH v AS (SELECT tile_id, band, list_filter(list_zip(pixels, mask), lambda s: s[2]) AS ok, pixels FROM observations), w AS (SELECT tile_id, band, CASE WHEN len(ok) > 0 THEN list_transform(ok, lambda s: s[1]) ELSE pixels END AS p FROM v)
 SELECT tile_id, band, CAST(sum(len(p)) AS BIGINT) AS n_pixels, CAST(sum(list_sum(p)) AS BIGINT) AS pixel_sum FROM w GROUP BY 1, 2""")
 def weighted_mean(spark, sf, read=obs):

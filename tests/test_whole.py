@@ -83,3 +83,17 @@ def test_scenes_of_every_form_of_time_count(spark, tmp_path):
     assert {r["scene_group"] for r in run(spark, str(tmp_path), "scenes_filtered_whole")} == {"0", "1", "2", "4"}
     (row,) = run(spark, str(tmp_path), "warehouse_summary_whole")
     assert (row["first_us"], row["last_us"]) == (1704063600000000, 1711926000000000)
+
+
+def test_rollup_and_trend_leave_no_row_out(spark, at):
+    values = [(10.0, 10.0, 10.0), (-32768.0, 5.0, -32768.0), (0.0, 3e6, 2e6), (None, None, None), (float("nan"),) * 3]
+    rows = [{"tile_id": t, "year_month": "2024-01", "time": f"2024-01-{k + 1:02}", "min_value": a, "max_value": b, "mean_value": c} for k, ((a, b, c), t) in enumerate(zip(values, ["x0001_y0001", "X1_Y1"] * 3))]
+    sf = at(rows)
+    (row,) = run(spark, sf, "tile_month_rollup_whole")
+    means = [10.0, -32768.0, 2e6]
+    assert (row["num_observations"], row["min_value"], row["max_value"]) == (5, -32768.0, 3e6) and np.isclose(row["mean_value"], np.mean(means))
+    assert sum(r["num_observations"] for r in run(spark, sf, "tile_month_rollup")) < 5
+    (row,) = run(spark, sf, "tile_band_statistics_whole")
+    assert row["num_observations"] == 5
+    (row,) = run(spark, sf, "series_trend_whole")
+    assert row["n"] == 3 and np.isclose(row["slope"], np.polyfit(range(3), means, 1)[0]) and np.isclose(row["std"], np.std(means))
