@@ -324,6 +324,40 @@ def record_places(scenes_index: DataFrame, tile_metadata: DataFrame, observation
     return _places(scenes.unionByName(tile_rows).unionByName(seen))
 
 
+def scenes_in_box(scenes: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Scenes (with minx, miny, maxx, maxy, NULL for none) whose bounds, in any known system, meet a box in degrees.
+    Those without bounds or in an unknown system pass: nothing is known against them."""
+    hints = [tile_x("source_file", ID_INSIDE), tile_y("source_file", ID_INSIDE)]
+
+    @F.pandas_udf("boolean")
+    def meets(code: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, hx: pd.Series, hy: pd.Series) -> pd.Series:
+        c = np.nan_to_num(code.to_numpy(dtype=float)).astype(int)
+        x0, y0, x1, y1, hx, hy = (v.to_numpy(dtype=float) for v in (x0, y0, x1, y1, hx, hy))
+        x, y = (x0 + x1) / 2, (y0 + y1) / 2
+        # Degrees given as (latitude, longitude), told as in _places.
+        h_lat = (hy + 0.5) * TILE_METRES / METRES_PER_DEGREE
+        h_lon = (hx + 0.5) * TILE_METRES / (METRES_PER_DEGREE * np.cos(np.radians(h_lat)))
+        with np.errstate(invalid="ignore"):
+            there, other = great_circle(x, y, h_lon, h_lat), great_circle(y, x, h_lon, h_lat)
+            swap = (c == 4326) & (np.abs(y) <= 360) & (np.abs(x) <= 90) & ((np.abs(y) > 90) | ((there > 200_000) & (other < 0.5 * there)))
+        x0, y0, x1, y1 = np.where(swap, y0, x0), np.where(swap, x0, y0), np.where(swap, y1, x1), np.where(swap, x1, y1)
+        # Points along the edges; longitudes run on from the first one, so that a scene at the date line stays small.
+        at = np.linspace(0, 1, 9)
+        u, v = np.concatenate([at, at, at * 0, at * 0 + 1]), np.concatenate([at * 0, at * 0 + 1, at, at])
+        px, py = x0 + u[:, None] * (x1 - x0), y0 + v[:, None] * (y1 - y0)
+        # In degrees only the ends are places: what lies between them is the shorter way round.
+        ends = (np.isin(u, (0, 1)) & np.isin(v, (0, 1)))[:, None]
+        px, py = np.where((c == 4326) & ~ends, x0, px), np.where((c == 4326) & ~ends, y0, py)
+        lon, lat = to_degrees(np.broadcast_to(c, px.shape), px, py)
+        lon = lon[0] + (lon - lon[0] + 180.0) % 360.0 - 180.0
+        west, east, south, north = lon.min(0), lon.max(0), lat.min(0), lat.max(0)
+        with np.errstate(invalid="ignore"):
+            around = np.any([(west + k <= box[2]) & (east + k >= box[0]) for k in (-360.0, 0.0, 360.0)], axis=0)
+            return pd.Series(np.isnan(lon + lat).any(0) | (around & (south <= box[3]) & (north >= box[1])))
+
+    return scenes.where(meets(crs_code(F.col("crs")), "minx", "miny", "maxx", "maxy", *hints))
+
+
 def records_near_sites(scenes_index: DataFrame, tile_metadata: DataFrame, observations: DataFrame, sites: DataFrame, metres: float = 12_000.0) -> DataFrame:
     """(record_kind, record_key, site_id) at most ``metres`` apart."""
     return near(record_places(scenes_index, tile_metadata, observations), sites, metres).select("record_kind", "record_key", "site_id")

@@ -16,6 +16,7 @@ from gridloom import products
 from gridloom.functions import expr, raster, tiles
 from gridloom.functions.bandmath import compile_expression
 from gridloom.operators import cube as cubes
+from gridloom.operators import nearby
 from gridloom.operators import observations as ops
 from gridloom.operators import spatial
 from gridloom.plans.problems import tile_sql
@@ -120,6 +121,12 @@ def scenes_filtered(spark, sf, read=scenes):
     return s.orderBy(F.col("acquisition_time").asc_nulls_first()).select("scene_group", F.unix_micros("instant").alias("time_us"), "band_names")
 
 
+@query()
+def bbox_scenes_whole(spark, sf):
+    """Scenes of every coordinate system; tests/test_whole.py has places worked out by hand."""
+    return nearby.scenes_in_box(scenes(spark, sf), BOX).select("scene_group", "product_id")
+
+
 _ANY_TIME = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})?$"
 _SCENES_WHOLE = f"WITH s AS (SELECT *, CASE WHEN regexp_matches(acquisition_time, '{_ANY_TIME}') THEN try_cast(acquisition_time AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END AS instant," + _SCENES.split("AS instant,", 1)[1]
 
@@ -188,6 +195,16 @@ def pixel_lonlat(spark, sf):
     return px.select("obs_id", "y", "x", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
+@query(ORACLE["pixel_lonlat"].replace("FROM observations", f"FROM {_BY_TILE}").replace("-?[0-9]{4}", "-?[0-9]{4,}").replace(" AND band = 'red'", ""))
+def pixel_lonlat_whole(spark, sf):
+    """All bands, and tiles however their ids are written."""
+    df = obs(spark, sf).where(tiles.canonical("tile_id").isNotNull())
+    px = ops.explode_pixels(df.withColumn("b", tiles.tile_bounds(tiles.tile_x("tile_id"), tiles.tile_y("tile_id"))), ["obs_id", "b"])
+    lon = F.col("b.minx") + F.col("x") * (F.col("b.maxx") - F.col("b.minx")) / 3
+    lat = F.col("b.maxy") + F.col("y") * (F.col("b.miny") - F.col("b.maxy")) / 3
+    return px.select("obs_id", "y", "x", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
 _KEYS = ["tile_id", "satellite_id", "time"]
 
 
@@ -574,6 +591,12 @@ def reflectance(spark, sf):
     return r.select("obs_id", F.posexplode("reflectance").alias("i", "value"))
 
 
+@query(ORACLE["reflectance"].replace(" WHERE band = 'nir'", ""))
+def reflectance_whole(spark, sf):
+    r = products.to_reflectance(obs(spark, sf).select("obs_id", "product_id", "pixels"), table(spark, sf, "product_profiles"))
+    return r.select("obs_id", F.posexplode("reflectance").alias("i", "value"))
+
+
 @query("SELECT obs_id, list_transform(pixels, lambda p: p <> nodata) AS valid FROM observations JOIN product_profiles USING (product_id)")
 def nodata_mask(spark, sf):
     p = table(spark, sf, "product_profiles").select("product_id", "nodata")

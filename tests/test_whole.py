@@ -97,3 +97,26 @@ def test_rollup_and_trend_leave_no_row_out(spark, at):
     assert row["num_observations"] == 5
     (row,) = run(spark, sf, "series_trend_whole")
     assert row["n"] == 3 and np.isclose(row["slope"], np.polyfit(range(3), means, 1)[0]) and np.isclose(row["std"], np.std(means))
+
+
+def test_box_meets_scenes_of_every_system(spark, tmp_path):
+    inside = {
+        "epsg:4326": [10, 20, 11, 21], "OGC:CRS84": [10, 20, 11, 21], "WGS 84": [11, 21, 10, 20], None: [-61, 0, -59.5, 1], "EPSG:3857": [1e6, 1e6, 1.1e6, 1.1e6],
+        "EPSG:32631": [4e5, 2e6, 5e5, 2.1e6], "WGS 84 / UTM zone 33S": [4e5, 9e6, 5e5, 9.1e6], "EPSG:4326": [370, 0, 371, 1], "no such system": [1, 2, 3, 4],
+    }
+    outside = {"epsg:4326": [70, 20, 71, 21], "OGC:CRS84": [179.9, 0, -179.9, 1], "EPSG:3857": [1e7, 1e6, 1.1e7, 1.1e6], "EPSG:32655": [4e5, 2e6, 5e5, 2.1e6], "WGS 84 / UTM zone 33S": [4e5, 5e6, 5e5, 5.1e6]}
+    rows = [(f"{name} {crs}", None, "p", [float(v) for v in b], crs, [], None) for name, d in (("in", inside), ("out", outside)) for crs, b in d.items()]
+    # Latitude first, as the tile in the path tells: lon 20 is inside, lat 50 is not.
+    rows += [("in none", None, "p", None, "EPSG:32655", [], None), ("out swapped", None, "p", [50.0, 20.0, 50.1, 20.1], None, [], "/a/x0559_y2176/b.tif")]
+    spark.createDataFrame(rows, SCENE + ", source_file string").write.parquet(f"{tmp_path}/scenes_index.parquet")
+    got = {r["scene_group"] for r in run(spark, str(tmp_path), "bbox_scenes_whole")}
+    assert got == {r[0] for r in rows if r[0].startswith("in")}
+
+
+def test_reflectance_and_places_of_all_bands(spark, at):
+    sf = at([{"band": "red", "tile_id": "x0002_y0001"} | PX, {"band": "blue", "tile_id": " X2_Y1"} | PX])
+    spark.createDataFrame([("p", 0.5, 1.0, 0)], "product_id string, scale_factor double, value_offset double, nodata int").write.parquet(f"{sf}/product_profiles.parquet")
+    assert not run(spark, sf, "reflectance") and len(run(spark, sf, "pixel_lonlat")) == 16
+    assert {(r["obs_id"], r["i"], r["value"]) for r in run(spark, sf, "reflectance_whole")} == {(o, k, k * 0.5 + 1 if k else None) for o in (1, 2) for k in range(16)}
+    got = run(spark, sf, "pixel_lonlat_whole")
+    assert len(got) == 32 and len({(r["y"], r["x"], r["lon"], r["lat"]) for r in got}) == 16
