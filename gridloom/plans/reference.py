@@ -471,7 +471,7 @@ def tile_band_statistics(spark, sf):
 _ROLLUP_WHOLE = _ROLLUP.replace("FROM observations WHERE min_value IS NULL OR (min_value >= 0 AND max_value < 1e6)", f"FROM {_BY_TILE}")
 
 
-# Wild statistics are averaged too and rounded by neither engine alike, so there is no SQL for the means: tests/test_whole.py.
+# No SQL: sums of wild statistics may differ between engines in their last digits. tests/test_whole.py has rows by hand.
 @query()
 def tile_month_rollup_whole(spark, sf):
     return ops.tile_month_rollup(by_tile(spark, sf))
