@@ -120,6 +120,31 @@ WITH slots AS (SELECT {tile_sql("tile_id")} AS tile, satellite_id, band,
 links AS (SELECT *, lead(slot) OVER w AS next_slot, lead(lo) OVER w AS next_lo FROM slots WINDOW w AS (PARTITION BY tile, satellite_id, band ORDER BY slot)),
 grid AS (SELECT *, unnest(range(slot, coalesce(next_slot, slot + 1))) AS s FROM links)
 """
+_SAME_SERIES = "tile, sat, band"
+
+
+def _scale_sql(source: str, previous: str) -> str:
+    """One more round of the trimmed scale: root mean square of the distances within five scales."""
+    parts = ", ".join(f"greatest(sqrt(avg(d{k} * d{k}) FILTER (d{k} < 5 * s{k})), 0.5) AS s{k}" for k in (1, 2, 3))
+    return f"SELECT {_SAME_SERIES}, {parts} FROM {source} JOIN {previous} USING ({_SAME_SERIES}) GROUP BY 1, 2, 3"
+
+
+# By plain rules: hard bounds; beyond eight scales of the series; six consecutive readings that share one triple.
+_SPIKES = f"""
+WITH u AS (SELECT obs_id, {tile_sql("tile_id")} AS tile, satellite_id AS sat, band, time, CAST(min_value AS DOUBLE) AS v1, CAST(max_value AS DOUBLE) AS v2, CAST(mean_value AS DOUBLE) AS v3 FROM observations
+  WHERE NOT (min_value IS NULL AND max_value IS NULL AND mean_value IS NULL) AND (mean_value IS NULL OR NOT isnan(mean_value)) AND time IS NOT NULL),
+h AS (SELECT *, coalesce(v1 < 0, false) OR coalesce(v2 < 0, false) OR coalesce(v3 < 0, false) OR coalesce(v1 > v3, false) OR coalesce(v3 > v2, false) AS hard FROM u),
+d AS (SELECT DISTINCT tile, sat, band, v1, v2, v3 FROM h WHERE NOT hard),
+m AS (SELECT {_SAME_SERIES}, median(v1) AS m1, median(v2) AS m2, median(v3) AS m3 FROM d GROUP BY 1, 2, 3),
+e AS (SELECT d.*, abs(v1 - m1) AS d1, abs(v2 - m2) AS d2, abs(v3 - m3) AS d3 FROM d JOIN m USING ({_SAME_SERIES})),
+r0 AS (SELECT {_SAME_SERIES}, greatest(1.2 * median(d1), 0.5) AS s1, greatest(1.2 * median(d2), 0.5) AS s2, greatest(1.2 * median(d3), 0.5) AS s3 FROM e GROUP BY 1, 2, 3),
+r1 AS ({_scale_sql("e", "r0")}), r2 AS ({_scale_sql("e", "r1")}), r3 AS ({_scale_sql("e", "r2")}), r4 AS ({_scale_sql("e", "r3")}),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY {_SAME_SERIES} ORDER BY time) AS k FROM h),
+o AS (SELECT DISTINCT tile, sat, band, v1, v2, v3, k FROM n),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY tile, sat, band, v1, v2, v3 ORDER BY k) AS island FROM o),
+w AS (SELECT *, count(*) OVER (PARTITION BY tile, sat, band, v1, v2, v3, island) >= 6 AS stuck FROM g)
+SELECT obs_id FROM n JOIN w USING (tile, sat, band, v1, v2, v3, k) JOIN m USING ({_SAME_SERIES}) JOIN r4 USING ({_SAME_SERIES})
+WHERE hard OR stuck OR abs(v1 - m1) > 8 * s1 OR abs(v2 - m2) > 8 * s2 OR abs(v3 - m3) > 8 * s3"""
 _PATH = r"lower(regexp_replace(chunk_path, '[/\\]+', '/', 'g'))"
 _CHUNKS = rf"""
 WITH paths AS (SELECT *, {_PATH} AS p FROM chunk_rows),
@@ -163,6 +188,7 @@ SELECT tile_id, band, strftime(month, '%Y-%m') AS period, CAST(version AS BIGINT
         + """SELECT tile AS tile_id, satellite_id, band, strftime(DATE '2023-01-01' + CAST(s * 5 AS INT), '%Y-%m-%d') AS slot_start,
  CASE WHEN s = slot THEN n_readings ELSE 0 END AS n_readings, CASE WHEN s = slot THEN hi END AS value, s <> slot AS missing, hi AS carried,
  CASE WHEN s = slot THEN hi ELSE hi + (next_lo - hi) * ((s - slot) / (next_slot - slot)) END AS interpolated FROM grid""",
+        "p5_found": _SPIKES,
         "p3_found": _CHUNKS + "SELECT row_id FROM ranked WHERE rn > 1",
         "p3_consolidated": _CHUNKS
         + """SELECT row_id, 'x' || CASE WHEN x < 0 THEN '-' ELSE '' END || lpad(CAST(abs(x) AS VARCHAR), 4, '0') || '_y' || CASE WHEN y < 0 THEN '-' ELSE '' END || lpad(CAST(abs(y) AS VARCHAR), 4, '0') AS tile_id,
