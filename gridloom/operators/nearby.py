@@ -8,11 +8,15 @@ gap by binary search over the slab's edges. For "near", every site's region is a
 polygon around the circle of the given radius, and an exact great-circle distance
 decides on the few candidates.
 
-Slabs are distributed by strips of longitude: each strip's regions are decomposed
-on their own. Points carry no geometry but their strip, so a strip that holds a
-third of all points is salted: its small decomposition is repeated, its points
-are spread. Where the regions are few (``BROADCAST_REGIONS``, checked) the whole
-decomposition is broadcast and the points are not shuffled at all.
+Slabs are distributed by cells of a grid of whole degrees: a region goes to every cell
+it touches, a point to its own, and the regions of a cell are decomposed in the task
+that holds them. A cell with many regions is decomposed in groups of about ``GROUP``
+regions, each group on its own, as overlapping regions have a number of trapezoids
+that rises faster than their own; a point then meets every group of its cell. Points
+carry no geometry but their cell, so a cell that holds a third of all points is
+salted: its decompositions are repeated, its points are spread. Points in cells
+without a region are dropped before the shuffle by a list of the cells that have
+one; of these there are at most 360 x 181, however many regions or points there are.
 """
 
 from __future__ import annotations
@@ -31,10 +35,12 @@ from gridloom.functions.crs import crs_code, to_degrees
 from gridloom.functions.tiles import ID_INSIDE, METRES_PER_DEGREE, TILE_METRES, canonical, tile_bounds, tile_x, tile_y
 
 RADIUS = 6378137.0
-#: More regions than this are distributed by strip instead of broadcast; 50,000 polygons decompose to under 200 MB.
-BROADCAST_REGIONS = 50_000
-STRIP_DEGREES = 1.0
+#: Regions of a cell that are decomposed together, about.
+GROUP = 32
+#: Tasks over which the points of one cell and group are spread.
 SALTS = 16
+#: A scene's centre is no further from its tile than this; degrees that put it further and are closer when exchanged are exchanged.
+REACH = 20_000.0
 CORNERS = 12
 
 
@@ -144,81 +150,88 @@ def great_circle(lon1, lat1, lon2, lat2):
     return 2 * RADIUS * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
 
 
-def _site_shapes(sites: np.ndarray, lon: np.ndarray, lat: np.ndarray, metres: float) -> tuple[list[np.ndarray], np.ndarray]:
+def _site_shapes(sites: np.ndarray, lon: np.ndarray, lat: np.ndarray, metres: float, cell: tuple[int, int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rings of the sites' circles that touch the cell, and the site of each."""
     rings, owner = [], []
     for k in range(len(sites)):
         for ring in circle_rings(float(lon[k]), float(lat[k]), metres):
-            rings.append(ring)
-            owner.append(k)
+            if cell in _cells(ring):
+                rings.append(ring)
+                owner.append(k)
     return rings, np.array(owner, np.int64)
 
 
-def near(points: DataFrame, sites: DataFrame, metres: float, broadcast_regions: int = BROADCAST_REGIONS, salts: int = SALTS) -> DataFrame:
+def _exchanged(code: np.ndarray, x: np.ndarray, y: np.ndarray, hint_x: np.ndarray, hint_y: np.ndarray) -> np.ndarray:
+    """Whether degrees are given as (latitude, longitude): the latitude is none, or the centre is out of reach of the
+    record's tile and closer to it when exchanged."""
+    h_lat = (hint_y + 0.5) * TILE_METRES / METRES_PER_DEGREE
+    h_lon = (hint_x + 0.5) * TILE_METRES / (METRES_PER_DEGREE * np.cos(np.radians(h_lat)))
+    with np.errstate(invalid="ignore"):
+        there, other = great_circle(x, y, h_lon, h_lat), great_circle(y, x, h_lon, h_lat)
+        return (code == 4326) & (np.abs(y) <= 360) & (np.abs(x) <= 90) & ((np.abs(y) > 90) | ((there > REACH) & (other < there)))
+
+
+def _cells(ring: np.ndarray) -> list[tuple[int, int]]:
+    """Cells (whole degrees) that the ring's box touches, on this side of the date line."""
+    (w, s), (e, n) = ring.min(axis=0), ring.max(axis=0)
+    xs = range(max(math.floor(w), -180), min(math.floor(e), 179) + 1)
+    return [(x, y) for x in xs for y in range(max(math.floor(s), -90), min(math.floor(n), 90) + 1)]
+
+
+def near(points: DataFrame, sites: DataFrame, metres: float, group: int = GROUP, salts: int = SALTS) -> DataFrame:
     """(record_kind, record_key, site_id, metres) for every point at most ``metres`` from a site.
 
     points: record_kind, record_key, lon, lat; sites: site_id, lon, lat. Points or sites with NULL or NaN coordinates
-    are near nothing; repeated points each give their rows; other columns are ignored; empty tables give no rows."""
+    are near nothing; repeated points each give their rows, repeated sites give one; other columns are ignored; empty
+    tables give no rows."""
     good = sites.where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")).select("site_id", F.col("lon").cast("double"), F.col("lat").cast("double"))
-    bounded = good.limit(broadcast_regions + 1).toPandas()  # the size check reads at most one row more than it allows
-    result = "record_kind string, record_key string, site_id bigint, metres double"
-    thin = points.select("record_kind", "record_key", "lon", "lat")
-    if len(bounded) <= broadcast_regions:
-        ids, lon, lat = (bounded[c].to_numpy() for c in ("site_id", "lon", "lat"))
-        shapes = Trapezoids(*_site_shapes(ids, lon, lat, metres))
-        shared = points.sparkSession.sparkContext.broadcast((shapes, ids, lon, lat))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shapes, ids, lon, lat = shared.value
-            for batch in batches:
-                x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lon", "lat"))
-                point, k = shapes.locate(x, y)
-                yield _within(batch, point, x, y, ids[k], lon[k], lat[k], metres)
-
-        return thin.mapInArrow(scan, result)
-
-    # Strips: a region goes to every strip it touches, a point to its own; strips are decomposed where they lie.
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rings, owner = _site_shapes(pdf["site_id"].to_numpy(), pdf["lon"].to_numpy(), pdf["lat"].to_numpy(), metres)
-            for ring, k in zip(rings, owner, strict=True):
-                lo, hi = (math.floor(v / STRIP_DEGREES) for v in (max(ring[:, 0].min(), -180.0), min(ring[:, 0].max(), 180.0)))
-                yield pd.DataFrame({"strip": range(lo, hi + 1), "site_id": pdf["site_id"][k], "s_lon": pdf["lon"][k], "s_lat": pdf["lat"][k]})
-
-    regions = good.mapInPandas(spread, "strip int, site_id bigint, s_lon double, s_lat double").distinct()
-    salted_regions = regions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64("record_kind", "record_key"), F.lit(salts)).cast("int")
-    strip = F.floor(F.col("lon") / STRIP_DEGREES).cast("int")
-    placed = thin.where(F.col("lon").isNotNull() & ~F.isnan("lon")).select("*", strip.alias("strip"), salt.alias("salt"))
-
-    # Regions first within each (strip, salt), then its points, which stream past the decomposition in batches.
-    kinds = "strip int, salt int, side int, site_id bigint, record_kind string, record_key string, lon double, lat double"
-    left = salted_regions.selectExpr("strip", "salt", "0 AS side", "site_id", "CAST(NULL AS string) AS record_kind", "CAST(NULL AS string) AS record_key", "s_lon AS lon", "s_lat AS lat")
-    right = placed.selectExpr("strip", "salt", "1 AS side", "CAST(NULL AS bigint) AS site_id", "record_kind", "record_key", "lon", "lat")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lon, lat = (batch.column(c).to_numpy() for c in ("lon", "lat"))
+            rows = [(k, *cell) for k in range(batch.num_rows) for ring in circle_rings(float(lon[k]), float(lat[k]), metres) for cell in _cells(ring)]
+            k, x, y = np.array(rows, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), *batch.take(pa.array(k)).columns], names=["cx", "cy", "site_id", "lon", "lat"])
+
+    regions = good.mapInArrow(spread, "cx int, cy int, site_id bigint, lon double, lat double").distinct()
+    # At most 360 x 181 rows: one per cell of the grid.
+    cells = F.broadcast(regions.groupBy("cx", "cy").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("groups")))
+    grouped = regions.join(cells, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("site_id", "lon", "lat"), F.col("groups")).cast("int"))
+    thin = points.select("record_kind", "record_key", F.col("lon").cast("double"), F.col("lat").cast("double"))
+    whole = lambda c: F.floor(c).cast("int")
+    placed = thin.where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")).withColumns({"cx": whole("lon"), "cy": whole("lat")}).join(cells, ["cx", "cy"])
+    salt = F.pmod(F.xxhash64("record_kind", "record_key", "lon", "lat", F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    placed = placed.withColumn("salt", salt).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+
+    # Regions first within each (cell, group, salt), then its points, which stream past the decomposition in batches.
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    order = ["cx", "cy", "part", "salt", "side"]
+    left = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
+        "cx", "cy", "part", "salt", F.lit(0).alias("side"), "site_id", none("string", "record_kind"), none("string", "record_key"), "lon", "lat"
+    )
+    right = placed.select("cx", "cy", "part", "salt", F.lit(1).alias("side"), none("bigint", "site_id"), "record_kind", "record_key", "lon", "lat")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, lon, lat, shapes = None, [], [], [], None
+        at, held, built, shapes = None, [], None, None
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("strip", "salt", "side")], axis=1)
+            key = np.stack([batch.column(c).to_numpy() for c in order], axis=1)
             cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.empty(0, int)
             for lo, hi in zip(cuts, [*cuts[1:], len(key)], strict=True):
-                part, where = batch.slice(int(lo), int(hi - lo)), (int(key[lo, 0]), int(key[lo, 1]))
+                part, where = batch.slice(int(lo), int(hi - lo)), tuple(key[lo, :4].tolist())
                 if where != at:
-                    at, ids, lon, lat, shapes = where, [], [], [], None
+                    at, held = where, []
                 x, y = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lon", "lat"))
-                if key[lo, 2] == 0:
-                    ids.append(part.column("site_id").to_numpy())
-                    lon.append(x)
-                    lat.append(y)
-                elif ids:
-                    if shapes is None:
-                        i, u, v = (np.concatenate(z) for z in (ids, lon, lat))
-                        shapes = (Trapezoids(*_site_shapes(i, u, v, metres)), i, u, v)
+                if key[lo, 4] == 0:
+                    held.append((part.column("site_id").to_numpy(), x, y))
+                elif held:
+                    if built != at[:3]:  # other salts of the same group have the same regions
+                        i, u, v = (np.concatenate(z) for z in zip(*held, strict=True))
+                        built, shapes = at[:3], (Trapezoids(*_site_shapes(i, u, v, metres, at[:2])), i, u, v)
                     point, k = shapes[0].locate(x, y)
                     yield _within(part, point, x, y, shapes[1][k], shapes[2][k], shapes[3][k], metres)
 
-    both = left.unionByName(right).repartition("strip", "salt").sortWithinPartitions("strip", "salt", "side")
-    assert both.columns == [c.split()[0] for c in kinds.split(", ")]
-    return both.mapInArrow(sweep, result)
+    both = left.unionByName(right).repartition(*order[:4]).sortWithinPartitions(*order)
+    return both.mapInArrow(sweep, "record_kind string, record_key string, site_id bigint, metres double")
 
 
 def _within(batch: pa.RecordBatch, point: np.ndarray, x, y, ids, lon, lat, metres: float) -> pa.RecordBatch:
@@ -271,15 +284,8 @@ def _places(rows: DataFrame) -> DataFrame:
             code = np.nan_to_num(num("code")).astype(int)
             x, y = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
             lon, lat = to_degrees(code, x, y)
-            # Degrees given as (latitude, longitude): the latitude is none, or the swapped centre is where the tile is.
+            swap = _exchanged(code, x, y, num("hint_x"), num("hint_y"))
             other_lon, other_lat = to_degrees(code, y, x)
-            hx, hy = num("hint_x"), num("hint_y")
-            h_lat = (hy + 0.5) * TILE_METRES / METRES_PER_DEGREE
-            h_lon = (hx + 0.5) * TILE_METRES / (METRES_PER_DEGREE * np.cos(np.radians(h_lat)))
-            with np.errstate(invalid="ignore"):
-                closer = great_circle(other_lon, other_lat, h_lon, h_lat) < 0.5 * great_circle(lon, lat, h_lon, h_lat)
-                far = great_circle(lon, lat, h_lon, h_lat) > 200_000
-                swap = (code == 4326) & (np.abs(y) <= 360) & (np.abs(x) <= 90) & ((np.abs(y) > 90) | (far & closer))
             lon, lat = np.where(swap, other_lon, lon), np.where(swap, other_lat, lat)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lon), pa.array(lat)], names=["record_kind", "record_key", "lon", "lat"])
 
@@ -333,13 +339,7 @@ def scenes_in_box(scenes: DataFrame, box: tuple[float, float, float, float]) ->
     def meets(code: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, hx: pd.Series, hy: pd.Series) -> pd.Series:
         c = np.nan_to_num(code.to_numpy(dtype=float)).astype(int)
         x0, y0, x1, y1, hx, hy = (v.to_numpy(dtype=float) for v in (x0, y0, x1, y1, hx, hy))
-        x, y = (x0 + x1) / 2, (y0 + y1) / 2
-        # Degrees given as (latitude, longitude), told as in _places.
-        h_lat = (hy + 0.5) * TILE_METRES / METRES_PER_DEGREE
-        h_lon = (hx + 0.5) * TILE_METRES / (METRES_PER_DEGREE * np.cos(np.radians(h_lat)))
-        with np.errstate(invalid="ignore"):
-            there, other = great_circle(x, y, h_lon, h_lat), great_circle(y, x, h_lon, h_lat)
-            swap = (c == 4326) & (np.abs(y) <= 360) & (np.abs(x) <= 90) & ((np.abs(y) > 90) | ((there > 200_000) & (other < 0.5 * there)))
+        swap = _exchanged(c, (x0 + x1) / 2, (y0 + y1) / 2, hx, hy)
         x0, y0, x1, y1 = np.where(swap, y0, x0), np.where(swap, x0, y0), np.where(swap, y1, x1), np.where(swap, x1, y1)
         # Points along the edges; longitudes run on from the first one, so that a scene at the date line stays small.
         at = np.linspace(0, 1, 9)
@@ -366,8 +366,6 @@ def records_near_sites(scenes_index: DataFrame, tile_metadata: DataFrame, observ
 def regions_of(points: DataFrame, regions: list[tuple[int, list[tuple[float, float]]]]) -> DataFrame:
     """(record_kind, record_key, region_id): the query's own regions (polygon rings given by the caller, in degrees) that
     contain each point. A ring that crosses the date line is given as two rings of the same id."""
-    if len(regions) > BROADCAST_REGIONS:
-        raise ValueError(f"more than {BROADCAST_REGIONS} literal regions")
     shapes = Trapezoids([np.asarray(r, float) for _, r in regions], np.array([i for i, _ in regions], np.int64))
     shared = points.sparkSession.sparkContext.broadcast(shapes)
 

@@ -27,8 +27,8 @@ def test_against_brute_force(spark):
     points += [("p", "0", points[0][2], points[0][3]), ("x", "null", None, None), (None, None, 0.1, 0.1)]
     p, s = frames(spark, points, sites)
     want = brute(points, sites, 12_000.0)
-    for limit in (1000, 5):
-        got = rows_of(n.near(p, s, 12_000.0, broadcast_regions=limit).select("record_kind", "record_key", "site_id"))
+    for group, salts in ((1000, 1), (32, 16), (5, 3)):
+        got = rows_of(n.near(p, s, 12_000.0, group, salts).select("record_kind", "record_key", "site_id"))
         assert got == want
 
 
@@ -60,6 +60,24 @@ def test_regions_that_cross(spark):
     assert rows_of(n.regions_of(p, [(k, list(map(tuple, r))) for k, r in rings])) == sorted(want, key=repr)
 
 
+def test_many_sites_in_one_place(spark):
+    """Regions that all overlap are decomposed in groups; every point meets them all."""
+    rng = np.random.default_rng(6)
+    sites = [(k, 10.5 + float(x), 20.5 + float(y)) for k, (x, y) in enumerate(rng.uniform(-0.05, 0.05, (150, 2)))]
+    points = [("p", str(k), 10.5 + float(x), 20.5 + float(y)) for k, (x, y) in enumerate(rng.uniform(-0.2, 0.2, (300, 2)))]
+    p, s = frames(spark, points, sites)
+    assert rows_of(n.near(p, s, 12_000.0).select("record_kind", "record_key", "site_id")) == brute(points, sites, 12_000.0)
+
+
+def test_exchanged_degrees_close_to_the_diagonal():
+    """Longitude and latitude nearly alike: exchanging moves a scene by 100 km only, still far out of its tile's reach."""
+    lon, lat = 30.9, 30.0
+    hy = np.array([np.floor(lat * 111319.49079327358 / 2560)])
+    hx = np.array([np.floor(lon * 111319.49079327358 * np.cos(np.radians(lat)) / 2560)])
+    code = np.array([4326])
+    assert n._exchanged(code, np.array([lat]), np.array([lon]), hx, hy)[0] and not n._exchanged(code, np.array([lon]), np.array([lat]), hx, hy)[0]
+
+
 def test_utm_round_trip_and_known_point():
     lon, lat = np.array([148.84, -70.5, 9.0]), np.array([52.26, -33.2, 0.0])
     zone, south = np.array([55, 19, 32]), np.array([False, True, False])
