@@ -19,17 +19,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_diverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = late_events.diverted(table(spark, sf_dir, "observations"))
-    return late.select("obs_id", F.date_format("period_start", "yyyy-MM").alias("period"))
+    return late.select("obs_id", F.date_format("period_start", "yyyy-MM").alias("period"), "status")
 
 
 def p1_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed = late_events.closed_periods(late_events.first_deliveries(table(spark, sf_dir, "observations")))
-    return closed.select(F.date_format("period_start", "yyyy-MM").alias("period"), "sources", "idle_sources", F.unix_micros("closed_at").alias("closed_us"))
+    state = late_events.period_state(table(spark, sf_dir, "observations"))
+    return state.select(F.date_format("period_start", "yyyy-MM").alias("period"), "sources", "idle_sources", F.unix_micros("complete_at").alias("complete_us"), F.unix_micros("closed_at").alias("closed_us"))
 
 
 def p1_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    readings = late_events.first_deliveries(table(spark, sf_dir, "observations"))
-    rows = late_events.corrected_aggregates(readings, ["tile_id", "band"])
+    rows = late_events.corrected_aggregates(table(spark, sf_dir, "observations"), ["tile_id", "band"])
     return rows.select(
         "tile_id", "band", F.date_format("period_start", "yyyy-MM").alias("period"), "version", "obs_id", "n_readings", "n_pixels", "pixel_sum", "pixel_min", "pixel_max"
     )
@@ -112,6 +111,20 @@ WITH named AS (SELECT *, {tile_sql("tile_id")} AS tile FROM observations WHERE i
 ranked AS (SELECT *, row_number() OVER (PARTITION BY tile, satellite_id, product_id, band, time, pixels ORDER BY ingestion_time, obs_id) AS rn FROM named),
 readings AS (SELECT *, date_trunc('month', time AT TIME ZONE 'UTC') AS month, ingestion_time AT TIME ZONE 'UTC' AS seen FROM ranked WHERE rn = 1)
 """
+
+
+def _passed_sql(after: int) -> str:
+    """When the last source passed the bound ``after`` days behind each month, and how many were timed out after a week."""
+    return f"""(SELECT e, (SELECT count(DISTINCT s) FROM shown) AS sources, (SELECT count(DISTINCT s) FROM shown) - count(i) + count(*) FILTER (i > e + INTERVAL {after + 7} DAY) AS idle,
+  CASE WHEN count(i) < (SELECT count(DISTINCT s) FROM shown) THEN e + INTERVAL {after + 7} DAY ELSE max(least(i, e + INTERVAL {after + 7} DAY)) END AS passed
+  FROM ends LEFT JOIN (SELECT s, e, min(i) AS i FROM shown JOIN ends ON i > e + INTERVAL {after} DAY GROUP BY 1, 2) USING (e) GROUP BY e)"""
+
+
+_STATE = f"""
+, shown AS (SELECT satellite_id AS s, ingestion_time AT TIME ZONE 'UTC' AS i FROM observations WHERE ingestion_time IS NOT NULL),
+ends AS (SELECT DISTINCT month + INTERVAL 1 MONTH AS e FROM readings),
+complete AS {_passed_sql(3)}, closed AS {_passed_sql(45)}
+"""
 _SLOTS = f"""
 WITH slots AS (SELECT {tile_sql("tile_id")} AS tile, satellite_id, band,
    CAST(floor((epoch_us(time) - 1672531200000000) / 432000000000.0) AS BIGINT) AS slot, count(obs_id) AS n_readings,
@@ -161,18 +174,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _FIRST
         + "SELECT obs_id FROM readings WHERE seen > month + INTERVAL 1 MONTH + INTERVAL 3 DAY AND seen <= month + INTERVAL 1 MONTH + INTERVAL 45 DAY",
-        "p1_diverted": _FIRST + "SELECT obs_id, strftime(month, '%Y-%m') AS period FROM readings WHERE seen > month + INTERVAL 1 MONTH + INTERVAL 45 DAY",
+        "p1_diverted": _FIRST
+        + _STATE
+        + """SELECT obs_id, strftime(month, '%Y-%m') AS period, CASE WHEN seen >= passed THEN 'diverted' ELSE 'overdue' END AS status
+FROM readings JOIN closed ON e = month + INTERVAL 1 MONTH WHERE seen > month + INTERVAL 1 MONTH + INTERVAL 45 DAY""",
         "p1_periods": _FIRST
-        + """, bounds AS (SELECT DISTINCT date_trunc('month', CAST(d AS TIMESTAMP)) AS month_end FROM (
-   SELECT unnest(generate_series((SELECT min(seen) - INTERVAL 34 DAY FROM readings), (SELECT max(seen) - INTERVAL 3 DAY FROM readings), INTERVAL 1 DAY)) AS d)),
-sources AS (SELECT DISTINCT satellite_id AS s FROM readings),
-passed AS (SELECT s, month_end, min(seen) AS seen FROM sources JOIN readings ON satellite_id = s JOIN bounds ON seen > month_end + INTERVAL 3 DAY GROUP BY s, month_end),
-first_days AS (SELECT satellite_id AS s, min(CAST(seen - INTERVAL 3 DAY - INTERVAL 1 MICROSECOND AS DATE)) AS d0 FROM readings GROUP BY 1),
-heard AS (SELECT p.*, least(seen, month_end + INTERVAL 10 DAY) AS passed_at, seen > month_end + INTERVAL 10 DAY AS idle FROM passed p JOIN first_days f ON p.s = f.s AND CAST(month_end AS DATE) >= d0 - 31)
-SELECT strftime(month_end - INTERVAL 1 MONTH, '%Y-%m') AS period, (SELECT count(*) FROM sources) AS sources,
- CAST((SELECT count(*) FROM sources) - count(*) + count(*) FILTER (idle) AS BIGINT) AS idle_sources,
- epoch_us(CASE WHEN count(*) < (SELECT count(*) FROM sources) THEN month_end + INTERVAL 10 DAY ELSE max(passed_at) END) AS closed_us
-FROM heard GROUP BY month_end""",
+        + _STATE
+        + """SELECT strftime(e - INTERVAL 1 MONTH, '%Y-%m') AS period, closed.sources, CAST(closed.idle AS BIGINT) AS idle_sources, epoch_us(complete.passed) AS complete_us, epoch_us(closed.passed) AS closed_us
+FROM complete JOIN closed USING (e)""",
         "p1_monthly": _FIRST
         + """, measured AS (SELECT tile AS tile_id, band, month, obs_id, seen, seen <= month + INTERVAL 1 MONTH + INTERVAL 3 DAY AS punctual,
    len(pixels) AS k, list_sum(pixels) AS s, list_min(pixels) AS lo, list_max(pixels) AS hi FROM readings WHERE seen <= month + INTERVAL 1 MONTH + INTERVAL 45 DAY),

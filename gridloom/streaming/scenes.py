@@ -25,12 +25,15 @@ def into_warehouse(stream: DataFrame, store: Warehouse, checkpoint: str, name: s
 
 
 def monthly_composites(stream: DataFrame, rule: Lateness = Lateness()) -> DataFrame:
-    """Per tile, band and month the number, extremes and sum of usable means, updated as late rows arrive and dropped
-    from the state once the watermark on event time is past the cut-off. Event time stands for arrival here: a stream
-    has one watermark; the per-source rule is the batch operator's."""
-    usable = stream.where(F.col("mean_value").isNotNull() & ~F.isnan("mean_value"))
+    """Per tile, band and month the number, extremes and sum of usable means, one row a month, updated as late rows
+    arrive. The watermark is on the month's end: the state of a month is dropped once a month that ends ``cutoff`` days
+    and a month later has begun to arrive. A stream has one watermark; the per-source rule is the batch operator's."""
+    usable = stream.where(F.col("mean_value").isNotNull() & ~F.isnan("mean_value") & F.col("time").isNotNull())
+    month = F.date_trunc("month", "time")
     return (
-        usable.withWatermark("time", f"{rule.cutoff + 31} days")
-        .groupBy("tile_id", "band", F.date_trunc("month", "time").alias("month"), F.window("time", "1 day").alias("day"))
+        usable.withColumn("month_end", month + F.expr("INTERVAL 1 MONTH"))
+        .withWatermark("month_end", f"{rule.cutoff + 31} days")
+        .groupBy("tile_id", "band", "month_end")
         .agg(F.count(F.lit(1)).alias("n"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.sum(F.col("mean_value").cast("double")).alias("mean_sum"))
+        .withColumn("month", F.col("month_end") - F.expr("INTERVAL 1 MONTH"))
     )

@@ -41,8 +41,8 @@ def test_only_the_first_delivery_counts(observations):
 def test_empty(observations):
     df = observations([])
     assert late.late_accepted(df).collect() == []
-    assert late.closed_periods(late.first_deliveries(df)).collect() == []
-    assert late.corrected_aggregates(late.first_deliveries(df), ["tile_id"]).collect() == []
+    assert late.period_state(df).collect() == []
+    assert late.corrected_aggregates(df, ["tile_id"]).collect() == []
 
 
 def test_a_period_closes_with_its_last_source(observations):
@@ -52,16 +52,44 @@ def test_a_period_closes_with_its_last_source(observations):
             {"satellite_id": "b", "time": "2024-01-10", "ingestion_time": "2024-01-12"},
             {"satellite_id": "a", "time": "2024-02-05", "ingestion_time": "2024-02-05 06:00"},
             {"satellite_id": "b", "time": "2024-02-06", "ingestion_time": "2024-02-07 12:00"},
-            {"satellite_id": "a", "time": "2024-03-06", "ingestion_time": "2024-03-20"},  # beyond bound + idle
+            {"satellite_id": "a", "time": "2024-03-06", "ingestion_time": "2024-03-20"},
+            {"satellite_id": "b", "time": "2024-03-06", "ingestion_time": "2024-03-21"},
         ]
     )
-    got = {str(r["period_start"])[:7]: r for r in late.closed_periods(late.first_deliveries(df)).collect()}
+    plain = lambda t: t.replace(tzinfo=None)
+    got = {str(r["period_start"])[:7]: r for r in late.period_state(df).collect()}
     january = got["2024-01"]
-    assert january["closed_at"].replace(tzinfo=None) == utc("2024-02-07 12:00").replace(tzinfo=None)
+    assert plain(january["complete_at"]) == plain(utc("2024-02-07 12:00")) and plain(january["closed_at"]) == plain(utc("2024-03-21"))
     assert (january["sources"], january["idle_sources"]) == (2, 0)
-    february = got["2024-02"]  # a is timed out, b is never heard of again
-    assert february["idle_sources"] == 2
-    assert february["closed_at"].replace(tzinfo=None) == utc("2024-03-11").replace(tzinfo=None)
+    february = got["2024-02"]  # nobody is heard of after the cut-off: both are timed out; complete by time-out, too
+    assert february["idle_sources"] == 2 and plain(february["complete_at"]) == plain(utc("2024-03-11"))
+    assert plain(february["closed_at"]) == plain(utc("2024-04-22"))
+
+
+def test_another_source_keeps_a_period_open(observations):
+    """Tables that differ in the clock of another source only: other closing, other diversions, the same late rows."""
+    own = [
+        {"time": "2024-01-10", "ingestion_time": "2024-02-20", "pixels": [1]},
+        {"time": "2024-01-10", "ingestion_time": "2024-03-18", "pixels": [2]},
+        {"time": "2024-01-10", "ingestion_time": "2024-03-19", "pixels": [3]},
+        {"time": "2024-01-10", "ingestion_time": "2024-04-19", "pixels": [4]},
+    ]
+
+    def states(clock):
+        df = observations([*own, {"satellite_id": "other", "time": "2024-01-11", "ingestion_time": "2024-01-12"}, *({"satellite_id": "other", "time": "2024-01-11", "ingestion_time": t, "pixels": [k]} for k, t in enumerate(clock))])
+        closed = late.period_state(df).first()["closed_at"].replace(tzinfo=None)
+        return closed, ids(late.late_accepted(df)), {r["obs_id"]: r["status"] for r in late.diverted(df).collect() if r["obs_id"] < 5}
+
+    prompt, slow, idle = states(["2024-03-17 12:00"]), states(["2024-03-18 12:00"]), states([])
+    assert prompt == (utc("2024-03-18").replace(tzinfo=None), [1], {2: "diverted", 3: "diverted", 4: "diverted"})
+    assert slow == (utc("2024-03-18 12:00").replace(tzinfo=None), [1], {2: "overdue", 3: "diverted", 4: "diverted"})
+    assert idle == (utc("2024-03-24").replace(tzinfo=None), [1], {2: "overdue", 3: "overdue", 4: "diverted"})
+
+
+def test_pixels_are_told_apart(observations):
+    kinds = [None, [], [None], [None, None], [0], [0, None], [None, 0], [1, 2], [2, 1]]
+    df = observations([{"pixels": p, "ingestion_time": "2024-02-10"} for p in [*kinds, *kinds]])
+    assert ids(late.late_accepted(df)) == list(range(1, len(kinds) + 1))
 
 
 def test_corrections_follow_each_late_row(observations):
@@ -75,7 +103,7 @@ def test_corrections_follow_each_late_row(observations):
             {"pixels": None, "ingestion_time": "2024-02-21", "time": "2024-01-15"},
         ]
     )
-    out = late.corrected_aggregates(late.first_deliveries(df), ["tile_id", "band"]).orderBy("version").collect()
+    out = late.corrected_aggregates(df, ["tile_id", "band"]).orderBy("version").collect()
     assert [(r["version"], r["obs_id"], r["n_readings"], r["n_pixels"], r["pixel_sum"], r["pixel_min"], r["pixel_max"]) for r in out] == [
         (0, None, 1, 2, 4, 1, 3), (1, 2, 2, 3, 14, 1, 10), (2, 3, 3, 4, 14, 0, 10), (3, 4, 4, 5, 21, 0, 10), (4, 6, 5, 5, 21, 0, 10),
     ]

@@ -191,13 +191,13 @@ def test_stream_into_warehouse(spark, observations, tmp_path):
 
 def test_monthly_composites(spark, observations, tmp_path):
     src = str(tmp_path / "src")
-    df = observations([{"time": t, "mean_value": v, "min_value": v, "max_value": v} for t, v in (("2024-01-10", 1.0), ("2024-01-10", 3.0), ("2024-02-01", 5.0), ("2024-02-02", float("nan")))], extra=False)
+    df = observations([{"time": t, "mean_value": v, "min_value": v, "max_value": v} for t, v in (("2024-01-10", 1.0), ("2024-01-10", 3.0), ("2024-01-25", 4.0), ("2024-02-01", 5.0), ("2024-02-02", float("nan")))], extra=False)
     df.coalesce(1).write.parquet(src)
     out = streams.monthly_composites(streams.follow(spark, src, df.schema))
     q = out.writeStream.outputMode("update").format("memory").queryName("composites").trigger(availableNow=True).start()
     q.awaitTermination()
     got = sorted((str(r["month"])[:7], r["n"], r["mean_sum"]) for r in spark.table("composites").collect())
-    assert got == [("2024-01", 2, 4.0), ("2024-02", 1, 5.0)]
+    assert got == [("2024-01", 3, 8.0), ("2024-02", 1, 5.0)]
 
 
 def test_cli(spark, observations, tmp_path, capsys):
