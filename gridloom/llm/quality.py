@@ -1,12 +1,16 @@
 """Per-document text quality statistics and a verdict: running speech or something else.
 
-Method: a text is worked in chunks of ``CHUNK`` bytes that end at a line end where
-there is one. A chunk gives partial counts of its closed lines and, as boundary
-state, the counts of a first and last line that are still open; two neighbouring
-partials merge by adding counts and joining the open lines (a word cut in two
-counts once). Merging is associative, and the partials of a document are merged
-pairwise in a tree; ratios and rules are derived from the root. All chunks of a
-document come from one row, so the tree needs no shuffle. All counting is done on
+Method: a text of more than ``CHUNK`` bytes is cut into chunks at fixed byte positions,
+wherever they fall, and the chunks are spread over tasks. A chunk gives the partial
+counts of the lines that lie in it whole and, as boundary state, the bytes of the line
+it begins within and of the line it ends within. Two neighbouring partials merge by
+adding counts and counting the line that their boundary states make up together; that
+is associative, so the partials of a document are merged as a tree: runs of ``FAN``
+chunks in one task each, then the runs of a document. The counts of a line depend on
+that line only, so merged partials equal the counts of the whole text for every chunk
+size. Shorter texts are one partial each. A line of more than ``LINE`` bytes is counted
+as several, cut behind every ``LINE`` bytes at the next blank, so the boundary
+state is bounded. Ratios and rules are derived from the root. All counting is done on
 whole batches of bytes by array operations, not line by line.
 
 A line is set aside if it is blank, a cue number, a time line, a header, an advert
@@ -18,15 +22,20 @@ common words, or Japanese syllables, or letters read in a wrong encoding, or is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.encode import pieces
 
-CHUNK = 1 << 20
+CHUNK = 1 << 14
+#: Chunks of a run.
+FAN = 64
+LINE = 1 << 12
 #: Bytes of short texts worked on at once; the arrays then stay in the processor's cache.
 PIECE = 1 << 18
 # Common words of the corpus' languages, at most eight bytes each.
@@ -37,15 +46,14 @@ COMMON = {
     "fr": "je ne pas le la de un une est que il elle on et ce nous vous les des du au dans pour ma ton ce c'est où qui",
     "ru": "не я что он она мы на и это как был ты был нас с у мне мой твой наш её по за от до",
 }
-# Phrases of adverts and credits of the makers of subtitles.
-ADVERTS = (b"www.", b"http:", b"https:", b".example", b"subtitles by", b"subtitled by", b"synced &", b"== sync", b"corrected by", b"advertise your", b"vip member", b"captions by", b"film club", b"download at", b"browser extension", b"watch any video")
+# Links, and the credit formulas of subtitle files in general.
+ADVERTS = (b"www.", b"http:", b"https:", b"subtitles by", b"subtitled by", b"captions by", b"captioned by", b"synced by", b"corrected by", b"translated by", b"download")
 HEADERS = (b"webvtt", b"note", b"style", b"region", b"x-timestamp-map")
 _BLANK, _LETTER, _DIGIT, _MARK, _SYMBOL, _NOTE = range(6)
-#: Counts of a line; those up to ADDED are summed when open lines join.
+#: Counts of a line.
 FIELDS = ["bytes", "chars", "letters", "letter_chars", "digits", "marks", "symbols", "notes", "digit_runs", "words", "common", "kana", "wrong", "arrow", "advert"]
-ADDED = len(FIELDS)
-FIRST, LAST, IN_START, IN_END, STAR = range(ADDED, ADDED + 5)  # first and last visible byte class, word open at the ends, stars around
-WIDTH = ADDED + 5
+FIRST, LAST, STAR = range(len(FIELDS), len(FIELDS) + 3)  # first visible byte, whether it ends like a sentence, stars around
+WIDTH = len(FIELDS) + 3
 #: Document sums.
 SUMS = ["lines", "n_chars", "n_words", "word_chars", "visible", "symbols", "ended", "common", "speech", "other"]
 
@@ -102,18 +110,42 @@ def _is_tag(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (following == 47) | ((following | 32) >= 97) & ((following | 32) <= 122)
 
 
-def line_counts(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(counts of every line, start of every line, whether it is closed) of bytes; cuts: starts of texts, which start a
-    line too. CR, LF and CRLF end a line."""
+def line_starts(b: np.ndarray, limits: np.ndarray, line: int = LINE) -> np.ndarray:
+    """Starts of the lines of texts laid end to end; limits: starts of the texts. CR, LF and CRLF end a line; a line of
+    more than ``line`` bytes goes on as a new one behind every ``line`` bytes, at the next blank if one is near, else at the
+    next start of a character."""
     n = len(b)
-    end = (b == 10) | (b == 13)
     mark = np.zeros(n, bool)
-    mark[1:] = end[:-1]
-    mark[cuts[cuts < n]] = True
-    mark[0] = True
+    mark[1:] = ((b[:-1] == 10) | (b[:-1] == 13)) & ~((b[:-1] == 13) & (b[1:] == 10))
+    mark[limits[limits < n]] = True
     start = np.flatnonzero(mark)
+    size = np.diff(np.append(start, n))
+    long = np.flatnonzero(size > line)
+    if len(long):
+        at = np.concatenate([np.arange(s + line, s + k, line) for s, k in zip(start[long], size[long], strict=True)])
+        stop = np.repeat(start[long] + size[long], (size[long] - 1) // line)
+        blank = np.zeros(len(at), bool)
+        for d in range(64):  # behind the next blank, if one is near
+            new = ~blank & (at + d < stop) & (b[np.minimum(at + d, n) - 1] == 32)
+            at[new] += d
+            blank |= new
+        for _ in range(4):
+            at += (at < stop) & ((b[np.minimum(at, n - 1)] & 0xC0) == 0x80)
+        mark[at[at < stop]] = True
+        start = np.flatnonzero(mark)
+    return start
+
+
+def line_counts(b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Counts of every line, each as if it stood alone; start: starts of the lines, the first at 0."""
+    n = len(b)
+    end = (b == 10) | (b == 13)
+    mark = np.zeros(n, bool)
+    mark[start] = True
     line = np.cumsum(mark, dtype=np.int32) - 1
     last = np.append(start[1:], n) - 1
+    final = np.zeros(n, bool)
+    final[last] = True
     c = _CLASS[b]
     high = b >= 0x80
     if high.any():
@@ -142,7 +174,7 @@ def line_counts(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         np.add.at(change, lo, 1)
         np.add.at(change, hi, -1)
     blanked = np.cumsum(change[:-1]) > 0
-    arrow_at = np.flatnonzero((b[:-2] == 45) & (b[1:-1] == 45) & (b[2:] == 62)) if n > 2 else np.empty(0, int)
+    arrow_at = np.flatnonzero((b[:-2] == 45) & (b[1:-1] == 45) & (b[2:] == 62) & (line[:-2] == line[2:])) if n > 2 else np.empty(0, int)
     c[blanked] = _BLANK
     letter, digit = c == _LETTER, c == _DIGIT
     whole = (b & 0xC0) != 0x80
@@ -166,7 +198,7 @@ def line_counts(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         z = np.flatnonzero(closes)
         size = z - w + 1
         # letters beside digits are no word of a language
-        alone = ~(digit[np.maximum(w - 1, 0)] & (w > 0)) & ~(digit[np.minimum(z + 1, n - 1)])
+        alone = ~(digit[np.maximum(w - 1, 0)] & ~mark[w]) & ~(digit[np.minimum(z + 1, n - 1)] & ~final[z])
         small = np.concatenate([np.where((b >= 65) & (b <= 90), b | 32, b), np.zeros(8, np.uint8)])
         eight = np.ndarray(n + 1, "<u8", small, strides=(1,))
         short = np.flatnonzero((size <= 8) & alone)
@@ -178,30 +210,29 @@ def line_counts(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         out[:, 11] = np.bincount(line[kana[letter[kana]]], minlength=len(start))
         c3 = np.flatnonzero(b[:-2] == 0xC3)
         x, y = b[c3 + 1], b[c3 + 2]
-        odd = (((x >= 0x82) & (x <= 0x83)) | ((x >= 0x90) & (x <= 0x91)) | ((x >= 0xA2) & (x <= 0xAF))) & ((y == 0xC2) | ((y >= 0xC5) & (y <= 0xC6)) | (y == 0xCB) | (y == 0xE2))
+        odd = (line[c3] == line[c3 + 2]) & (((x >= 0x82) & (x <= 0x83)) | ((x >= 0x90) & (x <= 0x91)) | ((x >= 0xA2) & (x <= 0xAF))) & ((y == 0xC2) | ((y >= 0xC5) & (y <= 0xC6)) | (y == 0xCB) | (y == 0xE2))
         out[:, 12] = np.bincount(line[c3[odd]], minlength=len(start))
     out[:, 13] = np.bincount(line[arrow_at], minlength=len(start)) if len(arrow_at) else 0
     low = b.tobytes().lower()
     for phrase in ADVERTS:
         at = low.find(phrase)
         while at >= 0:
-            out[line[at], 14] += 1
+            out[line[at], 14] += line[at] == line[at + len(phrase) - 1]
             at = low.find(phrase, at + len(phrase))
     seen = np.flatnonzero((c != _BLANK) & (c != _NOTE))
     if len(seen):
         rows, first = np.unique(line[seen], return_index=True)
-        final = np.append(first[1:], len(seen)) - 1
+        behind = np.append(first[1:], len(seen)) - 1
         out[rows, FIRST] = b[seen[first]]
-        out[rows, LAST] = _terminal(b, c, seen, first, final)
-        lone = (out[rows, FIRST] == 42) & (b[seen[final]] == 42) & (out[rows, 2] > 0)
+        out[rows, LAST] = _terminal(b, c, seen, first, behind)
+        lone = (out[rows, FIRST] == 42) & (b[seen[behind]] == 42) & (out[rows, 2] > 0)
         out[rows[lone], STAR] = 1
-    out[:, IN_START], out[:, IN_END] = letter[start], letter[last]
     if any(h in low for h in HEADERS):
         maybe = np.flatnonzero(np.isin(out[:, FIRST] | 32, [h[0] for h in HEADERS]) & (out[:, 9] <= 2) & (out[:, LAST] == 0))
         for k in maybe.tolist():
-            if low[start[k] : start[k] + 18].lstrip(b"\xef\xbb\xbf \t").startswith(HEADERS):
+            if low[start[k] : min(start[k] + 24, last[k] + 1)].lstrip(b"\xef\xbb\xbf \t").startswith(HEADERS):
                 out[k, 13] += 1
-    return out, start, end[last]
+    return out
 
 
 def _terminal(b, c, seen, first, final) -> np.ndarray:
@@ -249,100 +280,88 @@ def _doc_sums(counts: np.ndarray) -> np.ndarray:
     return np.stack([np.asarray(x, np.int64) for x in cols], axis=1)
 
 
-class Partial:
-    """Sums of closed lines and the open lines at both ends of a stretch of text; ``through``: it is one open line."""
+def _sums(b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return _doc_sums(line_counts(b, start)).sum(axis=0) if len(b) else np.zeros(len(SUMS), np.int64)
+
 
-    __slots__ = ("head", "sums", "tail", "through")
+@dataclass
+class Partial:
+    """Sums of the lines that lie whole in a stretch of text, the bytes before its first line start and those from its
+    last line start on; without a line start all bytes are ``head`` and there is no ``tail``."""
 
-    def __init__(self, counts: np.ndarray, opened: bool, closed: bool):
-        """counts: of the stretch's lines; opened: it continues a line of the stretch before; closed: its last line ends."""
-        self.through = opened and not closed and len(counts) == 1
-        self.head = counts[0] if opened and len(counts) else None
-        self.tail = None if closed or self.through or not len(counts) else counts[-1]
-        inner = counts[1 if opened else 0 : len(counts) if closed else -1]
-        self.sums = _doc_sums(inner).sum(axis=0) if len(inner) else np.zeros(len(SUMS), np.int64)
-        # A stretch that continues a line and ends it holds a closed head; one line that begins and stays open is a tail.
+    sums: np.ndarray
+    head: bytes
+    tail: bytes | None
 
     @staticmethod
-    def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = a.copy()
-        out[:ADDED] += b[:ADDED]
-        if a[IN_END] and b[IN_START]:
-            out[9] -= 1  # one word in two parts
-        if a[FIRST] == 0:
-            out[FIRST] = b[FIRST]
-        if b[FIRST]:
-            out[LAST] = b[LAST]
-        out[IN_END] = b[IN_END]
-        out[STAR] = a[STAR] & b[STAR]
-        return out
-
-    def merge(self, other: Partial) -> Partial:
-        out = Partial.__new__(Partial)
-        out.sums = self.sums + other.sums
-        out.head, out.tail, out.through = self.head, other.tail, False
-        open_end = self.head if self.through else self.tail
-        if open_end is not None and other.head is not None:
-            line = Partial._join(open_end, other.head)
-            if other.through:
-                out.head, out.tail, out.through = (line, None, True) if self.through else (self.head, line, False)
-            elif self.through:
-                out.head = line
+    def of(b: np.ndarray, opens: bool, cuts: np.ndarray) -> Partial:
+        """opens: whether a line starts at the first byte; cuts: further starts, inside lines that are too long."""
+        start = line_starts(b, np.zeros(1, np.int64), max(len(b), 1))
+        start = np.union1d(start if opens else start[1:], cuts).astype(np.int64)
+        if not len(start):
+            return Partial(np.zeros(len(SUMS), np.int64), b.tobytes(), None)
+        inner = b[start[0] : start[-1]]
+        return Partial(_sums(inner, start[:-1] - start[0]), b[: start[0]].tobytes(), b[start[-1] :].tobytes())
+
+
+def merge(parts: list[Partial]) -> Partial:
+    """Neighbouring partials in order as one. The lines that two or more of them make up are counted at once."""
+    made: list[bytes] = []
+    head, tail = parts[0].head, parts[0].tail
+    for p in parts[1:]:
+        if p.tail is None:
+            head, tail = (head + p.head, None) if tail is None else (head, tail + p.head)
+        else:
+            if tail is None:
+                head += p.head
             else:
-                out.sums = out.sums + _doc_sums(line[None])[0]
-        return out
+                made.append(tail + p.head)
+            tail = p.tail
+    total = np.sum([p.sums for p in parts], axis=0)
+    if made:
+        size = np.cumsum([len(m) for m in made])
+        total = total + _sums(np.frombuffer(b"".join(made), np.uint8), np.concatenate([[0], size[:-1]]))
+    return Partial(total, head, tail)
 
-    def finish(self) -> np.ndarray:
-        rest = [x for x in (self.head, self.tail) if x is not None]
-        return self.sums + (_doc_sums(np.stack(rest)).sum(axis=0) if rest else 0)
 
+def finish(root: Partial) -> np.ndarray:
+    """Sums of a whole document: what is left open stands for its last line."""
+    rest = np.frombuffer(root.head + (root.tail or b""), np.uint8)
+    return root.sums + _sums(rest, np.zeros(1, np.int64))
 
-def chunk_limits(b: np.ndarray, chunk: int = CHUNK) -> list[int]:
-    """Limits of a long text's chunks: behind the last line end within ``chunk`` bytes, else at a character's start."""
-    limits, at = [0], 0
-    while len(b) - at > chunk:
-        stretch = b[at : at + chunk]
-        ends = np.flatnonzero((stretch == 10) | (stretch == 13))
-        cut = at + (int(ends[-1]) + 1 if len(ends) else chunk)
-        while cut > at + 1 and (b[cut] & 0xC0) == 0x80:
-            cut -= 1
-        limits.append(cut)
-        at = cut
-    return [*limits, len(b)]
 
+def cut(b: np.ndarray, chunk: int = CHUNK, line: int = LINE) -> Iterator[tuple[np.ndarray, bool, np.ndarray]]:
+    """Chunks of a text as (bytes, whether a line starts with them, starts inside lines that are too long)."""
+    start = line_starts(b, np.zeros(1, np.int64), line)
+    own = np.setdiff1d(start, line_starts(b, np.zeros(1, np.int64), max(len(b), 1)), assume_unique=True)
+    for at in range(0, len(b), chunk):
+        stop = min(at + chunk, len(b))
+        k = int(np.searchsorted(start, at))
+        yield b[at:stop], k < len(start) and start[k] == at, own[np.searchsorted(own, at) : np.searchsorted(own, stop)] - at
 
-def text_sums(b: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+
+def text_sums(b: np.ndarray, chunk: int = CHUNK, line: int = LINE) -> np.ndarray:
     """Document sums of one text by chunks and a merge tree."""
-    limits, parts, opened = chunk_limits(b, chunk), [], False
-    for lo, hi in zip(limits[:-1], limits[1:], strict=True):
-        if hi > lo:
-            counts, _, closed = line_counts(b[lo:hi], np.zeros(1, np.int64))
-            parts.append(Partial(counts, opened, bool(closed[-1])))
-            opened = not closed[-1]
+    parts = [Partial.of(*x) for x in cut(b, chunk, line)]
     while len(parts) > 1:
-        parts = [parts[k].merge(parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-    return parts[0].finish() if parts else np.zeros(len(SUMS), np.int64)
+        parts = [merge(parts[k : k + 2]) for k in range(0, len(parts), 2)]
+    return finish(parts[0]) if parts else np.zeros(len(SUMS), np.int64)
 
 
-def batch_sums(b: np.ndarray, limits: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+def batch_sums(b: np.ndarray, limits: np.ndarray, line: int = LINE) -> np.ndarray:
     """Document sums of many texts laid end to end."""
-    n = len(limits) - 1
-    out = np.zeros((n, len(SUMS)), np.int64)
-    if n == 1 and len(b) > chunk:
-        out[0] = text_sums(b, chunk)
-    elif len(b):
-        counts, start, _ = line_counts(b, limits[:-1])
-        per_line = _doc_sums(counts)
+    out = np.zeros((len(limits) - 1, len(SUMS)), np.int64)
+    if len(b):
+        start = line_starts(b, limits[:-1], line)
         some = np.flatnonzero(np.diff(limits) > 0)
-        first = np.searchsorted(start, limits[:-1][some])
-        out[some] = np.add.reduceat(per_line, first, axis=0)
+        out[some] = np.add.reduceat(_doc_sums(line_counts(b, start)), np.searchsorted(start, limits[:-1][some]), axis=0)
     return out
 
 
 SCHEMA = "doc_id bigint, n_chars bigint, n_lines bigint, n_words bigint, mean_word_length double, symbol_ratio double, end_punctuation_share double, common_word_share double, speech_lines bigint, other_lines bigint, is_speech boolean"
 
 
-def quality(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def quality(documents: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per document: characters (line ends aside) and lines of the whole text; of the remaining lines the
     words, mean word length, share of marks and symbols in visible characters, share of lines that end like a sentence,
     share of common words, speech and other lines; ``is_speech``: at least half of the remaining lines are speech.
@@ -350,19 +369,97 @@ def quality(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     NULL, empty and blank texts, and texts of which nothing remains, have zero counts, NULL ratios and NULL verdict.
     Repeated rows each come out; other columns are ignored. Texts are worked whole, whatever their length."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for at, stop, b, limits in pieces(batch.column(1), PIECE):
+                long = np.flatnonzero(np.diff(limits) > chunk)
+                short = np.setdiff1d(np.arange(stop - at), long)
+                ids = batch.column(0).slice(at, stop - at)
+                # Short texts end to end, without the long ones between them.
+                keep = np.ones(len(b), bool)
+                for k in long:
+                    keep[limits[k] : limits[k + 1]] = False
+                size = np.diff(limits)[short]
+                s = batch_sums(b[keep] if len(long) else b, np.concatenate([[0], np.cumsum(size)]))
+                yield _rows(ids.take(pa.array(short)), row + short, np.zeros(len(short), np.int64), s)
+                for k in long:
+                    parts = list(cut(b[limits[k] : limits[k + 1]], chunk))
+                    for lo in range(0, len(parts), FAN):
+                        some = parts[lo : lo + FAN]
+                        n = len(some)
+                        yield _rows(
+                            ids.take(pa.array([k] * n)), np.full(n, row + k), np.arange(lo, lo + n), None,
+                            raw=[x[0].tobytes() for x in some], opens=[bool(x[1]) for x in some], cuts=[x[2].tolist() for x in some],
+                        )
+                row += stop - at
+
+    def merged(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[int, int, Partial, int | None]] = []
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                if held:
+                    row, part, _, doc = held[0]
+                    yield _partial_row(doc, row, part, merge([h[2] for h in held]))
+                    held.clear()
+
+            for batch in batches:
+                many = np.flatnonzero(~batch.column("sums").is_valid().to_numpy(zero_copy_only=False) | batch.column("head").is_valid().to_numpy(zero_copy_only=False))
+                whole = np.setdiff1d(np.arange(batch.num_rows), many)
+                if len(whole):
+                    yield batch.take(pa.array(whole))
+                for r in batch.take(pa.array(many)).to_pylist():
+                    if held and (held[0][0] != r["row"] or (not last and held[0][1] // FAN != r["part"] // FAN)):
+                        yield from flush()
+                    p = Partial(np.array(r["sums"]), r["head"], r["tail"]) if r["raw"] is None else Partial.of(np.frombuffer(r["raw"], np.uint8), r["opens"], np.array(r["cuts"], np.int64))
+                    held.append((r["row"], r["part"], p, r["doc_id"]))
+            yield from flush()
+
+        return run
+
+    parts = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut_texts, PARTS)
+    group = F.floor(F.col("part") / FAN)
+    runs = parts.repartition("row", group).sortWithinPartitions("row", "part").mapInArrow(merged(False), PARTS)
+    roots = runs.repartition("row").sortWithinPartitions("row", "part").mapInArrow(merged(True), PARTS)
+
+    def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, b, limits in pieces(batch.column(1), PIECE):
-                s = dict(zip(SUMS, batch_sums(b, limits).T, strict=True))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    remaining = s["speech"] + s["other"]
-                    ratios = [s["word_chars"] / s["n_words"], s["symbols"] / s["visible"], s["ended"] / remaining, s["common"] / s["n_words"]]
-                verdict = pa.array(s["other"] * 2 <= remaining, mask=remaining == 0)
-                doubles = [pa.array(r, pa.float64(), mask=~np.isfinite(r)) for r in ratios]
-                cols = [batch.column(0).slice(row, end - row), pa.array(s["n_chars"]), pa.array(s["lines"]), pa.array(s["n_words"]), *doubles, pa.array(s["speech"]), pa.array(s["other"]), verdict]
-                yield pa.RecordBatch.from_arrays(cols, names=[c.strip().split()[0] for c in SCHEMA.split(",")])
-
-    return documents.select(key, text).mapInArrow(scan, SCHEMA)
+            if not batch.num_rows:
+                continue
+            all_sums = np.array(batch.column("sums").flatten().to_numpy(zero_copy_only=False)).reshape(-1, len(SUMS)).copy()
+            for k in np.flatnonzero(batch.column("head").is_valid().to_numpy(zero_copy_only=False)):
+                all_sums[k] = finish(Partial(all_sums[k], batch.column("head")[int(k)].as_py(), batch.column("tail")[int(k)].as_py()))
+            s = dict(zip(SUMS, all_sums.T, strict=True))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                remaining = s["speech"] + s["other"]
+                ratios = [s["word_chars"] / s["n_words"], s["symbols"] / s["visible"], s["ended"] / remaining, s["common"] / s["n_words"]]
+            verdict = pa.array(s["other"] * 2 <= remaining, mask=remaining == 0)
+            doubles = [pa.array(r, pa.float64(), mask=~np.isfinite(r)) for r in ratios]
+            cols = [batch.column("doc_id"), pa.array(s["n_chars"]), pa.array(s["lines"]), pa.array(s["n_words"]), *doubles, pa.array(s["speech"]), pa.array(s["other"]), verdict]
+            yield pa.RecordBatch.from_arrays(cols, names=[c.strip().split()[0] for c in SCHEMA.split(",")])
+
+    return roots.mapInArrow(derive, SCHEMA)
+
+
+PARTS = "doc_id bigint, row bigint, part bigint, sums array<bigint>, head binary, tail binary, raw binary, opens boolean, cuts array<int>"
+_PARTS = pa.schema(
+    [("doc_id", pa.int64()), ("row", pa.int64()), ("part", pa.int64()), ("sums", pa.list_(pa.int64())), ("head", pa.binary()), ("tail", pa.binary()), ("raw", pa.binary()), ("opens", pa.bool_()), ("cuts", pa.list_(pa.int32()))]
+)
+
+
+def _rows(ids: pa.Array, row: np.ndarray, part: np.ndarray, sums: np.ndarray | None, raw=None, opens=None, cuts=None) -> pa.RecordBatch:
+    """Rows of whole texts (sums alone) or of chunks (raw bytes and how they begin)."""
+    n = len(row)
+    listed = pa.nulls(n, pa.list_(pa.int64())) if sums is None else pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * len(SUMS), len(SUMS), dtype=np.int32)), pa.array(sums.ravel()))
+    kinds = [f.type for f in _PARTS]
+    more = [pa.nulls(n, k) if v is None else pa.array(v, k) for v, k in zip((raw, opens, cuts), kinds[6:], strict=True)]
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(row, pa.int64()), pa.array(part, pa.int64()), listed, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *more], schema=_PARTS)
+
+
+def _partial_row(doc: int | None, row: int, part: int, p: Partial) -> pa.RecordBatch:
+    one = {"doc_id": doc, "row": row, "part": part, "sums": p.sums.tolist(), "head": p.head, "tail": p.tail, "raw": None, "opens": None, "cuts": None}
+    return pa.RecordBatch.from_pylist([one], schema=_PARTS)
 
 
 def not_speech(documents: DataFrame) -> DataFrame:

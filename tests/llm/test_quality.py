@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from conftest import rows_of
+
 from gridloom.llm import quality as q
 from gridloom.llm.encode import pieces
 
@@ -60,27 +62,41 @@ def test_line_ends_do_not_matter():
             assert verdicts([t.replace("\n", end) for t in texts]) == verdicts(texts)
 
 
-def sums(text, chunk=None):
+def sums(text, chunk=None, line=q.LINE):
     b = np.frombuffer(text.encode(), np.uint8)
-    return (q.text_sums(b, chunk) if chunk else q.batch_sums(b, np.array([0, len(b)]))[0]).tolist()
+    return (q.text_sums(b, chunk, line) if chunk else q.batch_sums(b, np.array([0, len(b)]), line)[0]).tolist()
 
 
 def test_chunks_of_real_texts_agree(sf):
-    for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column("text").to_pylist():
+    for k, t in enumerate(pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column("text").to_pylist()):
         if t:
-            assert sums(t, 600) == sums(t)
+            assert sums(t, 600) == sums(t) and sums(t, 61 + k % 37) == sums(t)
+
+
+SNIPPETS = [
+    "the ", "boat", " you are it", "(a long sound description)", "[door", "]", "(", ")", "<i>", "</i>", "{an8}", "00:00:01,000 --> 00:00:02,000", "-->", "www.crew.example", "subtitles by x", "WEBVTT", "NOTE",
+    "12", "7th", ". ", "! ", "?\"", "\n", "\r\n", "\r", "\n\n", "é", "ø¸", "Ð¿", "…", "。", "いつ", "鍵", "♪", "*", "│", "\ufeff", "\u3000", "🙂", "«oui»",
+]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(SNIPPETS), min_size=1, max_size=30), st.integers(2, 50), st.sampled_from([5, 16, 4096]))
+def test_merged_partials_equal_the_whole(words, chunk, line):
+    text = "".join(words)
+    assert sums(text, chunk, line) == sums(text, None, line)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("abc .!?\n-5é。")), min_size=1, max_size=120), st.integers(3, 40))
-def test_chunks_within_a_line_keep_the_counts(text, chunk):
-    a, b = sums(text, chunk), sums(text)
-    assert a[:2] == b[:2]  # lines and characters, whatever is cut
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sampled_from(SNIPPETS), min_size=4, max_size=30), st.integers(2, 20), st.integers(1, 5))
+def test_merging_is_associative(words, chunk, at):
+    parts = [q.Partial.of(*x) for x in q.cut(np.frombuffer("".join(words).encode(), np.uint8), chunk)]
+    whole = q.finish(q.merge(parts)).tolist()
+    assert q.finish(q.merge([q.merge(parts[:at]), *([q.merge(parts[at:])] if parts[at:] else [])])).tolist() == whole
 
 
 def test_one_line_of_many_chunks():
     text = "the boat is old " * 5000
-    assert sums(text, 1001)[:6] == sums(text)[:6]
+    assert sums(text, 1001) == sums(text) and sums(text)[0] == -(-len(text) // q.LINE)
 
 
 def test_batches_equal_single_texts():
@@ -101,6 +117,11 @@ def test_table(spark):
     first = by[0]
     assert (first["n_words"], first["speech_lines"], first["end_punctuation_share"]) == (9, 2, 1.0)
     assert abs(first["mean_word_length"] - 32 / 9) < 1e-9
+    huge = by[len(texts) - 1]
+    assert huge["n_words"] == 9 + 4 * 200_000 and huge["n_chars"] == len(texts[-1].replace("\n", "")) and huge["is_speech"]
+    for chunk in (50, 1000):
+        few = df.where("doc_id < 30")
+        assert rows_of(q.quality(few, chunk=chunk)) == rows_of(q.quality(few))
     nothing = by[len(SPEECH) + len(OTHER)]
     assert nothing["n_chars"] == 0 and nothing["is_speech"] is None and nothing["mean_word_length"] is None
     assert q.quality(df.limit(0)).collect() == []
