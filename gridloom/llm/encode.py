@@ -1,265 +1,220 @@
-"""Encoding of whole texts with a public byte-level BPE, sharing work between documents.
-
-Method: content-defined chunk reuse. A rolling hash over the last four bytes nominates
-chunk joins, which so depend on nearby content only: equal passages of different
-documents fall into equal chunks; each distinct chunk is encoded once and its ids
-are copied wherever it occurs again. Joins are repaired before anything is copied:
-a join stands if it is a *seam*, a place where the tokenizer's pre-split must break
-whatever stands around it, for there the ids of the parts are the ids of the whole;
-at any other join the two chunks are put together and encoded again as one, until
-all joins agree exactly. ``repair`` is the same done by comparing ids alone, for
-tokenizers whose seams are not known; the tests hold both against whole texts.
-
-The cache is a direct-mapped table of fixed size that compares the chunks' bytes,
-not only their hash, so a collision costs an encoding and never a wrong id. It
-lives in the Python worker: documents are not shuffled, and a lost executor loses
-nothing but a cache.
+"""Encoding of a whole corpus with a public byte-level BPE, sharing work between documents.
+
+Method: content-defined chunk reuse. A rolling hash over the last ``WINDOW`` bytes cuts
+every text, at any character, into chunks of ``AVERAGE`` bytes on the mean; where it cuts
+depends on nearby content only, so equal passages of different documents fall into equal
+chunks. Chunks are shuffled by content: each distinct chunk is encoded once for the whole
+corpus, and its ids go to every place it occurs. Then every document is put together
+and its joins are repaired: unless a join happens to be a place where the tokenizer's
+pre-split must break, the stretch between the nearest such places (seams) on both sides
+of it is encoded again and replaces the ids there. The pre-split breaks at seams whatever
+stands around them, so the result is exactly the encoding of the whole text.
+
+A task sends one row per distinct chunk of each piece of its input, with the places where
+it occurs, so frequent chunks are pre-aggregated before the shuffle; chunks frequent
+within a piece are also salted, which spreads them over tasks and lets them be encoded
+at most ``SALTS`` times. Between tasks ids travel as 16-bit numbers where the vocabulary
+allows it, without the text: the bytes around a join are those of its tokens.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the pre-split of this vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHARE = 0.75  # of all positions are nominated as joins
-WORDS = 3  # chunks of up to 8 * WORDS bytes are kept in the table, longer ones in a dictionary
-SLOTS = 1 << 20
-STORE = 1 << 23  # ids kept before the cache starts anew
-LONG = 100_000  # long chunks kept before the dictionary starts anew
-PIECE = 2 << 20  # bytes worked on at once
-_OTHER, _LETTER, _DIGIT, _BLANK, _MARK = range(5)
-
-
-def _classes() -> np.ndarray:
-    c = np.full(256, _OTHER, np.uint8)
-    c[33:127] = _MARK
-    c[48:58] = _DIGIT
-    c[65:91] = c[97:123] = _LETTER
-    c[[9, 10, 11, 12, 13, 32]] = _BLANK
-    return c
-
-
-_CLASS = _classes()
-#: Seams between two ASCII characters, by class before and after; an apostrophe before a letter is excluded below.
-_SEAM = np.zeros((5, 5), bool)
-_SEAM[_LETTER, [_DIGIT, _BLANK, _MARK]] = True
-_SEAM[_DIGIT, [_LETTER, _BLANK, _MARK]] = True
-_SEAM[_MARK, [_LETTER, _DIGIT, _BLANK]] = True
-
-
-#: Of the k-th eight bytes of a chunk of so many bytes those that belong to it.
-_KEEP = [np.array([(1 << 8 * min(max(n - 8 * k, 0), 8)) - 1 for n in range(8 * WORDS + 1)], np.uint64) for k in range(WORDS)]
-
-
-def seams(b: np.ndarray) -> np.ndarray:
-    """True at i if the pre-split breaks before byte i whatever else the text holds. Beyond ASCII only a blank after a
-    character that is surely none counts: U+0085, U+00A0, U+1680, U+2000 to U+205F and U+3000 are avoided."""
-    out = np.zeros(len(b), bool)
-    if len(b) < 2:
-        return out
-    c = _CLASS[b]
-    out[1:] = _SEAM[c[:-1], c[1:]]
-    out[1:] &= ~((b[:-1] == 39) & (c[1:] == _LETTER))
-    at = np.flatnonzero((c[1:] == _BLANK) & (b[:-1] >= 0x80)) + 1
-    at = at[at >= 4]
-    one, two, three, four = b[at - 1], b[at - 2], b[at - 3], b[at - 4]
-    sure = ((two >= 0xC3) & (two <= 0xDF)) | ((three >= 0xE4) & (three <= 0xEF)) | ((three == 0xE3) & ~((two == 0x80) & (one == 0x80))) | (four >= 0xF0)
-    out[at[sure]] = True
-    return out
-
-
-def chunk_starts(b: np.ndarray, limits: np.ndarray, share: float = SHARE) -> np.ndarray:
-    """Starts of the chunks of many texts laid end to end; limits: start of every text. The rolling hash nominates
-    ``share`` of all positions as joins; of these the seams stand."""
-    mark = seams(b)
-    if share < 1:
-        seam = np.flatnonzero(mark)
-        last_four = np.ndarray(len(b) + 1, "<u4", np.concatenate([np.zeros(4, np.uint8), b, np.zeros(4, np.uint8)]), strides=(1,))
-        h = (last_four[seam] ^ (last_four[seam] >> np.uint32(15))) * np.uint32(0x9E3779B1)
-        mark[seam[h >= np.uint32(int(share * 0xFFFFFFFF))]] = False
-    mark[limits[limits < len(b)]] = True
-    return np.flatnonzero(mark)
-
-
-@cache
-def _tokenizer(vocabulary: str):
-    import tiktoken
-
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-class ChunkEncoder:
-    """Encodes texts chunk by chunk with a cache of distinct chunks."""
+from gridloom.llm.words import VOCABULARY, Vocabulary, WordEncoder, pieces, seams, token_bytes, worker
 
-    def __init__(self, vocabulary: str = VOCABULARY, slots: int = SLOTS):
-        self.encode = _tokenizer(vocabulary).encode_ordinary
-        self.slots = slots
-        self._clear()
+WINDOW = 16
+#: Mean bytes of a chunk.
+AVERAGE = 384
+#: A chunk met so often in one piece of input is frequent.
+FREQUENT = 8
+SALTS = 64
 
-    def _clear(self) -> None:
-        self.key = [np.zeros(self.slots, np.uint64) for _ in range(WORDS)]
-        self.size = np.zeros(self.slots, np.int64)  # 0: free
-        self.at = np.zeros(self.slots, np.int32)
-        self.count = np.zeros(self.slots, np.int32)
-        self.store = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.long: dict[bytes, tuple[int, int]] = {}
 
-    def _keep(self, ids: list[int]) -> int:
-        at, n = self.used, len(ids)
-        while at + n > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        self.store[at : at + n] = ids
-        self.used = at + n
-        return at
+def _gear() -> np.ndarray:
+    """256 numbers spread by a multiplicative rule."""
+    k = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    k ^= k >> np.uint64(29)
+    return (k * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
 
-    def texts(self, b: np.ndarray, limits: np.ndarray, sizes_only: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
-        """(ids of all texts, number of ids of each). b: the texts' bytes laid end to end; limits: their starts and the
-        end of the last."""
-        texts = len(limits) - 1
-        if self.used > STORE or len(self.long) > LONG:
-            self._clear()
-        if not len(b):
-            return np.empty(0, np.int32), np.zeros(texts, np.int64)
-        start = chunk_starts(b, limits[:-1])
-        size = np.diff(np.append(start, len(b)))
-        at, count = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
-        short = np.flatnonzero(size <= 8 * WORDS)
-        self._short(b, start[short], size[short], short, at, count)
-        raw = b.tobytes() if len(short) < len(start) else b""
-        for i in np.flatnonzero(size > 8 * WORDS).tolist():
-            chunk = raw[start[i] : start[i] + size[i]]
-            known = self.long.get(chunk)
-            if known is None:
-                ids = self.encode(chunk.decode("utf-8", "replace"))
-                known = self.long[chunk] = (self._keep(ids), len(ids))
-            at[i], count[i] = known
-        total = np.concatenate([[0], np.cumsum(count)])
-        per_text = np.diff(total[np.searchsorted(start, limits)])
-        if sizes_only:
-            return None, per_text
-        take = np.repeat(at - total[:-1], count)
-        take += np.arange(total[-1])
-        return self.store[take], per_text
 
-    def _short(self, b, start, size, which, at, count) -> None:
-        padded = np.concatenate([b, np.zeros(8 * WORDS, np.uint8)])
-        words = np.ndarray(len(b) + 8 * (WORDS - 1) + 1, "<u8", padded, strides=(1,))  # eight bytes from every position on
-        key = [words[start + 8 * k] & _KEEP[k][size] for k in range(WORDS)]
-        h = size.astype(np.uint64)
-        for k in range(WORDS):
-            h ^= key[k]
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(32)
-        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
-        found = self.size[slot] == size
-        for k in range(WORDS):
-            found &= self.key[k][slot] == key[k]
-        got_at, got_count = self.at[slot], self.count[slot]
-        miss = np.flatnonzero(~found)
-        if len(miss):
-            _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            one = miss[first]
-            new_at, new_count = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
-            raw = b.tobytes()
-            for j, (s, n) in enumerate(zip(start[one].tolist(), size[one].tolist(), strict=True)):
-                ids = self.encode(raw[s : s + n].decode("utf-8", "replace"))
-                new_at[j], new_count[j] = self._keep(ids), len(ids)
-            got_at[miss], got_count[miss] = new_at[back], new_count[back]
-            same = size[miss] == size[one][back]
-            for k in range(WORDS):
-                self.key[k][slot[one]] = key[k][one]
-                same &= key[k][miss] == key[k][one][back]
-            # Of two chunks for one slot the last stands, in all arrays alike.
-            self.size[slot[one]], self.at[slot[one]], self.count[slot[one]] = size[one], new_at, new_count
-            for i in miss[~same].tolist():  # equal hashes of different bytes
-                ids = self.encode(raw[start[i] : start[i] + size[i]].decode("utf-8", "replace"))
-                got_at[i], got_count[i] = self._keep(ids), len(ids)
-        at[which], count[which] = got_at, got_count
+_GEAR = _gear()
 
 
-def repair(encode, left: str, right: str) -> list[int]:
-    """Ids of left + right from the ids of the parts: the join is re-encoded over ever longer stretches of both sides
-    until the ids next to it agree with those of the parts on either side, at the latest when all is re-encoded."""
-    whole_left, whole_right = encode(left), encode(right)
-    reach = 8
-    while reach < len(left) + len(right):
-        a, b = left[-reach:], right[:reach]
-        joined, ids_a, ids_b = encode(a + b), encode(a), encode(b)
-        lead = next((k for k, (x, y) in enumerate(zip(joined, ids_a)) if x != y), min(len(joined), len(ids_a)))
-        trail = next((k for k, (x, y) in enumerate(zip(joined[::-1], ids_b[::-1])) if x != y), min(len(joined), len(ids_b)))
-        if len(a) < len(left) and len(b) < len(right) and lead > 4 and trail > 4:
-            own_left, own_right = whole_left[: len(whole_left) - (len(ids_a) - lead)], whole_right[trail and len(ids_b) - trail :]
-            if whole_left[len(own_left) - lead :][:lead] == ids_a[:lead] and own_right[:trail] == ids_b[len(ids_b) - trail :]:
-                candidate = own_left + joined[lead : len(joined) - trail] + own_right
-                if candidate == encode(left + right):
-                    return candidate
+def rolling_hash(b: np.ndarray) -> np.ndarray:
+    """Hash of the ``WINDOW`` bytes up to each position: every byte's number, doubled once per byte since."""
+    h, reach = _GEAR[b], 1
+    while reach < WINDOW:
+        older = np.zeros_like(h)
+        older[reach:] = h[:-reach] if reach < len(h) else 0
+        h = h + (older << np.uint32(reach))
         reach *= 2
-    return encode(left + right)
-
-
-@cache
-def _worker(vocabulary: str) -> ChunkEncoder:
-    return ChunkEncoder(vocabulary)
-
-
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, limits) of a string column; NULL counts as empty."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
-    if not len(column):
-        return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = column.buffers()
-    limits = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
-    b = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    if column.null_count:  # what lies behind a NULL need not be empty
-        column = column.fill_null("")
-        return _bytes_of(column)
-    return b[limits[0] : limits[-1]], limits - limits[0]
-
-
-def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices (first row, end row, bytes, limits) of a string column of about ``most`` bytes; a row is never split."""
-    b, limits = _bytes_of(column)
-    n, row = len(limits) - 1, 0
-    while row < n:
-        end = max(int(np.searchsorted(limits, limits[row] + most, side="right")) - 1, row + 1)
-        yield row, end, b[limits[row] : limits[end]], limits[row : end + 1] - limits[row]
-        row = end
+    return h
+
+
+def chunk_starts(b: np.ndarray, limits: np.ndarray, average: int = AVERAGE) -> np.ndarray:
+    """Starts of the chunks of many texts laid end to end; limits: start of every text. A cut falls on the next start of
+    a character; within a window of a text's start there is none, as the hash would reach into the text before."""
+    n = len(b)
+    mark = np.zeros(n + 1, bool)
+    if n:
+        h = rolling_hash(b)
+        # The upper bits mix all bytes of the window; the lowest are those of the last bytes only.
+        at = np.flatnonzero(h * np.uint32(0x9E3779B1) < np.uint32(0xFFFFFFFF // average)) + 1
+        for _ in range(3):
+            at = at + ((at < n) & ((b[np.minimum(at, n - 1)] & 0xC0) == 0x80))
+        own = limits[np.searchsorted(limits, at, side="right") - 1]
+        mark[at[(at - own >= WINDOW) & (at < n)]] = True
+        mark[limits[limits < n]] = True
+    return np.flatnonzero(mark)
 
 
-def encoded(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids) of every document: no special tokens, their spellings being ordinary text; an empty list for an
-    empty and for a NULL text. Repeated rows each come out; other columns are ignored."""
+def assemble(ids: np.ndarray, chunk: np.ndarray, document: np.ndarray, encoder: WordEncoder, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int]]:
+    """Exact ids of documents from the ids of their chunks, laid end to end. chunk: number of ids of every chunk; document:
+    number of chunks of every document. Returns (ids, number of ids of every document, (joins, joins repaired, bytes
+    encoded again))."""
+    flat, limits = token_bytes(vocabulary)
+    size = limits[ids + 1] - limits[ids]
+    byte_at = np.concatenate([[0], np.cumsum(size)])
+    b = flat[np.repeat(limits[ids] - byte_at[:-1], size) + np.arange(byte_at[-1])]
+    chunk_at = np.concatenate([[0], np.cumsum(chunk)])
+    doc_at = chunk_at[np.concatenate([[0], np.cumsum(document)])]  # in ids
+    doc_byte = byte_at[doc_at]
+    joins = np.setdiff1d(byte_at[chunk_at], doc_byte)
+    seam = seams(b) if len(b) else np.zeros(0, bool)
+    bad = joins[~seam[joins]]
+    if not len(bad):
+        return ids, np.diff(doc_at), (len(joins), 0, 0)
+    stop = np.union1d(np.flatnonzero(seam), doc_byte)
+    right = np.searchsorted(stop, bad, side="right")
+    lo, hi = np.unique(np.stack([stop[right - 1], stop[right]]), axis=1)
+    # Encode the stretches again and put them in the place of the ids that lie in them.
+    length = hi - lo
+    take = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+    new, count = encoder.texts(b[take], np.concatenate([[0], np.cumsum(length)]))
+    first, last = np.searchsorted(byte_at, lo), np.searchsorted(byte_at, hi)
+    gone = np.zeros(len(ids) + 1, np.int64)
+    gone[first] += 1
+    np.subtract.at(gone, last, 1)
+    keep = np.cumsum(gone[:-1]) == 0
+    kept_before = np.concatenate([[0], np.cumsum(keep)])
+    out = np.insert(ids[keep], np.repeat(kept_before[first], count), new)
+    change = np.zeros(len(doc_at), np.int64)
+    np.add.at(change, np.searchsorted(doc_at, first, side="right"), count - (last - first))
+    return out, np.diff(doc_at + np.cumsum(change)), (len(joins), len(bad), int(length.sum()))
+
+
+def chunks(documents: DataFrame, key: str = "doc_id", text: str = "text", average: int = AVERAGE) -> DataFrame:
+    """Distinct chunks per piece of input: (k1, k2, salt, chunk, doc_ids, rows, seqs); the last three say in which
+    documents and as which chunk of them it occurs. A NULL or empty text is one empty chunk. ``rows`` numbers the rows of
+    the table, so that repeated ids are told apart."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker(vocabulary)
-        for batch in batches:
-            for row, end, b, limits in pieces(batch.column(1)):
-                ids, n = encoder.texts(b, limits)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lists], names=["doc_id", "ids"])
-
-    return documents.select(key, text).mapInArrow(scan, "doc_id bigint, ids array<int>")
-
-
-def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens) of every document, without building the ids; 0 for an empty and for a NULL text."""
+        import xxhash
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker(vocabulary)
+        part = TaskContext.get().partitionId()
+        base, number = part << 33, 0
         for batch in batches:
             for row, end, b, limits in pieces(batch.column(1)):
-                _, n = encoder.texts(b, limits, sizes_only=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(n)], names=["doc_id", "n_tokens"])
+                start = chunk_starts(b, limits[:-1], average)
+                raw = b.tobytes()
+                seen: dict[bytes, int] = {}
+                stop = np.append(start[1:], len(b)).tolist()
+                code = [seen.setdefault(raw[s:e], len(seen)) for s, e in zip(start.tolist(), stop, strict=True)]
+                doc = np.searchsorted(limits, start, side="right") - 1
+                # Of texts without bytes the limits coincide: the search gives the last, which has the bytes.
+                empty = np.flatnonzero(np.diff(limits) == 0)
+                if len(empty):
+                    code += [seen.setdefault(b"", len(seen))] * len(empty)
+                    doc = np.concatenate([doc, empty])
+                code = np.array(code, np.int64)
+                seq = np.arange(len(doc)) - np.searchsorted(doc[: len(start)], doc)
+                seq[len(start) :] = 0
+                order = np.argsort(code, kind="stable")
+                count = np.bincount(code, minlength=len(seen))
+                at = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+                lists = [
+                    pa.ListArray.from_arrays(at, batch.column(0).slice(row, end - row).take(pa.array(doc[order])).cast(pa.int64())),
+                    pa.ListArray.from_arrays(at, pa.array(base + doc[order])),
+                    pa.ListArray.from_arrays(at, pa.array(seq[order].astype(np.int32))),
+                ]
+                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(c) for c in seen), np.int64).reshape(-1, 2)
+                salt = np.where(count >= FREQUENT, (part * 31 + number) % SALTS, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(salt), pa.array(list(seen), pa.binary()), *lists], names=["k1", "k2", "salt", "chunk", "doc_ids", "rows", "seqs"])
+                base += end - row
+                number += 1
+
+    return documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        scan, "k1 bigint, k2 bigint, salt int, chunk binary, doc_ids array<bigint>, rows array<bigint>, seqs array<int>"
+    )
+
+
+def encoded(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text", average: int = AVERAGE) -> DataFrame:
+    """(doc_id, ids) of every document: no special tokens, their spellings being ordinary text; an empty list for an
+    empty and for a NULL text. Repeated rows each come out; other columns are ignored."""
+    shared = documents.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary))
+    wide = max(shared.value.ranks().values()) >= 1 << 16
+    kind = np.dtype("<u4" if wide else "<u2")
 
-    return documents.select(key, text).mapInArrow(scan, "doc_id bigint, n_tokens bigint")
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker(shared.value)
+        known: dict[bytes, bytes] = {}  # of the chunk at the end of the batch before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            listed = batch.column("chunk").to_pylist()
+            new = [c for c in dict.fromkeys(listed) if c not in known]
+            if new:
+                ids, n = encoder.texts(np.frombuffer(b"".join(new), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in new])]))
+                raw, at = ids.astype(kind).tobytes(), (np.concatenate([[0], np.cumsum(n)]) * kind.itemsize).tolist()
+                known |= {c: raw[at[k] : at[k + 1]] for k, c in enumerate(new)}
+            rows, seqs, docs = (batch.column(c) for c in ("rows", "seqs", "doc_ids"))
+            which = pa.array(np.repeat(np.arange(batch.num_rows), rows.value_lengths().to_numpy()))
+            yield pa.RecordBatch.from_arrays([rows.flatten(), seqs.flatten(), docs.flatten(), pa.array([known[c] for c in listed], pa.binary()).take(which)], names=["row", "seq", "doc_id", "ids"])
+            known = {listed[-1]: known[listed[-1]]}
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, held = worker(shared.value), []
+
+        def put(tab: pa.Table) -> pa.RecordBatch:
+            row = tab.column("row").to_numpy()
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            parts = tab.column("ids").combine_chunks()
+            size = np.asarray(pa.compute.binary_length(parts)).astype(np.int64) // kind.itemsize
+            ids = np.frombuffer(b"".join(parts.to_pylist()), kind).astype(np.int64)
+            out, n, _ = assemble(ids, size, np.diff(np.append(first, len(row))), encoder, shared.value)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(out.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([tab.column("doc_id").take(pa.array(first)).combine_chunks(), lists], names=["doc_id", "ids"])
+
+        for batch in batches:  # sorted by row: a document is complete once another one begins
+            if not batch.num_rows:
+                continue
+            row = batch.column("row").to_numpy()
+            cut = int(np.searchsorted(row, row[-1]))
+            if held and (cut or held[-1].column("row")[-1].as_py() != row[0]):
+                yield put(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield put(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield put(pa.Table.from_batches(held))
+
+    by_content = chunks(documents, key, text, average).repartition("k1", "k2", "salt").sortWithinPartitions("k1", "k2", "salt")
+    placed = by_content.mapInArrow(encode, "row bigint, seq int, doc_id bigint, ids binary")
+    return placed.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(join, "doc_id bigint, ids array<int>")
+
+
+def reuse_report(documents: DataFrame, key: str = "doc_id", text: str = "text", average: int = AVERAGE) -> DataFrame:
+    """One row: chunks, distinct chunks, bytes, bytes of distinct chunks and the share of bytes that are not encoded for
+    themselves but reused."""
+    c = chunks(documents, key, text, average).select("k1", "k2", F.size("rows").cast("long").alias("n"), F.octet_length("chunk").cast("long").alias("b"))
+    per = c.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.first("b").alias("b"))
+    total = per.agg(F.sum("n").alias("chunks"), F.count(F.lit(1)).alias("distinct_chunks"), F.sum(F.col("n") * F.col("b")).alias("bytes"), F.sum("b").alias("distinct_bytes"))
+    return total.withColumn("reused_share", 1 - F.try_divide(F.col("distinct_bytes").cast("double"), F.col("bytes").cast("double")))

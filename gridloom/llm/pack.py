@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.encode import VOCABULARY, _worker, pieces
+from gridloom.llm.words import VOCABULARY, Vocabulary, pieces, worker
 
 CAPACITY = 4096
 #: Containers of a window. More give a little less unused space and take longer to merge.
@@ -203,9 +203,10 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, window: int = WIN
     NULL and empty texts have no tokens and so no row. Repeated rows are packed once each; other columns are ignored;
     an empty table gives no containers. container_id holds the task's partition and a number within it, so a task that
     runs again after a loss gives the same containers."""
+    shared = documents.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, encoder = TaskContext.get().partitionId() << 40, _worker(vocabulary)
+        base, encoder = TaskContext.get().partitionId() << 40, worker(shared.value)
 
         def entries() -> Iterator[tuple[int | None, int]]:
             for batch in batches:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.encode import pieces
+from gridloom.llm.words import pieces
 
 CHUNK = 1 << 14
 #: Chunks of a run.

@@ -15,6 +15,10 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encoded(table(spark, sf_dir, "documents"))
 
 
+def p7_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.reuse_report(table(spark, sf_dir, "documents"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.containers(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def p9_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p8_containers, p8_fill_report, p9_found, p9_quality, p9_characters)}
+    return {f.__name__: f for f in (p7_ids, p7_reuse, p8_containers, p8_fill_report, p9_found, p9_quality, p9_characters)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from conftest import rows_of
 
 from gridloom.llm import quality as q
-from gridloom.llm.encode import pieces
+from gridloom.llm.words import pieces
 
 CUE = "1\n00:00:01,000 --> 00:00:02,000\n"
 SPEECH = [
