@@ -48,12 +48,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = compaction.rolled_files(table(spark, sf_dir, "chunk_rows"))
+    kept = compaction.consolidated(table(spark, sf_dir, "chunk_rows"))
     return kept.select("row_id", "tile_id", "year_month", "band", F.unix_micros("time").alias("time_us"), "pixels", "mask")
 
 
 def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compaction.range_metadata(compaction.rolled_files(table(spark, sf_dir, "chunk_rows")))
+    """The renewed catalogue: range metadata of every chunk, with what the old one knows of it."""
+    per = compaction.range_metadata(compaction.consolidated(table(spark, sf_dir, "chunk_rows")))
+    new = compaction.renewed_catalogue(per, table(spark, sf_dir, "tile_metadata"))
+    us = lambda c: F.unix_micros(c).alias(c.replace("time", "us"))
+    return new.select(*compaction.KEY, "num_observations", us("min_time"), us("max_time"), "source_files", "min_value", "max_value", F.round("mean_value", 6).alias("mean_value"), "bounds", "product_id", "resolution")
 
 
 def p3_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,13 +163,13 @@ w AS (SELECT *, count(*) OVER (PARTITION BY tile, sat, band, v1, v2, v3, island)
 SELECT obs_id FROM n JOIN w USING (tile, sat, band, v1, v2, v3, k) JOIN m USING ({_SAME_SERIES}) JOIN r4 USING ({_SAME_SERIES})
 WHERE hard OR stuck OR abs(v1 - m1) > 8 * s1 OR abs(v2 - m2) > 8 * s2 OR abs(v3 - m3) > 8 * s3"""
 _PATH = r"lower(regexp_replace(chunk_path, '[/\\]+', '/', 'g'))"
+_KEYED = r"""CAST(regexp_extract(p, '(?:^|[/=])x([+-]?[0-9]+)_y', 1) AS INT) AS x, CAST(regexp_extract(p, '(?:^|[/=])x[+-]?[0-9]+_y([+-]?[0-9]+)', 1) AS INT) AS y,
+   regexp_extract(p, '(?:^|[/=])([0-9]{4})-([0-9]{1,2})/', 1) || '-' || lpad(regexp_extract(p, '(?:^|[/=])([0-9]{4})-([0-9]{1,2})/', 2), 2, '0') AS ym,
+   CASE WHEN regexp_extract(p, '/band=([^/]+)', 1) <> '' THEN regexp_extract(p, '/band=([^/]+)', 1)
+        ELSE regexp_extract(p, '/([a-z][a-z0-9]*(?:_[0-9]{1,2})?)[-_.][0-9a-f]{4,}\.arrow', 1) END"""
 _CHUNKS = rf"""
 WITH paths AS (SELECT *, {_PATH} AS p FROM chunk_rows),
-keyed AS (SELECT row_id, time, pixels, mask, chunk_path,
-   CAST(regexp_extract(p, '(?:^|[/=])x([+-]?[0-9]+)_y', 1) AS INT) AS x, CAST(regexp_extract(p, '(?:^|[/=])x[+-]?[0-9]+_y([+-]?[0-9]+)', 1) AS INT) AS y,
-   regexp_extract(p, '(?:^|[/=])([0-9]{{4}})-([0-9]{{1,2}})/', 1) || '-' || lpad(regexp_extract(p, '(?:^|[/=])([0-9]{{4}})-([0-9]{{1,2}})/', 2), 2, '0') AS year_month,
-   CASE WHEN regexp_extract(p, '/band=([^/]+)', 1) <> '' THEN regexp_extract(p, '/band=([^/]+)', 1)
-        ELSE regexp_extract(p, '/([a-z][a-z0-9]*(?:_[0-9]{{1,2}})?)[-_.][0-9a-f]{{4,}}\.arrow', 1) END AS band FROM paths),
+keyed AS (SELECT row_id, time, pixels, mask, chunk_path, {_KEYED} AS band, ym AS year_month FROM paths),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY x, y, year_month, band, time, pixels, mask ORDER BY row_id) AS rn FROM keyed)
 """
 
@@ -202,6 +206,15 @@ SELECT tile_id, band, strftime(month, '%Y-%m') AS period, CAST(version AS BIGINT
         "p3_consolidated": _CHUNKS
         + """SELECT row_id, 'x' || CASE WHEN x < 0 THEN '-' ELSE '' END || lpad(CAST(abs(x) AS VARCHAR), 4, '0') || '_y' || CASE WHEN y < 0 THEN '-' ELSE '' END || lpad(CAST(abs(y) AS VARCHAR), 4, '0') AS tile_id,
  year_month, band, epoch_us(time) AS time_us, pixels, mask FROM ranked WHERE rn = 1""",
+        "p3_files": _CHUNKS
+        + rf""", kept AS (SELECT *, list_filter(list_zip(pixels, mask), lambda s: s[2]) AS ok FROM ranked WHERE rn = 1),
+measured AS (SELECT *, CASE WHEN len(ok) > 0 THEN list_transform(ok, lambda s: s[1]) ELSE pixels END AS v FROM kept),
+new AS (SELECT x, y, year_month, band, count(*) AS num_observations, epoch_us(min(time)) AS min_us, epoch_us(max(time)) AS max_us, count(DISTINCT chunk_path) AS source_files,
+  CAST(min(list_min(v)) AS DOUBLE) AS min_value, CAST(max(list_max(v)) AS DOUBLE) AS max_value, round(CAST(sum(list_sum(v)) AS DOUBLE) / sum(len(v)), 6) AS mean_value FROM measured GROUP BY 1, 2, 3, 4),
+listed AS (SELECT {_KEYED} AS band, * EXCLUDE (band, tile_id, year_month) FROM (SELECT *, {_PATH} AS p FROM tile_metadata)),
+old AS (SELECT x, y, ym AS year_month, band, min(bounds) AS bounds, min(product_id) AS product_id, min(resolution) AS resolution FROM listed GROUP BY 1, 2, 3, 4)
+SELECT 'x' || CASE WHEN x < 0 THEN '-' ELSE '' END || lpad(CAST(abs(x) AS VARCHAR), 4, '0') || '_y' || CASE WHEN y < 0 THEN '-' ELSE '' END || lpad(CAST(abs(y) AS VARCHAR), 4, '0') AS tile_id,
+ year_month, band, num_observations, min_us, max_us, source_files, min_value, max_value, mean_value, bounds, product_id, resolution FROM new LEFT JOIN old USING (x, y, year_month, band)""",
         "p3_catalogue": """WITH held AS (SELECT chunk_path, count(*) AS held FROM chunk_rows WHERE chunk_path IS NOT NULL GROUP BY 1),
 listed AS (SELECT chunk_path, min(num_observations) AS listed, count(*) AS entries FROM tile_metadata WHERE chunk_path IS NOT NULL GROUP BY 1)
 SELECT chunk_path, listed, coalesce(held, 0) AS held, CASE WHEN entries IS NULL THEN 'unlisted' WHEN held IS NULL THEN 'empty' WHEN entries > 1 THEN 'repeated'

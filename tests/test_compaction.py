@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from conftest import rows_of, utc
 
 from gridloom.operators import compaction as c
@@ -41,34 +42,59 @@ def test_near_copies_stay(spark):
 
 def test_nothing_lost_and_files_roll(spark, tmp_path):
     rng = random.Random(3)
-    rows = [(k, SAME[k % len(SAME)].replace("2024-03", f"2024-0{1 + k % 9}"), f"2024-0{1 + k % 9}-1{rng.randrange(9)}", [rng.randrange(3)], [True]) for k in range(500)]
+    rows = [(k, SAME[k % len(SAME)].replace("2024-03", f"2024-0{1 + k % 9}"), f"2024-0{1 + k % 9}-1{rng.randrange(9)}", [rng.randrange(3)] * 40, [True] * 40) for k in range(20_000)]
+    rows += [(20_000 + k, SAME[0], "2024-03-01", [k], None) for k in range(20_000)]
     df = frame(spark, rows)
     surplus = {r[0] for r in c.surplus_records(df).collect()}
-    files = c.rolled_files(df, target_bytes=400, partitions=3)
-    kept = files.collect()
-    assert len(kept) + len(surplus) == 500 and not surplus & {r["row_id"] for r in kept}
-    sizes = {}
-    for r in kept:
-        sizes[r["out_file"]] = sizes.get(r["out_file"], 0) + r["bytes"]
-    assert len(sizes) > 3 and max(sizes.values()) < 400 + 100
-    meta = c.write_consolidated(df, str(tmp_path / "out"), 400, 3)
-    assert sum(r["num_observations"] for r in meta.collect()) == len(kept)
-    assert spark.read.parquet(str(tmp_path / "out/data")).count() == len(kept)
+    kept = {r["row_id"] for r in c.consolidated(df, 3).collect()}
+    assert len(kept) + len(surplus) == len(rows) and not surplus & kept
+    folder, target = str(tmp_path / "out"), 300_000
+    old = spark.createDataFrame([(SAME[1], [0.0, 1.0], 5.0, "p", 10.0), (SAME[2], None, 7.0, "p", 3.0)], "chunk_path string, bounds array<double>, cloud_cover double, product_id string, resolution double")
+    meta = c.write_consolidated(df, folder, target, 3, old).collect()
+    assert sum(r["num_observations"] for r in meta) == len(kept)
+    assert {(tuple(r["bounds"]), r["cloud_cover"], r["product_id"], r["resolution"]) for r in meta if r["year_month"] == "2024-03"} == {((0.0, 1.0), 6.0, "p", 3.0)}
+    files = {r["out_file"]: r for r in spark.read.parquet(f"{folder}/files").collect()}
+    sizes = {f: (tmp_path / "out" / f).stat().st_size for f in files}
+    assert all(files[f]["file_bytes"] == n for f, n in sizes.items()) and not list((tmp_path / "out/data").glob("*.tmp"))
+    assert 3 < len(sizes) < 20 and max(sizes.values()) < 3 * target and sorted(sizes.values())[-4] >= target
+    back = c.read_consolidated(spark, folder)
+    assert {r[0] for r in back.select("row_id").collect()} == kept and back.count() == len(kept)
+    # Within a file records are in key order, and the ranges of two files do not overlap.
+    spans = []
+    for f in files:
+        order = [(r["tile_id"], r["year_month"], r["band"], r["time"]) for r in back.where(f"out_file = '{f}'").collect()]
+        assert order == sorted(order)
+        spans.append((order[0], order[-1]))
+    spans.sort()
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_merge_of_runs_keeps_every_record():
+    rng = np.random.default_rng(2)
+    run = np.repeat(np.arange(9), rng.integers(1, 40, 9))
+    ranks = rng.integers(0, 4, (len(run), 3))
+    for k in range(8):  # the last run is left out of order
+        own = np.flatnonzero(run == k)
+        ranks[own] = ranks[own][np.lexsort(ranks[own].T[::-1])]
+    order = c.merge_order(ranks, run)
+    assert sorted(order.tolist()) == list(range(len(run))) and ranks[order].tolist() == sorted(ranks.tolist())
 
 
 def test_crowds_of_copies(spark):
+    """A record with very many copies: one of each run reaches its range, and all are told apart."""
     rng = random.Random(8)
-    rows = [(k, rng.choice(SAME), "2024-03-01", [1, 2], [True]) for k in range(300)]
-    rows += [(1000 + k, SAME[0], f"2024-03-0{1 + k % 3}", [k % 5], None) for k in range(60)] + [(0, SAME[0], "2024-03-01", [1, 2], [True])]
-    df = frame(spark, rows)
-    assert rows_of(c.surplus_records(df, many=50)) == rows_of(c.surplus_records(df))
-    merged = c.merged_runs(df, many=50)
-    assert merged.count() == len(rows) and merged.where("surplus").count() == 300 + 60 - 15
-
-
-def test_window_needs_no_second_exchange(spark):
-    plan = c.surplus_records(frame(spark, [(1, SAME[0], "2024-03-01", [1], [True])]))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange ") == 1
+    rows = [(k, rng.choice(SAME), "2024-03-01", [1, 2], [True]) for k in range(3000)]
+    rows += [(10_000 + k, SAME[0], f"2024-03-0{1 + k % 3}", [k % 5], None) for k in range(60)] + [(0, SAME[0], "2024-03-01", [1, 2], [True])]
+    df = frame(spark, rows).repartition(7)
+    merged = c.merged_runs(df, 4)
+    assert merged.count() == len(rows) and merged.where("surplus").count() == 3000 + 60 - 15
+    assert {r[0] for r in merged.where("NOT surplus").select("row_id").collect()} >= {0, 10_000}
+
+
+def test_contents_with_holes_are_told_apart(spark):
+    kinds = [(None, None), ([], None), (None, []), ([None], [True]), ([None, 1], [True]), ([1, None], [True]), ([1], [True]), ([1], [None, True]), ([1], [True, None]), ([1], [False, True])]
+    df = frame(spark, [(k, SAME[0], "2024-03-01", *kinds[k % len(kinds)]) for k in range(2 * len(kinds))])
+    assert rows_of(c.surplus_records(df)) == sorted([(k,) for k in range(len(kinds), 2 * len(kinds))], key=repr)
 
 
 def test_empty_and_catalogue(spark):
