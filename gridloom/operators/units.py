@@ -55,18 +55,28 @@ ENCODINGS = {
     "e4": (1e-4, 0.0),
     "e4_plus_1000": (1e-4, -0.1),
 }
-# Phrases of header texts that name an encoding.
-ENCODING_PHRASES = {
-    "% reflectance": "percent", "unit pct": "percent", "reflectance in percent": "percent", "refl [%]": "percent",
-    "reflectance in per mille": "permille", "‰": "permille", "unit: 1/1000": "permille", "milli-reflectance": "permille",
-    "reflectance in ppm": "ppm", "parts per million": "ppm", "unit 1e-6": "ppm",
-    "8-bit stretch": "byte", "255 = full reflectance": "byte", "u8 quicklook": "byte", "byte scaled": "byte",
-    "reflectance x 10000": "e4", "0.0001 refl": "e4", "scale 1e-4": "e4",
-    "add offset -1000": "e4_plus_1000", "scale 1e-4 with 1000 added": "e4_plus_1000", "10000*refl + 1000": "e4_plus_1000",
-    "native dn": "profile", "dn as in profile": "profile", "standard scaling": "profile", "surface reflectance": "profile", "integer product": "profile",
+# Spellings of the scale of a quantity without dimension. Words speak for themselves; numbers only beside a
+# word for the quantity.
+SCALE_WORDS = {
+    "percent": "percent", "per cent": "percent", "pct": "percent", "%": "percent",
+    "per mille": "permille", "permille": "permille", "per mil": "permille", "milli": "permille", "‰": "permille",
+    "ppm": "ppm", "parts per million": "ppm", "micro": "ppm",
+    "8-bit": "byte", "8 bit": "byte", "u8": "byte", "uint8": "byte", "byte": "byte",
 }
+SCALE_NUMBERS = {
+    "1/100": "percent", "0.01": "percent", "1e-2": "percent", "1/1000": "permille", "0.001": "permille", "1e-3": "permille",
+    "0.000001": "ppm", "1e-6": "ppm", "1000000": "ppm", "1e6": "ppm", "1/255": "byte", "255": "byte",
+    "1/10000": "e4", "0.0001": "e4", "1e-4": "e4", "10000": "e4", "1e4": "e4",
+}
+# What is added to every number of the scale above.
+OFFSET_NUMBERS = ("+1000", "+ 1000", "-1000", "- 1000", "1000 added")
+# Words for the quantity, and words for a product in its own encoding.
+QUANTITY_WORDS = ("reflectance", "refl", "unit", "units", "scale", "scaled", "offset", "factor")
+OWN_WORDS = ("native", "profile", "standard", "integer", "surface reflectance")
 #: Mean reflectance that a scene over land or water can have.
 POSSIBLE = (0.004, 1.3)
+#: Mean reflectance that most rows stay below.
+TYPICAL = 0.6
 #: A size in the text is the row's own if it differs by less than this share.
 SAME = 0.002
 #: A size is a nominal one if it differs by less than this share.
@@ -86,8 +96,12 @@ def _automaton():
         words[word] = ("size", word)
     for word in OTHER_WORDS:
         words[word] = ("other", word)
-    for phrase, encoding in ENCODING_PHRASES.items():
-        words[phrase] = ("encoding", encoding)
+    for kind, aliases in (("scale", SCALE_WORDS), ("number", SCALE_NUMBERS)):
+        for alias, encoding in aliases.items():
+            words[alias] = (kind, encoding)
+    for kind, listed in (("offset", OFFSET_NUMBERS), ("quantity", QUANTITY_WORDS), ("own", OWN_WORDS)):
+        for word in listed:
+            words[word] = (kind, word)
     for word, meaning in words.items():
         a.add_word(word, (len(word), *meaning))
     a.make_automaton()
@@ -99,12 +113,11 @@ def _hits(text: str) -> list[tuple[int, int, str, str]]:
     found = []
     for end, (n, kind, value) in _automaton().iter(text):
         start, stop = end - n + 1, end + 1
-        if kind != "encoding":
-            if text[start].isalpha() and start and text[start - 1].isalpha():
-                continue
-            if text[stop - 1].isalpha() and stop < len(text) and text[stop].isalpha():
-                continue
-        found.append((start, stop, kind, value))
+        for inner, outer in ((text[start], text[start - 1 : start]), (text[stop - 1], text[stop : stop + 1])):
+            if inner.isalpha() and outer.isalpha() or inner.isdigit() and (outer.isdigit() or kind in ("number", "offset") and outer in (".", "/") and outer):
+                break
+        else:
+            found.append((start, stop, kind, value))
     found.sort(key=lambda h: (h[0] - h[1], h[0]))
     kept: list[tuple[int, int, str, str]] = []
     for h in found:
@@ -117,23 +130,31 @@ def read_header(text: str | None) -> tuple[float | None, str | None, str | None]
     """(number, unit, encoding) of a header text: the pixel size it states and the pixel encoding it names.
 
     The text falls into clauses at line ends, semicolons, bars and commas that are followed by a blank. A unit counts
-    if it follows a number directly; its clause must hold a word for the pixel size and none for another quantity. Of
-    encodings the most specific one counts, the product's own only if no other is named."""
+    if it follows a number directly; its clause must hold a word for the pixel size and none for another quantity. A
+    clause without either names an encoding by a scale word, or by a scale's number or an offset beside a word for the
+    quantity; an offset goes with the scale of ten thousand. The product's own encoding counts only if no other is named."""
     if not text:
         return None, None, None
     number = unit = encoding = None
     for clause in re.split(r"[\n\r;|]|,\s", text.lower()):
         hits = _hits(clause)
-        for _, _, kind, value in hits:
-            if kind == "encoding" and (encoding in (None, "profile")):
-                encoding = value
         kinds = {h[2] for h in hits}
-        if unit is None and "size" in kinds and "other" not in kinds:
-            for m in _NUMBER.finditer(clause):
+        if "other" in kinds:
+            continue
+        if "size" in kinds:
+            for m in _NUMBER.finditer(clause) if unit is None else ():
                 near = next((h for h in hits if h[2] == "unit" and h[0] >= m.end() and not clause[m.end() : h[0]].strip()), None)
                 if near:
                     number, unit = float(m.group().replace(",", ".")), near[3]
                     break
+        elif encoding in (None, "profile"):
+            scales = [h[3] for h in hits if h[2] == "scale" or (h[2] == "number" and "quantity" in kinds)]
+            if "offset" in kinds and "quantity" in kinds and (not scales or scales[0] == "e4"):
+                encoding = "e4_plus_1000"
+            elif scales:
+                encoding = scales[0]
+            elif "own" in kinds:
+                encoding = "profile"
     return number, unit, encoding
 
 
@@ -201,17 +222,16 @@ def voted_encoding(levels: DataFrame, votes: DataFrame) -> DataFrame:
 
 
 def level_encoding(level: Column, scale: Column, offset: Column) -> Column:
-    """What the mean pixel of a row can be encoded as, from its size alone. Levels of 6 to 60 % reflectance are typical
-    of land; the product's own encoding wins wherever it gives a possible reflectance of 4.5 % or more."""
+    """What the mean pixel of a row can be encoded as, from its size alone: the product's own encoding wherever it gives
+    4.5 to 120 % reflectance; else the coarsest of the usual ones under which the mean is typical, at most ``TYPICAL``;
+    else millionths if they give a possible land surface; else ten thousandths where the product has an offset of its own."""
     own = level * scale + offset
+    coarse = F.coalesce(*[F.when(level * ENCODINGS[e][0] <= TYPICAL, F.lit(e)) for e in ("percent", "byte", "permille")])
     return (
         F.when((own >= 0.045) & (own <= 1.2), "profile")
-        .when(level < 60, "percent")
-        .when(level < 160, "byte")
-        .when(level < 550, "permille")
-        .when(level >= 60_000, "ppm")
-        .when(own > 1.2, "ppm")
-        .otherwise(F.when((level * 1e-4 <= 1.0) & (offset != 0), "e4").otherwise("profile"))
+        .when(coarse.isNotNull(), coarse)
+        .when((level * ENCODINGS["ppm"][0] >= 0.06) | (own > 1.2), "ppm")
+        .otherwise(F.when((level * ENCODINGS["e4"][0] <= 1.0) & (offset != 0), "e4").otherwise("profile"))
     )
 
 
@@ -220,6 +240,11 @@ def factors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in ENCODINGS.items()], "encoding string, f_scale double, f_offset double")
 
 
+def length_factors(spark: SparkSession) -> DataFrame:
+    """Metres in each unit of length, a fixed table."""
+    return spark.createDataFrame(list(METRES.items()), "l_unit string, metres double")
+
+
 def unit_of_size(resolution: Column, nominals: Column, number: Column, unit: Column) -> Column:
     """Unit of a pixel size. The header's unit, if the header states this very number; else the unit in which the size
     is a nominal one of the product, metres first; else metres if that is a possible pixel size, or the unit that
@@ -238,8 +263,9 @@ def unit_of_size(resolution: Column, nominals: Column, number: Column, unit: Col
 def measured_units(observations: DataFrame, scenes_index: DataFrame, profiles: DataFrame, bands: DataFrame) -> DataFrame:
     """Per observation row: encoding and factors of its pixels, unit of its resolution, and both converted.
 
-    Columns: obs_id, tile_id, satellite_id, product_id, band, pixels, resolution, encoding, scale, offset, own_scale,
-    own_offset, size_unit, resolution_m, converted (pixels are in another unit than the profile's). Rows of a product
+    Columns: obs_id, tile_id, satellite_id, product_id, band, pixels, resolution, encoding, encoding_by (text, level), size_by
+    (text, nominal, range), scale, offset, own_scale, own_offset, size_unit, resolution_m, converted (pixels are in another
+    unit than the profile's). Rows of a product
     without a profile keep NULL factors; NULL pixels or resolution give NULL. Every row comes out once. Profiles and
     bands are dimension tables of a product catalogue; they are broadcast by Spark itself if small."""
     facts = header_facts(scenes_index)
@@ -257,6 +283,7 @@ def measured_units(observations: DataFrame, scenes_index: DataFrame, profiles: D
         "product_id",
         "band",
         "pixels",
+        F.col("pixels").isNotNull().alias("has_pixels"),  # known without carrying the pixels
         "resolution",
         # rows without a file must not meet in one task
         F.coalesce(file_key(F.col("source_file")), F.concat(F.lit("?"), F.col("obs_id").cast("string"))).alias("file_key"),
@@ -275,7 +302,7 @@ def measured_units(observations: DataFrame, scenes_index: DataFrame, profiles: D
         F.max_by("e", F.struct("n", "e")).alias("level_encoding"), F.exp(F.sum("s") / F.sum("n")).alias("level"), F.min("own_scale").alias("own_scale"), F.min("own_offset").alias("own_offset")
     )
     voted = voted_encoding(levels, encoding_votes(facts))
-    verdicts = voted.select(F.col("tile_id").alias("v_tile"), F.col("satellite_id").alias("v_sat"), F.coalesce("text_encoding", "level_encoding").alias("encoding"))
+    verdicts = voted.select(F.col("tile_id").alias("v_tile"), F.col("satellite_id").alias("v_sat"), F.coalesce("text_encoding", "level_encoding").alias("encoding"), F.when(F.col("text_encoding").isNotNull(), "text").otherwise("level").alias("encoding_by"))
     texts = size_texts(facts).withColumnRenamed("file_key", "t_key")
     sized = rows.join(texts, F.col("file_key") == F.col("t_key"), "left")
     full = sized.join(verdicts, F.col("tile_id").eqNullSafe(F.col("v_tile")) & F.col("satellite_id").eqNullSafe(F.col("v_sat")), "left")
@@ -283,9 +310,12 @@ def measured_units(observations: DataFrame, scenes_index: DataFrame, profiles: D
     full = full.join(table.withColumnRenamed("encoding", "f_encoding"), F.col("encoding") == F.col("f_encoding"), "left")
     scale, offset = F.coalesce("f_scale", "own_scale"), F.coalesce("f_offset", "own_offset")
     unit = F.when(F.col("resolution").isNotNull(), unit_of_size(F.col("resolution"), F.coalesce("nominals", F.array().cast("array<double>")), F.col("size_number"), F.col("size_unit")))
-    metres = F.col("resolution").cast("double") * F.coalesce(*[F.when(F.col("unit") == u, F.lit(f)) for u, f in METRES.items()])
-    other = ((F.abs(scale - F.col("own_scale")) > 1e-12) | (F.abs(offset - F.col("own_offset")) > 1e-12)) & F.col("pixels").isNotNull()
-    return full.withColumn("unit", unit).select(
+    stated = F.col("size_unit").isNotNull() & (F.abs(F.col("resolution").cast("double") - F.col("size_number")) <= SAME * F.col("size_number"))
+    nominal_metres = F.exists(F.coalesce("nominals", F.array().cast("array<double>")), lambda n: F.abs(F.col("resolution").cast("double") * F.col("metres") - n) <= NOMINAL * n)
+    size_by = F.when(F.col("resolution").isNull(), F.lit(None)).when(stated, "text").when(nominal_metres, "nominal").otherwise("range")
+    lengths = F.broadcast(length_factors(observations.sparkSession))  # seven fixed rows
+    other = ((F.abs(scale - F.col("own_scale")) > 1e-12) | (F.abs(offset - F.col("own_offset")) > 1e-12)) & F.col("has_pixels")
+    return full.withColumn("unit", unit).join(lengths, F.col("unit") == F.col("l_unit"), "left").select(
         "obs_id",
         "tile_id",
         "satellite_id",
@@ -294,16 +324,23 @@ def measured_units(observations: DataFrame, scenes_index: DataFrame, profiles: D
         "pixels",
         "resolution",
         F.coalesce("encoding", F.lit("profile")).alias("encoding"),
+        "encoding_by",
+        size_by.alias("size_by"),
         scale.alias("scale"),
         offset.alias("offset"),
         "own_scale",
         "own_offset",
         F.col("unit").alias("size_unit"),
-        metres.alias("resolution_m"),
+        (F.col("resolution").cast("double") * F.col("metres")).alias("resolution_m"),
         F.coalesce(other, F.lit(False)).alias("converted"),
     )
 
 
+def evidence(units: DataFrame) -> DataFrame:
+    """(encoding_by, size_by, rows): by what the units of how many rows were told."""
+    return units.groupBy("encoding_by", "size_by").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def in_common_units(units: DataFrame) -> DataFrame:
     """obs_id, reflectance (a fraction per pixel), resolution_m."""
     return units.select("obs_id", F.transform("pixels", lambda p: p * F.col("scale") + F.col("offset")).alias("reflectance"), "resolution_m")

@@ -76,6 +76,10 @@ def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.in_common_units(_units(spark, sf_dir))
 
 
+def p4_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.evidence(_units(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.untrustworthy(table(spark, sf_dir, "observations"))
 
@@ -93,7 +97,7 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             p1_found, p1_diverted, p1_periods, p1_monthly, p2_found, p2_grid, p3_found, p3_consolidated, p3_files, p3_catalogue,
-            p4_found, p4_values, p5_found, p5_flags, p6_found,
+            p4_found, p4_values, p4_evidence, p5_found, p5_flags, p6_found,
         )
     }
 

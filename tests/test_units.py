@@ -24,6 +24,12 @@ BANDS = "product_id string, band string, resolution double"
         ("scale 1e-4", (None, None, "e4")),
         ("native DN, reflectance in ppm", (None, None, "ppm")),
         ("cloud 35 %", (None, None, None)),
+        ("factor 0.0001, counts", (None, None, "e4")),
+        ("reflectance, 8 bit", (None, None, "byte")),
+        ("DN = 10000*refl + 1000", (None, None, "e4_plus_1000")),
+        ("refl in parts per million", (None, None, "ppm")),
+        ("scale 0.00012", (None, None, None)),
+        ("a 255 mm lens", (None, None, None)),
         ("ground sampling distance 30 mm", (30.0, "mm", None)),
     ],
 )
