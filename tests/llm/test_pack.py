@@ -1,3 +1,4 @@
+import random
 import os
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import encode as e
+from gridloom.llm import words as e
 from gridloom.llm import pack
 
 
@@ -57,6 +58,16 @@ def test_differencing_balances():
     assert max(sums) - min(sums) <= 2
 
 
+def test_the_count_rises_on_overflow():
+    rng = random.Random(4)
+    for _ in range(20):
+        sizes = [rng.randrange(1, 60) for _ in range(40)]
+        alone, mended = (pack.pack_window(sizes, 100, mend) for mend in (False, True))
+        for parts in (alone, mended):
+            assert sorted(i for p in parts for i in p) == list(range(40)) and max(sum(sizes[i] for i in p) for p in parts) <= 100
+        assert -(-sum(sizes) // 100) <= len(mended) <= len(alone)
+
+
 def test_equal_and_full_items():
     assert len(pack.pack_window([50] * 7, 100)) == 4
     assert sorted(map(len, pack.pack_window([60] * 3, 100))) == [1, 1, 1]
@@ -72,5 +83,5 @@ def test_table(spark):
     check(list(n.items()), rows, 64)
     assert {r[1] for r in rows} == {2, 3, 4, 5}
     assert pack.containers(df.limit(0)).collect() == []
-    report = pack.fill_report(pack.containers(df, 64, 2), 64).first()
-    assert report["tokens"] == sum(n.values()) and report["fullest"] <= 64
+    report = pack.fill_report({"a": pack.containers(df, 64, 2), "b": pack.containers(df, 64, 2, mend=False)}, 64).collect()
+    assert [r["tokens"] for r in report] == [sum(n.values())] * 2 and all(r["fullest"] <= 64 for r in report)
