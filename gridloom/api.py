@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import QueryError
-from gridloom.functions import expr
 from gridloom.functions.raster import bilinear_column, nearest_column
 from gridloom.functions.tiles import canonical_or_self, tile_bounds, tile_x, tile_y
 from gridloom.operators import observations as ops
@@ -131,7 +130,11 @@ def statistics(spark: SparkSession, warehouse: str, tile_id: str, band: str, mon
 
 def scenes(spark: SparkSession, warehouse: str, time: tuple[datetime, datetime] | None = None, box: Box | None = None, product_id: str | None = None, as_of: int | None = None) -> DataFrame:
     """Registered scenes in order of time. A scene without bounds passes every box, one without time no time range."""
-    df = Warehouse(spark, warehouse, SCENES, []).read(as_of)
+    return filter_scenes(Warehouse(spark, warehouse, SCENES, []).read(as_of), time, box, product_id)
+
+
+def filter_scenes(df: DataFrame, time: tuple[datetime, datetime] | None = None, box: Box | None = None, product_id: str | None = None) -> DataFrame:
+    """Scenes (acquisition_time, bounds, product_id) by time, box and product, in order of time."""
     if time:
         df = df.where(F.col("acquisition_time").between(*map(F.lit, time)))
     if box:
@@ -142,48 +145,53 @@ def scenes(spark: SparkSession, warehouse: str, time: tuple[datetime, datetime]
     return df.orderBy(F.col("acquisition_time").asc_nulls_first())
 
 
-def _blocks(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Blocks of the named files, one scan per folder."""
-    out = None
-    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
-        part = spark.read.format("cog").load(folder.removeprefix("file:"))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("_f", F.regexp_extract("path", r"([^/]+)$", 1))
+def all_bands() -> Column:
+    """Aggregate: the bands of all scenes, each once, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set("band_names"))))
+
 
+def product_summary(scenes: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Per product the number of scenes, first and last time and all bands, with what its profile says; NULL without one."""
+    per = scenes.groupBy("product_id").agg(F.count(F.lit(1)).alias("scenes"), F.min("acquisition_time").alias("first"), F.max("acquisition_time").alias("last"), all_bands().alias("bands"))
+    return per.join(profiles, "product_id", "left")
 
-def _cells(blocks: DataFrame, *keep: str) -> DataFrame:
-    px = blocks.select(*keep, "row", "col", "width", F.posexplode("pixels").alias("i", "value"))
-    return px.select(*keep, (F.col("row") + F.floor(F.col("i") / F.col("width"))).cast("int").alias("y"), (F.col("col") + F.col("i") % F.col("width")).cast("int").alias("x"), "value")
 
+def _cells(blocks: DataFrame, *keep: str, coordinates: bool = False) -> DataFrame:
+    """One row per cell, by its position in the raster or by the coordinates of its centre in the raster's system."""
+    px = blocks.select(*keep, "transform", "row", "col", "width", F.posexplode("pixels").alias("i", "value"))
+    y, x = (F.col("row") + F.floor(F.col("i") / F.col("width"))).cast("int"), (F.col("col") + F.col("i") % F.col("width")).cast("int")
+    if coordinates:
+        t = lambda k: F.get("transform", F.lit(k))
+        # Rounded, so that rasters of one grid whose corners are written with less than full precision meet.
+        y, x = F.round(t(5) + (y + 0.5) * t(4), 7), F.round(t(2) + (x + 0.5) * t(0), 7)
+    return px.select(*keep, y.alias("y"), x.alias("x"), "value")
 
-def open_scenes(spark: SparkSession, warehouse: str, bands: list[str] | None = None, cloud_mask: ProductRegistry | None = None, **filters) -> Cube:
-    """Cube (band, time, y, x) of registered scenes, read from their files. No scene raises QueryError. y and x are pixel
-    positions of each scene's own raster; missing cells are rows that are not there.
+
+def open_scenes(spark: SparkSession, warehouse: str, bands: list[str] | None = None, cloud_mask: ProductRegistry | None = None, coordinates: bool = False, **filters) -> Cube:
+    """Cube (band, time, y, x) of registered scenes, read from their files by their full names. No scene raises QueryError.
+    y and x are pixel positions of each scene's own raster or, with ``coordinates``, those of the cells' centres, on which
+    scenes of different extent are aligned; missing cells are rows that are not there.
 
     ``cloud_mask``: profiles that say which band and values of a product's mask files mean clear. Cells that are not
     clear are NULL. Scenes without a mask file, or of a product without such a rule, stay as they are."""
     from gridloom.sources import cog
 
-    cog.register(spark)
     found = scenes(spark, warehouse, **filters)
-    files = [tuple(r) for r in found.select("source_file", "mask_source_file").distinct().limit(10_001).collect()]  # names only
-    if not files:
+    if found.isEmpty():
         raise QueryError("no scene meets the query")
-    if len(files) > 10_000:
-        raise QueryError("more than 10,000 scenes; narrow the query")
-    facts = found.select(F.regexp_extract("source_file", r"([^/]+)$", 1).alias("_f"), F.col("acquisition_time").alias("time"), "band_names", "product_id", F.regexp_extract("mask_source_file", r"([^/]+)$", 1).alias("mask_name"))
-    named = cog.band_names_of(_blocks(spark, [f for f, _ in files]).join(facts, "_f"), F.col("band_names"))
+    facts = found.select(F.col("source_file").alias("path"), F.col("acquisition_time").alias("time"), "band_names", "product_id", "mask_source_file")
+    named = cog.band_names_of(cog.blocks_of(facts).join(facts, "path"), F.col("band_names"))
     if bands is not None:
         named = named.where(F.col("band_name").isin(bands))
-    cells = _cells(named.withColumn("band", F.col("band_name")), "band", "time", "product_id", "mask_name")
-    masks = [m for _, m in files if m]
-    if cloud_mask is not None and masks:
+    cells = _cells(named.withColumn("band", F.col("band_name")), "band", "time", "product_id", "mask_source_file", coordinates=coordinates)
+    if cloud_mask is not None:
         rules = cloud_mask.to_df(spark).where("cloud_mask IS NOT NULL").select("product_id", "cloud_mask.band_index", "cloud_mask.clear_values")
-        quality = _blocks(spark, masks).join(facts.select(F.col("mask_name").alias("_f"), "product_id").distinct(), "_f").join(rules, "product_id")
-        quality = _cells(quality.where(F.col("band") == F.col("band_index")), "_f", "clear_values")
-        seen = quality.select(F.col("_f").alias("mask_name"), "y", "x", F.array_contains("clear_values", F.col("value").cast("int")).alias("clear"))
+        masked = facts.where("mask_source_file IS NOT NULL").select(F.col("mask_source_file").alias("path"), "product_id").distinct().join(rules, "product_id")
+        quality = cog.blocks_of(masked).join(masked, "path").where(F.col("band") == F.col("band_index"))
+        seen = _cells(quality, "path", "clear_values", coordinates=coordinates)
+        seen = seen.select(F.col("path").alias("mask_source_file"), "y", "x", F.array_contains("clear_values", F.col("value").cast("int")).alias("clear"))
         # A mask serves all bands of its scene: the join is on the pixel, not on the band.
-        joined = cells.join(seen, ["mask_name", "y", "x"], "left")
+        joined = cells.join(seen, ["mask_source_file", "y", "x"], "left")
         cells = joined.withColumn("value", F.when(F.coalesce("clear", F.lit(True)), F.col("value")))
     return Cube.of(cells, ["band", "time", "y", "x"])
 
@@ -198,7 +206,3 @@ def evi(c: Cube, gain: float = 2.5, c1: float = 6.0, c2: float = 7.5, soil: floa
 
 def history(spark: SparkSession, warehouse: str) -> DataFrame:
     return Warehouse(spark, warehouse).history()
-
-
-def index_column(nir: Column, red: Column) -> Column:
-    return expr.ndvi(nir, red)

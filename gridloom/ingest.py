@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import time
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import IngestionError
@@ -20,6 +21,7 @@ from gridloom.functions.tiles import METRES_PER_DEGREE, TILE_METRES
 from gridloom.operators.observations import pixel_stats
 from gridloom.schema import OBSERVATIONS, SCENES
 from gridloom.sources import cog, tiff
+from gridloom.sources.files import opened
 from gridloom.warehouse import Warehouse
 
 
@@ -32,6 +34,12 @@ class IngestResult:
     errors: list[str] = field(default_factory=list)
 
 
+def with_first_mask(files: DataFrame, masks: DataFrame, keys: list[str]) -> DataFrame:
+    """Files with mask_source_file, the first (by ``path``) of the masks equal in the keys; NULL meets nothing."""
+    first = masks.where(F.col("path").isNotNull()).groupBy(*keys).agg(F.min("path").alias("mask_source_file"))
+    return files.join(first, keys, "left")
+
+
 def scene_table(spark: SparkSession, source: str, product_id: str | None = None, band_names: list[str] | None = None, date_pattern: str | None = None, pattern: str = "*.tif*", mask_path: str | None = None) -> DataFrame:
     """Scenes of all rasters below a folder, from their headers alone: date from the name, else the file's own time;
     product from the folder; band names from the header; the first mask file (by name) of the same date."""
@@ -42,8 +50,8 @@ def scene_table(spark: SparkSession, source: str, product_id: str | None = None,
     rows = facts.join(times, F.col("path") == F.col("_p")).withColumn("day", day)
     if mask_path:
         masks = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(mask_path).select("path")
-        masks = masks.select(date_in_name(F.regexp_extract("path", r"([^/]+)$", 1), date_pattern).alias("m_day"), F.col("path").alias("m_path")).groupBy("m_day").agg(F.min("m_path").alias("mask_source_file"))
-        rows = rows.join(masks, F.col("day") == F.col("m_day"), "left")
+        masks = masks.select(date_in_name(F.regexp_extract("path", r"([^/]+)$", 1), date_pattern).alias("day"), "path")
+        rows = with_first_mask(rows, masks, ["day"])
     else:
         rows = rows.withColumn("mask_source_file", F.lit(None).cast("string"))
     at = F.coalesce(F.col("day").cast("timestamp"), F.col("modificationTime"))
@@ -70,11 +78,10 @@ def ingest(spark: SparkSession, source: str, warehouse: str, **options) -> Inges
     began = time.time()
     store = Warehouse(spark, warehouse, SCENES, [])
     pattern = options.get("pattern", "*.tif*")
-    errors = [f"{r['path']}: {r['error']}" for r in cog.headers(spark, source, pattern).where("error IS NOT NULL").select("path", "error").collect()]
     fresh = scene_table(spark, source, **options).join(store.read().select("source_file"), "source_file", "left_anti")
-    before = store.read().count()
-    snapshot = store.append(fresh, f"ingest {source}")
-    return IngestResult(store.read().count() - before, snapshot, warehouse, time.time() - began, errors)
+    snapshot, count = store.append_counted(fresh, f"ingest {source}")
+    errors = [f"{r['path']}: {r['error']}" for r in cog.headers(spark, source, pattern).where("error IS NOT NULL").select("path", "error").collect()]
+    return IngestResult(count, snapshot, warehouse, time.time() - began, errors)
 
 
 def _window(h: tiff.Header, box: tuple[float, float, float, float]) -> tuple[int, int, int, int] | None:
@@ -99,27 +106,36 @@ def _window(h: tiff.Header, box: tuple[float, float, float, float]) -> tuple[int
 def tile_rows(spark: SparkSession, source: str, band_mapping: dict[int, str], pixels_per_tile: int | None = None, product_id: str = "default", acquired=None) -> DataFrame:
     """Observations cut from the rasters below a folder: for every tile that a raster touches and every mapped band the
     window is read, resampled (bilinear, the validity mask by nearest) and given its statistics. Tiles without a valid
-    pixel are left out. A task works one raster at a time and decodes only the blocks it needs."""
+    pixel are left out. The work is spread by raster and row of tiles, and a task reads only the blocks it needs."""
     scenes = scene_table(spark, source, product_id)
-    spread = "tile_id string, band string, pixels array<int>, mask array<boolean>, source_file string, acquisition_time timestamp, resolution double, crs string, affine array<double>"
+    spread = "tile_id string, band string, pixels array<int>, mask array<boolean>, source_file string, acquisition_time timestamp, resolution double, crs string, affine array<double>, bounds_wkb binary"
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            rows = []
             for path, at in zip(pdf["source_file"], pdf["acquisition_time"], strict=True):
-                with open(path.removeprefix("file:").replace("//", "/"), "rb") as fh:
-                    raw = fh.read()
-                h = tiff.read_header(raw)
+                with opened(path) as raw:
+                    h = tiff.read_header(raw)
                 if h.bounds is None:
                     raise IngestionError(f"{path} has no place")
                 box = cog.bounds_in_degrees(h.epsg, h.bounds)
-                metres = cog.metres_per_pixel(h.affine, h.epsg, h.bounds)
-                side = pixels_per_tile or int(np.ceil(TILE_METRES / metres))
-                rows = []
-                for y in range(int(np.floor(box[1] * METRES_PER_DEGREE / TILE_METRES)), int(np.floor(box[3] * METRES_PER_DEGREE / TILE_METRES)) + 1):
+                rows += [(path, at, y) for y in range(int(np.floor(box[1] * METRES_PER_DEGREE / TILE_METRES)), int(np.floor(box[3] * METRES_PER_DEGREE / TILE_METRES)) + 1)]
+            yield pd.DataFrame(rows, columns=["source_file", "acquisition_time", "y"])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, at, y in zip(pdf["source_file"], pdf["acquisition_time"], pdf["y"], strict=True):
+                with opened(path) as raw:
+                    h = tiff.read_header(raw)
+                    box = cog.bounds_in_degrees(h.epsg, h.bounds)
+                    metres = cog.metres_per_pixel(h.affine, h.epsg, h.bounds)
+                    side = pixels_per_tile or int(np.ceil(TILE_METRES / metres))
+                    rows = []
                     s, n = y * TILE_METRES / METRES_PER_DEGREE, (y + 1) * TILE_METRES / METRES_PER_DEGREE
                     shrink = METRES_PER_DEGREE * np.cos(np.radians((s + n) / 2))
                     for x in range(int(np.floor(box[0] * shrink / TILE_METRES)), int(np.floor(box[2] * shrink / TILE_METRES)) + 1):
-                        win = _window(h, (x * TILE_METRES / shrink, s, (x + 1) * TILE_METRES / shrink, n))
+                        tile = (x * TILE_METRES / shrink, s, (x + 1) * TILE_METRES / shrink, n)
+                        win = _window(h, tile)
                         if win is None:
                             continue
                         for number, band in band_mapping.items():
@@ -128,11 +144,12 @@ def tile_rows(spark: SparkSession, source: str, band_mapping: dict[int, str], pi
                             mask = nearest(ok, side, side)
                             if mask.any():
                                 px = bilinear(a.astype(float), side, side)
-                                rows.append((_tile_name(x, y), band, px.ravel().tolist(), mask.ravel().tolist(), path, at, metres, f"EPSG:{h.epsg}" if h.epsg else None, list(h.affine)))
+                                rows.append((_tile_name(x, y), band, px.ravel().tolist(), mask.ravel().tolist(), path, at, metres, f"EPSG:{h.epsg}" if h.epsg else None, list(h.affine), _box_wkb(*tile)))
                 if rows:
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in spread.split(", ")])
 
-    raw = scenes.select("source_file", "acquisition_time").mapInPandas(cut, spread)
+    planned = scenes.select("source_file", "acquisition_time").mapInPandas(rows_of_tiles, "source_file string, acquisition_time timestamp, y int")
+    raw = planned.repartition("source_file", "y").mapInPandas(cut, spread)
     stats = pixel_stats(F.col("pixels"), F.col("mask"))
     return raw.select(
         "tile_id",
@@ -145,13 +162,19 @@ def tile_rows(spark: SparkSession, source: str, band_mapping: dict[int, str], pi
         F.col("resolution").cast("float").alias("resolution"),
         F.size("pixels").alias("num_pixels"),
         *[c.alias(n) for n, c in stats.items()],
-        "crs",
+        "bounds_wkb",
+        F.lit("EPSG:4326").alias("crs"),  # of the bounds, which are the tile's
         F.to_json("affine").alias("transform"),
         "source_file",
         F.current_timestamp().alias("ingestion_time"),
     )
 
 
+def _box_wkb(x0: float, y0: float, x1: float, y1: float) -> bytes:
+    """A box as a WKB polygon."""
+    return struct.pack("<BIII10d", 1, 3, 1, 5, x0, y0, x1, y0, x1, y1, x0, y1, x0, y0)
+
+
 def _tile_name(x: int, y: int) -> str:
     part = lambda i: f"-{-i:04d}" if i < 0 else f"{i:04d}"
     return f"x{part(x)}_y{part(y)}"
@@ -179,9 +202,3 @@ class Pending:
         for r in rows[1:]:
             out = out.unionByName(r)
         return self.store.append(out, message)
-
-
-def newest_scene_per_day(scenes: DataFrame) -> DataFrame:
-    """Of scenes of one product and day the last by time and id."""
-    w = Window.partitionBy("product_id", F.to_date("acquisition_time")).orderBy(F.desc("acquisition_time"), F.desc("scene_id"))
-    return scenes.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

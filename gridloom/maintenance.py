@@ -64,7 +64,12 @@ def migrate(spark: SparkSession, folder: str, warehouse: str, dry_run: bool = Fa
 
 def verify(spark: SparkSession, folder: str, warehouse: str) -> DataFrame:
     """Chunks (tile, band, month) whose number of observations differs between files and warehouse; empty if all is there."""
+    return chunk_counts_differ(chunk_observations(spark, folder), Warehouse(spark, warehouse).read())
+
+
+def chunk_counts_differ(in_files: DataFrame, stored: DataFrame) -> DataFrame:
+    """(tile_id, band, year_month, in_files, stored) of the chunks whose number of rows differs; 0 where one side has none."""
     key = ["tile_id", "band", "year_month"]
-    count = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
-    both = count(chunk_observations(spark, folder), "in_files").join(count(Warehouse(spark, warehouse).read(), "stored"), key, "full")
-    return both.where(~F.col("in_files").eqNullSafe(F.col("stored")))
+    sides = in_files.select(*key, F.lit(1).alias("f"), F.lit(0).alias("s")).unionByName(stored.select(*key, F.lit(0).alias("f"), F.lit(1).alias("s")))
+    per = sides.groupBy(*key).agg(F.sum("f").alias("in_files"), F.sum("s").alias("stored"))
+    return per.where(F.col("in_files") != F.col("stored"))

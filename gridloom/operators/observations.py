@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import divide
+from gridloom.functions.tiles import canonical, tile_bounds, tile_x, tile_y
 
 
 def in_tiles(df: DataFrame, tiles: list[str]) -> DataFrame:
@@ -118,6 +119,18 @@ def explode_pixels(df: DataFrame, keys: list[str], width: Column | None = None)
     return rows.select(*keys, F.floor(F.col("_pos") / F.col("_w")).cast("int").alias("y"), (F.col("_pos") % F.col("_w")).cast("int").alias("x"), F.col("_p.pixels").alias("value"), F.coalesce("_p.mask", F.lit(True)).alias("valid"))
 
 
+def pixel_places(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per pixel with the longitude and latitude of its place: coordinates run straight between the tile's edges,
+    both ends included, from north to south. Rows whose tile id cannot be read, or of one pixel a side, have no place and
+    are left out."""
+    side = width_of(F.size("pixels"))
+    placed = df.where(canonical("tile_id").isNotNull()).withColumns({"_b": tile_bounds(tile_x("tile_id"), tile_y("tile_id")), "_last": side - 1}).where(F.col("_last") > 0)
+    px = explode_pixels(placed, [*keys, "_b", "_last"])
+    lon = F.col("_b.minx") + F.col("x") * (F.col("_b.maxx") - F.col("_b.minx")) / F.col("_last")
+    lat = F.col("_b.maxy") + F.col("y") * (F.col("_b.miny") - F.col("_b.maxy")) / F.col("_last")
+    return px.withColumns({"lon": lon, "lat": lat}).drop("_b", "_last")
+
+
 def valid_pixels(pixels: Column, mask: Column) -> Column:
     """Pixels whose mask says valid, all of them if none is; NULL pixels are dropped."""
     pairs = F.arrays_zip(pixels.alias("p"), mask.alias("m"))
@@ -137,11 +150,6 @@ def mask_nodata(pixels: Column, nodata: Column) -> Column:
     return F.transform(pixels, lambda p: F.coalesce(p != nodata, p.isNotNull()))
 
 
-def keep_where(pixels: Column, mask: Column) -> Column:
-    """Pixels with NULL where the mask does not say valid."""
-    return F.zip_with(pixels, mask, lambda p, m: F.when(m, p))
-
-
 def keep_clear(pixels: Column, quality: Column, clear_values: list[int]) -> Column:
     """Pixels with NULL where the quality band does not hold one of the clear values."""
     return F.zip_with(pixels, quality, lambda p, q: F.when(q.isin(clear_values), p))
@@ -161,15 +169,10 @@ def band_arrays(df: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:
     return df.where(F.col("band").isin(bands)).groupBy(*keys).agg(*pick)
 
 
-def array_mean(values: Column) -> Column:
-    """Mean of an array's finite values; NULL if there is none."""
-    v = F.filter(values, lambda p: p.isNotNull() & ~F.isnan(p))
-    return divide(F.aggregate(v, F.lit(0.0), lambda a, p: a + p), F.size(v).cast("double"), null_on_zero=True)
-
-
 def tile_month_rollup(df: DataFrame) -> DataFrame:
     """Catalogue rows per tile, month and band: number of observations, extremes, mean of means (unweighted, as
-    catalogues define it), mean cloud cover, smallest product and resolution. NULL and NaN are skipped; 0 if nothing is left."""
+    catalogues define it), mean cloud cover, smallest product and resolution, and the first bounds by time. NULL and NaN are
+    skipped; 0 if nothing is left."""
     clean = lambda c: F.when(~F.isnan(c), F.col(c).cast("double"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return df.groupBy("tile_id", "year_month", "band").agg(
@@ -180,9 +183,16 @@ def tile_month_rollup(df: DataFrame) -> DataFrame:
         zero(F.avg(clean("cloud_cover"))).alias("cloud_cover"),
         F.min("product_id").alias("product_id"),
         F.min("resolution").cast("double").alias("resolution"),
+        *([_first("bounds_wkb", [c for c in ("time", "obs_id") if c in df.columns])] if "bounds_wkb" in df.columns else []),
     )
 
 
+def _first(name: str, order: list[str]) -> Column:
+    """The first value that is none of NULL."""
+    some = F.col(name).isNotNull()
+    return F.min_by(F.when(some, F.col(name)), F.when(some, F.struct(*order))).alias(name)
+
+
 def tile_band_statistics(rollup: DataFrame) -> DataFrame:
     """Second level: statistics of a tile and band over its months."""
     return rollup.groupBy("tile_id", "band").agg(

@@ -6,13 +6,14 @@ Times come out as microseconds since 1970, so that both engines compare integers
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom import products
+from gridloom import api, ingest, maintenance, products
 from gridloom.functions import expr, raster, tiles
 from gridloom.functions.bandmath import compile_expression
 from gridloom.operators import cube as cubes
@@ -20,7 +21,8 @@ from gridloom.operators import nearby
 from gridloom.operators import observations as ops
 from gridloom.operators import spatial
 from gridloom.plans.problems import tile_sql
-from gridloom.session import table
+from gridloom.session import shared_folder, table
+from gridloom.warehouse import Warehouse, by_suffix, summarised
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,11 +31,16 @@ HOT = "x3961_y2272"
 BOX = (-60.0, -30.0, 60.0, 40.0)
 
 
+def canonical_sql(sql: str) -> str:
+    """SQL whose observations and tile_metadata have canonical tile ids: ids that name the same pair are one tile."""
+    return re.sub(r"\b(FROM|JOIN) (observations|tile_metadata)\b", lambda m: f"{m[1]} (SELECT * REPLACE ({tile_sql('tile_id')} AS tile_id) FROM {m[2]}) AS {m[2]}", sql)
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = sql
+            ORACLE[f.__name__] = canonical_sql(sql)
         return f
 
     return add
@@ -44,25 +51,18 @@ def us() -> Column:
 
 
 def obs(spark: SparkSession, sf: str, name: str = "observations") -> DataFrame:
-    return table(spark, sf, name)
-
-
-def by_tile(spark: SparkSession, sf: str, name: str = "observations") -> DataFrame:
-    """A whole table under canonical ids: ids that name the same pair are one tile. Read by the queries named *_whole."""
+    """A whole table under canonical tile ids: ids that name the same pair are one tile."""
     return table(spark, sf, name).withColumn("tile_id", tiles.canonical_or_self("tile_id"))
 
 
-_BY_TILE = f"(SELECT * REPLACE ({tile_sql('tile_id')} AS tile_id) FROM observations)"
-
-
 def _ts(*a: int) -> datetime:
     return datetime(*a, tzinfo=UTC)
 
 
 # scans and filters
-@query(f"SELECT obs_id, band, epoch_us(time) AS time_us, pixels, mask FROM observations WHERE tile_id = '{HOT}'")
+@query("SELECT obs_id, tile_id, band, epoch_us(time) AS time_us, pixels, mask FROM observations")
 def scan_observations(spark, sf):
-    return ops.in_tiles(obs(spark, sf), [HOT]).select("obs_id", "band", us(), "pixels", "mask")
+    return obs(spark, sf).select("obs_id", "tile_id", "band", us(), "pixels", "mask")
 
 
 @query(f"""SELECT obs_id, band, epoch_us(time) AS time_us, min_value, max_value FROM observations WHERE tile_id = '{HOT}' AND band IN ('red', 'nir')
@@ -79,8 +79,8 @@ def filter_month_range(spark, sf):
 
 
 @query("SELECT tile_id, band, count(*) AS n FROM observations WHERE product_id = 'meridian_sr' GROUP BY 1, 2")
-def filter_product(spark, sf, read=obs):
-    return read(spark, sf).where(F.col("product_id") == "meridian_sr").groupBy("tile_id", "band").agg(F.count(F.lit(1)).alias("n"))
+def filter_product(spark, sf):
+    return obs(spark, sf).where(F.col("product_id") == "meridian_sr").groupBy("tile_id", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH moment AS (SELECT min(time) AS t FROM observations WHERE tile_id = '{HOT}' AND band = 'green')
@@ -93,53 +93,44 @@ def observation_point_lookup(spark, sf):
     return ops.at_instant(df, HOT, "green", at).select("obs_id", "tile_id", "band", us(), "pixels")
 
 
+_ANY_TIME = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})?$"
+
+
 def scenes(spark: SparkSession, sf: str) -> DataFrame:
-    """Scenes with an instant (NULL where the text is none) and a box; incomplete bounds count as none."""
+    """Scenes with an instant and a box; incomplete bounds count as none. The instant is of every ISO form: T or a blank,
+    any offset; UTC where none is given; NULL where the text is none."""
     s = table(spark, sf, "scenes_index")
     ok = (F.size("bounds") == 4) & ~F.exists("bounds", lambda v: v.isNull() | F.isnan(v))
-    iso = F.when(F.col("acquisition_time").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|\+00:00)$"), F.to_timestamp(F.substring("acquisition_time", 1, 19), "yyyy-MM-dd'T'HH:mm:ss"))
+    iso = F.when(F.col("acquisition_time").rlike(_ANY_TIME), F.col("acquisition_time").try_cast("timestamp"))
     return s.select("*", iso.alias("instant"), *[F.when(F.col("bounds").isNotNull() & ok, F.get("bounds", i)).alias(n) for i, n in enumerate(("minx", "miny", "maxx", "maxy"))])
 
 
-_SCENES = """WITH s AS (SELECT *, CASE WHEN regexp_matches(acquisition_time, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+]00:00)$') THEN strptime(substr(acquisition_time, 1, 19), '%Y-%m-%dT%H:%M:%S') END AS instant,
+_SCENES = f"""WITH s AS (SELECT *, CASE WHEN regexp_matches(acquisition_time, '{_ANY_TIME}') THEN try_cast(acquisition_time AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END AS instant,
  coalesce(len(bounds) = 4 AND len(list_filter(bounds, lambda v: v IS NULL OR isnan(v))) = 0, false) AS ok FROM scenes_index),
  b AS (SELECT *, CASE WHEN ok THEN bounds[1] END AS minx, CASE WHEN ok THEN bounds[2] END AS miny, CASE WHEN ok THEN bounds[3] END AS maxx, CASE WHEN ok THEN bounds[4] END AS maxy FROM s) """
 
 
-@query(_SCENES + f"SELECT scene_group, product_id FROM b WHERE crs = 'EPSG:4326' AND (NOT ok OR (minx <= {BOX[2]} AND maxx >= {BOX[0]} AND miny <= {BOX[3]} AND maxy >= {BOX[1]}))")
-def bbox_scenes(spark, sf):
-    """A scene without bounds passes every spatial filter."""
-    s = scenes(spark, sf).where(F.col("crs") == "EPSG:4326")
-    hit = spatial.intersects_box(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), BOX)
-    return s.where(F.col("minx").isNull() | hit).select("scene_group", "product_id")
-
-
-@query(_SCENES + """SELECT scene_group, epoch_us(instant) AS time_us, band_names FROM b WHERE instant >= TIMESTAMP '2024-01-01' AND instant <= TIMESTAMP '2024-04-01' AND product_id = 'halo2_l2a' """)
-def scenes_filtered(spark, sf, read=scenes):
-    """A scene without an instant fails every time filter."""
-    s = read(spark, sf).where((F.col("instant") >= F.lit(_ts(2024, 1, 1))) & (F.col("instant") <= F.lit(_ts(2024, 4, 1))) & (F.col("product_id") == "halo2_l2a"))
-    return s.orderBy(F.col("acquisition_time").asc_nulls_first()).select("scene_group", F.unix_micros("instant").alias("time_us"), "band_names")
-
-
 @query()
-def bbox_scenes_whole(spark, sf):
-    """Scenes of every coordinate system; tests/test_whole.py has places worked out by hand."""
+def bbox_scenes(spark, sf):
+    """Scenes of every coordinate system; a scene without bounds passes. tests/test_whole.py has places worked out by hand."""
     return nearby.scenes_in_box(scenes(spark, sf), BOX).select("scene_group", "product_id")
 
 
-_ANY_TIME = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})?$"
-_SCENES_WHOLE = f"WITH s AS (SELECT *, CASE WHEN regexp_matches(acquisition_time, '{_ANY_TIME}') THEN try_cast(acquisition_time AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END AS instant," + _SCENES.split("AS instant,", 1)[1]
-
-
-def scenes_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Scenes with the instant of every ISO form: T or a blank, any offset; UTC where none is given."""
-    iso = F.when(F.col("acquisition_time").rlike(_ANY_TIME), F.col("acquisition_time").try_cast("timestamp"))
-    return scenes(spark, sf).withColumn("instant", iso)
+@query(f"""SELECT tile_id, band, year_month, chunk_path FROM tile_metadata
+ WHERE bounds IS NULL OR len(bounds) <> 4 OR (bounds[1] <= {BOX[2]} AND bounds[3] >= {BOX[0]} AND bounds[2] <= {BOX[3]} AND bounds[4] >= {BOX[1]})""")
+def bbox_tiles(spark, sf):
+    """Catalogue entries whose bounds meet a box; one without bounds passes."""
+    corner = [F.get("bounds", i) for i in range(4)]
+    df = obs(spark, sf, "tile_metadata")
+    return df.where(F.col("bounds").isNull() | (F.size("bounds") != 4) | spatial.intersects_box(*corner, BOX)).select("tile_id", "band", "year_month", "chunk_path")
 
 
-@query(ORACLE["scenes_filtered"].replace(_SCENES, _SCENES_WHOLE))
-def scenes_filtered_whole(spark, sf):
-    return scenes_filtered(spark, sf, read=scenes_whole)
+@query(_SCENES + """SELECT scene_group, epoch_us(instant) AS time_us, band_names FROM b WHERE instant >= TIMESTAMP '2024-01-01' AND instant <= TIMESTAMP '2024-04-01' AND product_id = 'halo2_l2a' """)
+def scenes_filtered(spark, sf):
+    """A scene without an instant fails every time filter."""
+    s = scenes(spark, sf).drop("acquisition_time", "bounds").withColumnRenamed("instant", "acquisition_time").withColumn("bounds", F.struct("minx", "miny", "maxx", "maxy"))
+    s = api.filter_scenes(s, (_ts(2024, 1, 1), _ts(2024, 4, 1)), product_id="halo2_l2a")
+    return s.select("scene_group", F.unix_micros("acquisition_time").alias("time_us"), "band_names")
 
 
 @query("""SELECT obs_id, epoch_us(time) AS time_us FROM observations WHERE time >= TIMESTAMPTZ '2024-03-01 00:00:00+00' AND time <= TIMESTAMPTZ '2024-06-01 00:00:00+00'""")
@@ -156,53 +147,38 @@ def month_label_sel(spark, sf):
 @query("""WITH d AS (SELECT *, abs(epoch_us(time) - 1710460800000000) AS d FROM observations WHERE time IS NOT NULL),
  best AS (SELECT tile_id, band, min((d, epoch_us(time))) AS b FROM d GROUP BY 1, 2)
 SELECT o.obs_id, o.tile_id, o.band, epoch_us(o.time) AS time_us FROM d o JOIN best ON o.tile_id = best.tile_id AND o.band = best.band AND epoch_us(o.time) = b[2]""")
-def nearest_time_sel(spark, sf, read=obs):
-    return ops.nearest_in_time(read(spark, sf), _ts(2024, 3, 15), ["tile_id", "band"]).select("obs_id", "tile_id", "band", us())
+def nearest_time_sel(spark, sf):
+    return ops.nearest_in_time(obs(spark, sf), _ts(2024, 3, 15), ["tile_id", "band"]).select("obs_id", "tile_id", "band", us())
 
 
 @query("SELECT obs_id, tile_id, satellite_id, band FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, satellite_id, band ORDER BY time, obs_id) AS i FROM observations) WHERE i = 3")
-def isel_time(spark, sf, read=obs):
-    return ops.at_position(read(spark, sf), ["tile_id", "satellite_id", "band"], 2, ["time", "obs_id"]).select("obs_id", "tile_id", "satellite_id", "band")
+def isel_time(spark, sf):
+    return ops.at_position(obs(spark, sf), ["tile_id", "satellite_id", "band"], 2, ["time", "obs_id"]).select("obs_id", "tile_id", "satellite_id", "band")
 
 
 @query("""SELECT obs_id FROM (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY tile_id, satellite_id, band) AS n FROM observations WINDOW w AS (PARTITION BY tile_id, satellite_id, band ORDER BY time, obs_id))
  WHERE i >= n - 4 AND i < n - 1""")
-def isel_time_slice(spark, sf, read=obs):
-    return ops.at_position(read(spark, sf), ["tile_id", "satellite_id", "band"], slice(-4, -1), ["time", "obs_id"]).select("obs_id")
+def isel_time_slice(spark, sf):
+    return ops.at_position(obs(spark, sf), ["tile_id", "satellite_id", "band"], slice(-4, -1), ["time", "obs_id"]).select("obs_id")
 
 
 # projections and reshaping
 _PIXELS = """SELECT obs_id, tile_id, satellite_id, product_id, band, time, unnest(range(len(pixels))) AS i, unnest(pixels) AS value, unnest(mask) AS valid FROM observations"""
 
 
-@query(f"SELECT obs_id, CAST(i // 4 AS INT) AS y, CAST(i % 4 AS INT) AS x, value, valid FROM ({_PIXELS} WHERE tile_id = '{HOT}')")
+@query(f"SELECT obs_id, CAST(i // 4 AS INT) AS y, CAST(i % 4 AS INT) AS x, value, valid FROM ({_PIXELS})")
 def explode_pixels(spark, sf):
-    return ops.explode_pixels(ops.in_tiles(obs(spark, sf), [HOT]), ["obs_id"])
+    return ops.explode_pixels(obs(spark, sf), ["obs_id"])
 
 
-@query("""WITH t AS (SELECT obs_id, pixels, CAST(regexp_extract(tile_id, '^x(-?[0-9]{4})_', 1) AS INT) AS tx, CAST(regexp_extract(tile_id, '_y(-?[0-9]{4})$', 1) AS INT) AS ty FROM observations WHERE regexp_matches(tile_id, '^x-?[0-9]{4}_y-?[0-9]{4}$') AND band = 'red'),
+@query("""WITH t AS (SELECT obs_id, pixels, CAST(regexp_extract(tile_id, '^x(-?[0-9]{4,})_', 1) AS INT) AS tx, CAST(regexp_extract(tile_id, '_y(-?[0-9]{4,})$', 1) AS INT) AS ty FROM observations WHERE regexp_matches(tile_id, '^x-?[0-9]{4,}_y-?[0-9]{4,}$')),
  b AS (SELECT *, ty * 2560.0 / 111319.49079327358 AS miny, (ty + 1) * 2560.0 / 111319.49079327358 AS maxy FROM t),
  c AS (SELECT *, cos(radians((miny + maxy) / 2)) * 111319.49079327358 AS s FROM b),
  p AS (SELECT *, unnest(range(16)) AS i FROM c)
 SELECT obs_id, CAST(i // 4 AS INT) AS y, CAST(i % 4 AS INT) AS x, round(tx * 2560.0 / s + (i % 4) * ((tx + 1) * 2560.0 / s - tx * 2560.0 / s) / 3, 7) AS lon, round(maxy + (i // 4) * (miny - maxy) / 3, 7) AS lat FROM p""")
 def pixel_lonlat(spark, sf):
-    """Coordinates run straight between the tile's edges, both ends included, from north to south."""
-    df = obs(spark, sf).where(F.col("tile_id").rlike(r"^x-?\d{4}_y-?\d{4}$") & (F.col("band") == "red"))
-    b = tiles.tile_bounds(tiles.tile_x("tile_id"), tiles.tile_y("tile_id"))
-    px = ops.explode_pixels(df.withColumn("b", b), ["obs_id", "b"])
-    lon = F.col("b.minx") + F.col("x") * (F.col("b.maxx") - F.col("b.minx")) / 3
-    lat = F.col("b.maxy") + F.col("y") * (F.col("b.miny") - F.col("b.maxy")) / 3
-    return px.select("obs_id", "y", "x", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
-
-
-@query(ORACLE["pixel_lonlat"].replace("FROM observations", f"FROM {_BY_TILE}").replace("-?[0-9]{4}", "-?[0-9]{4,}").replace(" AND band = 'red'", ""))
-def pixel_lonlat_whole(spark, sf):
-    """All bands, and tiles however their ids are written."""
-    df = obs(spark, sf).where(tiles.canonical("tile_id").isNotNull())
-    px = ops.explode_pixels(df.withColumn("b", tiles.tile_bounds(tiles.tile_x("tile_id"), tiles.tile_y("tile_id"))), ["obs_id", "b"])
-    lon = F.col("b.minx") + F.col("x") * (F.col("b.maxx") - F.col("b.minx")) / 3
-    lat = F.col("b.maxy") + F.col("y") * (F.col("b.miny") - F.col("b.maxy")) / 3
-    return px.select("obs_id", "y", "x", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+    px = ops.pixel_places(obs(spark, sf), ["obs_id"])
+    return px.select("obs_id", "y", "x", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
 
 
 _KEYS = ["tile_id", "satellite_id", "time"]
@@ -219,8 +195,8 @@ def _aligned(df: DataFrame, *bands: str) -> DataFrame:
 
 
 @query(f"SELECT tile_id, satellite_id, epoch_us(time) AS time_us, blue, green, red, nir FROM ({_aligned_sql('blue', 'green', 'red', 'nir')})")
-def pivot_bands(spark, sf, read=obs):
-    return _aligned(read(spark, sf), "blue", "green", "red", "nir").select("tile_id", "satellite_id", us(), "blue", "green", "red", "nir")
+def pivot_bands(spark, sf):
+    return _aligned(obs(spark, sf), "blue", "green", "red", "nir").select("tile_id", "satellite_id", us(), "blue", "green", "red", "nir")
 
 
 _PX = "SELECT tile_id, satellite_id, epoch_us(time) AS time_us, CAST(i AS INT) AS i, {e} AS value FROM (SELECT *, unnest(range(16)) AS i FROM ({a})) WHERE {w}"
@@ -243,26 +219,31 @@ _NDVI = _div_sql("CAST(nir[i + 1] - red[i + 1] AS DOUBLE)", "CAST(nir[i + 1] + r
 
 
 @query(_PX.format(e=_NDVI, a=_aligned_sql("red", "nir"), w="red IS NOT NULL AND nir IS NOT NULL"))
-def ndvi_pixels(spark, sf, read=obs):
-    return _per_pixel(_aligned(read(spark, sf), "red", "nir"), _zip2("nir", "red", expr.ndvi))
+def ndvi_pixels(spark, sf):
+    return _per_pixel(_aligned(obs(spark, sf), "red", "nir"), _zip2("nir", "red", expr.ndvi))
 
 
 @query(_PX.format(e="2.5 * " + _div_sql("CAST(nir[i + 1] - red[i + 1] AS DOUBLE)", "(nir[i + 1] + 6.0 * CAST(red[i + 1] AS DOUBLE) - 7.5 * CAST(blue[i + 1] AS DOUBLE) + 1.0)"), a=_aligned_sql("blue", "red", "nir"), w="blue IS NOT NULL AND red IS NOT NULL AND nir IS NOT NULL"))
-def evi_pixels(spark, sf, read=obs):
-    df = _aligned(read(spark, sf), "blue", "red", "nir").where("blue IS NOT NULL AND red IS NOT NULL AND nir IS NOT NULL")
+def evi_pixels(spark, sf):
+    df = _aligned(obs(spark, sf), "blue", "red", "nir").where("blue IS NOT NULL AND red IS NOT NULL AND nir IS NOT NULL")
     z = F.arrays_zip("nir", "red", "blue")
     return _per_pixel(df, F.transform(z, lambda s: expr.evi(s["nir"], s["red"], s["blue"])))
 
 
 @query(_PX.format(e=f"(nir[i + 1] + 2.0 * red[i + 1]) - red[i + 1] * 0.5 + {_div_sql('1.0', '(nir[i + 1] - 100.0)')}", a=_aligned_sql("red", "nir"), w="red IS NOT NULL AND nir IS NOT NULL"))
-def band_arith(spark, sf, read=obs):
-    return _per_pixel(_aligned(read(spark, sf), "red", "nir"), _zip2("nir", "red", lambda n, r: (n + r * 2.0) - r * 0.5 + expr.divide(F.lit(1.0), n - 100.0)))
+def band_arith(spark, sf):
+    """The operators of cubes: bands as cubes of one number per cell, joined cell by cell."""
+    both = _aligned(obs(spark, sf), "red", "nir").where("red IS NOT NULL AND nir IS NOT NULL")
+    dims = ["tile_id", "satellite_id", "time", "i"]
+    nir, red = (cubes.Cube.of(both.select(*dims[:3], F.posexplode(b).alias("i", "value")), dims) for b in ("nir", "red"))
+    out = (nir + red * 2.0) - red * 0.5 + 1.0 / (nir - 100.0)
+    return out.df.select("tile_id", "satellite_id", us(), "i", "value")
 
 
 @query(_PX.format(e=f"CASE WHEN nir[i + 1] > red[i + 1] THEN sqrt(CAST(abs({_NDVI}) AS DOUBLE)) ELSE greatest(0.0, least({_NDVI}, 1.0)) END", a=_aligned_sql("red", "nir"), w="red IS NOT NULL AND nir IS NOT NULL AND nir[i + 1] + red[i + 1] <> 0"))
-def bandmath_expr(spark, sf, read=obs):
+def bandmath_expr(spark, sf):
     text = "np.where(b1 > red, np.sqrt(np.abs((b1 - b0) / (b1 + b0))), np.maximum(0, np.minimum((nir - red) / (nir + red), 1)))"
-    df = _aligned(read(spark, sf), "red", "nir")
+    df = _aligned(obs(spark, sf), "red", "nir")
     z = F.filter(F.arrays_zip("red", "nir", F.sequence(F.lit(0), F.lit(15)).alias("k")), lambda s: s["nir"] + s["red"] != 0)
     px = df.where("red IS NOT NULL AND nir IS NOT NULL").select("tile_id", "satellite_id", us(), F.explode(z).alias("s"))
     value = compile_expression(text, {"red": F.col("s.red"), "nir": F.col("s.nir")})
@@ -271,171 +252,98 @@ def bandmath_expr(spark, sf, read=obs):
 
 @query(f"""WITH v AS (SELECT tile_id, strftime(time AT TIME ZONE 'UTC', '%Y-%m') AS month, {_NDVI} AS v FROM (SELECT *, unnest(range(16)) AS i FROM ({_aligned_sql("red", "nir")})) WHERE red IS NOT NULL AND nir IS NOT NULL)
 SELECT tile_id, month, count(*) AS n, round(avg(v), 6) AS ndvi FROM v WHERE v BETWEEN -1 AND 1 GROUP BY 1, 2""")
-def ndvi_tile_month(spark, sf, read=obs):
+def ndvi_tile_month(spark, sf):
     """Flagship: align bands, per-pixel index, keep its valid range, monthly mean per tile."""
-    df = _aligned(read(spark, sf), "red", "nir").where("red IS NOT NULL AND nir IS NOT NULL")
+    df = _aligned(obs(spark, sf), "red", "nir").where("red IS NOT NULL AND nir IS NOT NULL")
     v = F.filter(_zip2("nir", "red", expr.ndvi), lambda p: p.between(-1.0, 1.0))
     per = df.select("tile_id", expr.year_month(F.col("time")).alias("month"), F.size(v).cast("long").alias("n"), F.aggregate(v, F.lit(0.0), lambda a, p: a + p).alias("s"))
     return per.groupBy("tile_id", "month").agg(F.sum("n").alias("n"), F.round(F.try_divide(F.sum("s"), F.sum("n").cast("double")), 6).alias("ndvi")).where("n > 0")
 
 
-# cube reductions over the pixels of one product
-def _cube(spark, sf) -> cubes.Cube:
-    df = ops.in_tiles(obs(spark, sf), [HOT]).where("product_id = 'halo2_l2a'")
-    px = ops.explode_pixels(df, ["band", "time"]).where("valid")
-    return cubes.Cube.of(px, ["band", "time", "y", "x"])
-
-
-_CELLS = f"(SELECT band, time, CAST(i // 4 AS INT) AS y, CAST(i % 4 AS INT) AS x, value FROM ({_PIXELS} WHERE tile_id = '{HOT}' AND product_id = 'halo2_l2a') WHERE valid)"
-
-
-@query(f"SELECT band, y, x, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_CELLS} GROUP BY 1, 2, 3")
-def mean_time(spark, sf):
-    return _cube(spark, sf).reduce("mean", "time").df
-
-
-@query(f"SELECT band, epoch_us(time) AS time_us, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_CELLS} GROUP BY 1, 2")
-def mean_yx(spark, sf):
-    return _cube(spark, sf).reduce("mean", ["y", "x"]).df.select("band", us(), "value")
-
-
-@query(f"SELECT sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_CELLS}")
-def mean_all(spark, sf):
-    return _cube(spark, sf).reduce("mean").df
-
-
-@query(f"SELECT band, y, x, CAST(max(value) AS DOUBLE) AS hi, CAST(min(value) AS DOUBLE) AS lo FROM {_CELLS} GROUP BY 1, 2, 3")
-def max_min_time(spark, sf):
-    c = _cube(spark, sf)
-    return c.df.groupBy("band", "y", "x").agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
-
-
-@query(f"SELECT band, y, x, CAST(median(value) AS DOUBLE) AS value FROM {_CELLS} GROUP BY 1, 2, 3")
-def median_time(spark, sf):
-    return _cube(spark, sf).reduce("median", "time").df
-
-
-@query(f"SELECT band, round(stddev_pop(value), 4) AS value FROM {_CELLS} GROUP BY 1")
-def std_time(spark, sf):
-    d = _cube(spark, sf).reduce("std", ["time", "y", "x"]).df
-    return d.select("band", F.round("value", 4).alias("value"))
-
-
-@query(f"SELECT epoch_us(time) AS time_us, x, CAST(value AS DOUBLE) AS value FROM {_CELLS} WHERE band = 'red' AND y = (SELECT arg_min(y, (abs(y - 2.4), y)) FROM {_CELLS} WHERE band = 'red')")
-def nearest_label_sel(spark, sf):
-    c = _cube(spark, sf).band("red", strict=False).nearest("y", 2.4)
-    return c.df.select(us(), "x", "value")
-
-
-def _resample(how: str, period: str):
-    def run(spark, sf):
-        c = _cube(spark, sf).resample(period, how)
-        return c.df.select(F.date_format("time", "yyyy-MM-dd").alias("start"), "band", "y", "x", "value")
-
-    return run
-
-
-for _how, _agg in {"mean": "sum(value) / CAST(count(value) AS DOUBLE)", "max": "CAST(max(value) AS DOUBLE)", "min": "CAST(min(value) AS DOUBLE)", "median": "CAST(median(value) AS DOUBLE)"}.items():
-    QUERIES[f"resample_1m_{_how}"] = _resample(_how, "1M")
-    ORACLE[f"resample_1m_{_how}"] = f"SELECT strftime(date_trunc('month', time AT TIME ZONE 'UTC'), '%Y-%m-%d') AS start, band, y, x, {_agg} AS value FROM {_CELLS} GROUP BY 1, 2, 3, 4"
-QUERIES["resample_1w_mean"] = _resample("mean", "1W")
-ORACLE["resample_1w_mean"] = f"SELECT strftime(date_trunc('week', time AT TIME ZONE 'UTC'), '%Y-%m-%d') AS start, band, y, x, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_CELLS} GROUP BY 1, 2, 3, 4"
-
-
-# the same over all tiles and products
+# cube reductions over all tiles and products
 _PLACE = ["tile_id", "product_id"]
-_WHOLE_PX = _PIXELS.replace("FROM observations", f"FROM {_BY_TILE}")
-_WHOLE_CELLS = f"(SELECT tile_id, product_id, band, time, CAST(i // 4 AS INT) AS y, CAST(i % 4 AS INT) AS x, value FROM ({_WHOLE_PX}) WHERE valid)"
+_CELLS = f"(SELECT tile_id, product_id, band, time, CAST(i // 4 AS INT) AS y, CAST(i % 4 AS INT) AS x, value FROM ({_PIXELS}) WHERE valid)"
 
 
-def _whole_cube(spark, sf) -> cubes.Cube:
-    px = ops.explode_pixels(by_tile(spark, sf), [*_PLACE, "band", "time"]).where("valid")
+def _cube(spark, sf) -> cubes.Cube:
+    px = ops.explode_pixels(obs(spark, sf), [*_PLACE, "band", "time"]).where("valid")
     return cubes.Cube.of(px, [*_PLACE, "band", "time", "y", "x"])
 
 
-@query(ORACLE["scan_observations"].replace(f" WHERE tile_id = '{HOT}'", "").replace("obs_id, band", "obs_id, tile_id, band").replace("FROM observations", f"FROM {_BY_TILE}"))
-def scan_observations_whole(spark, sf):
-    return by_tile(spark, sf).select("obs_id", "tile_id", "band", us(), "pixels", "mask")
-
-
-@query(f"SELECT obs_id, CAST(i // 4 AS INT) AS y, CAST(i % 4 AS INT) AS x, value, valid FROM ({_PIXELS})")
-def explode_pixels_whole(spark, sf):
-    return ops.explode_pixels(obs(spark, sf), ["obs_id"])
-
-
-@query(f"SELECT tile_id, band, year_month, count(*) AS n FROM {_BY_TILE} GROUP BY 1, 2, 3")
-def count_observations_whole(spark, sf):
-    return by_tile(spark, sf).groupBy("tile_id", "band", "year_month").agg(F.count(F.lit(1)).alias("n"))
+@query(f"SELECT tile_id, band, year_month, count(*) AS n FROM observations GROUP BY 1, 2, 3")
+def count_observations(spark, sf):
+    return obs(spark, sf).groupBy("tile_id", "band", "year_month").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT obs_id, tile_id, band, epoch_us(time) AS time_us, pixels[2 * 4 + 1 + 1] AS value FROM {_BY_TILE}")
-def point_timeseries_whole(spark, sf):
+@query(f"SELECT obs_id, tile_id, band, epoch_us(time) AS time_us, pixels[2 * 4 + 1 + 1] AS value FROM observations")
+def point_timeseries(spark, sf):
     """Series of the point at 0.3 of every tile's width and 0.6 of its height, over all times."""
     side = ops.width_of(F.size("pixels"))
     at = F.floor(side * 0.6) * side + F.floor(side * 0.3)
-    return by_tile(spark, sf).select("obs_id", "tile_id", "band", us(), F.get("pixels", at.cast("int")).alias("value"))
+    return obs(spark, sf).select("obs_id", "tile_id", "band", us(), F.get("pixels", at.cast("int")).alias("value"))
 
 
-@query(f"SELECT tile_id, product_id, band, y, x, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3, 4, 5")
-def mean_time_whole(spark, sf):
-    return _whole_cube(spark, sf).reduce("mean", "time").df
+@query(f"SELECT tile_id, product_id, band, y, x, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_CELLS} GROUP BY 1, 2, 3, 4, 5")
+def mean_time(spark, sf):
+    return _cube(spark, sf).reduce("mean", "time").df
 
 
-@query(f"SELECT tile_id, product_id, band, epoch_us(time) AS time_us, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3, 4")
-def mean_yx_whole(spark, sf):
-    return _whole_cube(spark, sf).reduce("mean", ["y", "x"]).df.select(*_PLACE, "band", us(), "value")
+@query(f"SELECT tile_id, product_id, band, epoch_us(time) AS time_us, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_CELLS} GROUP BY 1, 2, 3, 4")
+def mean_yx(spark, sf):
+    return _cube(spark, sf).reduce("mean", ["y", "x"]).df.select(*_PLACE, "band", us(), "value")
 
 
-@query(f"SELECT tile_id, product_id, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2")
-def mean_all_whole(spark, sf):
-    return _whole_cube(spark, sf).reduce("mean", ["band", "time", "y", "x"]).df
+@query(f"SELECT tile_id, product_id, sum(value) / CAST(count(value) AS DOUBLE) AS value FROM {_CELLS} GROUP BY 1, 2")
+def mean_all(spark, sf):
+    return _cube(spark, sf).reduce("mean", ["band", "time", "y", "x"]).df
 
 
-@query(f"SELECT tile_id, product_id, band, y, x, CAST(max(value) AS DOUBLE) AS hi, CAST(min(value) AS DOUBLE) AS lo FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3, 4, 5")
-def max_min_time_whole(spark, sf):
-    return _whole_cube(spark, sf).df.groupBy(*_PLACE, "band", "y", "x").agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
+@query(f"SELECT tile_id, product_id, band, y, x, CAST(max(value) AS DOUBLE) AS hi, CAST(min(value) AS DOUBLE) AS lo FROM {_CELLS} GROUP BY 1, 2, 3, 4, 5")
+def max_min_time(spark, sf):
+    return _cube(spark, sf).df.groupBy(*_PLACE, "band", "y", "x").agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
 
 
-@query(f"SELECT tile_id, product_id, band, y, x, CAST(median(value) AS DOUBLE) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3, 4, 5")
-def median_time_whole(spark, sf):
-    return _whole_cube(spark, sf).reduce("median", "time").df
+@query(f"SELECT tile_id, product_id, band, y, x, CAST(median(value) AS DOUBLE) AS value FROM {_CELLS} GROUP BY 1, 2, 3, 4, 5")
+def median_time(spark, sf):
+    return _cube(spark, sf).reduce("median", "time").df
 
 
-@query(f"SELECT tile_id, product_id, band, round(stddev_pop(value), 4) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3")
-def std_time_whole(spark, sf):
-    return _whole_cube(spark, sf).reduce("std", ["time", "y", "x"]).df.withColumn("value", F.round("value", 4))
+@query(f"SELECT tile_id, product_id, band, round(stddev_pop(value), 4) AS value FROM {_CELLS} GROUP BY 1, 2, 3")
+def std_time(spark, sf):
+    return _cube(spark, sf).reduce("std", ["time", "y", "x"]).df.withColumn("value", F.round("value", 4))
 
 
-@query(f"""WITH c AS {_WHOLE_CELLS}, n AS (SELECT tile_id, product_id, band, arg_min(y, (abs(y - 2.4), y)) AS y FROM c GROUP BY 1, 2, 3)
+@query(f"""WITH c AS {_CELLS}, n AS (SELECT tile_id, product_id, band, arg_min(y, (abs(y - 2.4), y)) AS y FROM c GROUP BY 1, 2, 3)
 SELECT tile_id, product_id, band, epoch_us(time) AS time_us, x, CAST(value AS DOUBLE) AS value FROM c JOIN n USING (tile_id, product_id, band, y)""")
-def nearest_label_sel_whole(spark, sf):
+def nearest_label_sel(spark, sf):
     """The row of pixels nearest to y = 2.4 of every tile, product and band."""
-    c = _whole_cube(spark, sf).df
+    c = _cube(spark, sf).df
     keys = [*_PLACE, "band"]
     label = c.groupBy(*keys).agg(F.min_by("y", F.struct(F.abs(F.col("y") - 2.4), "y")).alias("y"))
     return c.join(label, [*keys, "y"]).select(*keys, us(), "x", "value")
 
 
-@query(f"""WITH c AS (SELECT tile_id, product_id, band, time, y, x, max(value) AS value FROM {_WHOLE_CELLS} GROUP BY 1, 2, 3, 4, 5, 6), t AS (SELECT DISTINCT tile_id, product_id, band, time FROM c), p AS (SELECT DISTINCT tile_id, product_id, band, y, x FROM c)
+@query(f"""WITH c AS (SELECT tile_id, product_id, band, time, y, x, max(value) AS value FROM {_CELLS} GROUP BY 1, 2, 3, 4, 5, 6), t AS (SELECT DISTINCT tile_id, product_id, band, time FROM c), p AS (SELECT DISTINCT tile_id, product_id, band, y, x FROM c)
 SELECT tile_id, product_id, band, epoch_us(time) AS time_us, y, x, c.value FROM t JOIN p USING (tile_id, product_id, band) LEFT JOIN c USING (tile_id, product_id, band, time, y, x)""")
-def scene_outer_align_whole(spark, sf):
+def scene_outer_align(spark, sf):
     """Dense union of the scenes of each tile, product and band."""
     keys = [*_PLACE, "band"]
-    cells = ops.explode_pixels(by_tile(spark, sf), [*keys, "time"]).where("valid").groupBy(*keys, "time", "y", "x").agg(F.max("value").alias("value"))
+    cells = ops.explode_pixels(obs(spark, sf), [*keys, "time"]).where("valid").groupBy(*keys, "time", "y", "x").agg(F.max("value").alias("value"))
     return cubes.align_outer(cells, {"by": keys, "outer": ["time"], "inner": ["y", "x"]}).select(*keys, us(), "y", "x", "value")
 
 
-def _resample_whole(how: str, period: str):
+def _resample(how: str, period: str):
     def run(spark, sf):
-        c = _whole_cube(spark, sf).resample(period, how)
+        c = _cube(spark, sf).resample(period, how)
         return c.df.select(F.date_format("time", "yyyy-MM-dd").alias("start"), *_PLACE, "band", "y", "x", "value")
 
     return run
 
 
-for _name, _how, _period in (*((f"resample_1m_{h}", h, "1M") for h in ("mean", "max", "min", "median")), ("resample_1w_mean", "mean", "1W")):
-    QUERIES[f"{_name}_whole"] = _resample_whole(_how, _period)
-    ORACLE[f"{_name}_whole"] = ORACLE[_name].replace("AS start, band", "AS start, tile_id, product_id, band").replace(_CELLS, _WHOLE_CELLS).replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5, 6")
+for _how, _agg in {"mean": "sum(value) / CAST(count(value) AS DOUBLE)", "max": "CAST(max(value) AS DOUBLE)", "min": "CAST(min(value) AS DOUBLE)", "median": "CAST(median(value) AS DOUBLE)"}.items():
+    for _name, _period, _unit in ((f"resample_1m_{_how}", "1M", "month"), *([("resample_1w_mean", "1W", "week")] if _how == "mean" else [])):
+        QUERIES[_name] = _resample(_how, _period)
+        ORACLE[_name] = canonical_sql(f"SELECT strftime(date_trunc('{_unit}', time AT TIME ZONE 'UTC'), '%Y-%m-%d') AS start, tile_id, product_id, band, y, x, {_agg} AS value FROM {_CELLS} GROUP BY 1, 2, 3, 4, 5, 6")
 
 
 # statistics and catalogue
@@ -446,53 +354,39 @@ def obs_stats_valid(spark, sf):
     return obs(spark, sf).select("obs_id", *[c.alias(n) for n, c in ops.pixel_stats(F.col("pixels"), F.col("mask")).items()])
 
 
-_ROLLUP = f"""SELECT tile_id, year_month, band, count(*) AS num_observations, coalesce(min(CAST(min_value AS DOUBLE)) FILTER (NOT isnan(min_value)), 0) AS min_value,
- coalesce(max(CAST(max_value AS DOUBLE)) FILTER (NOT isnan(max_value)), 0) AS max_value, coalesce(avg(CAST(mean_value AS DOUBLE)) FILTER (NOT isnan(mean_value)), 0) AS mean_value,
- coalesce(avg(CAST(cloud_cover AS DOUBLE)) FILTER (NOT isnan(cloud_cover)), 0) AS cloud_cover, min(product_id) AS product_id, CAST(min(resolution) AS DOUBLE) AS resolution
- FROM observations WHERE min_value IS NULL OR (min_value >= 0 AND max_value < 1e6) GROUP BY 1, 2, 3"""
-
-
-def _sane(spark, sf) -> DataFrame:
-    return obs(spark, sf).where("min_value IS NULL OR (min_value >= 0 AND max_value < 1e6)")
+_MEASURED = """(SELECT tile_id, satellite_id, product_id, band, year_month, time, obs_id, cloud_cover, resolution, list_min(p) AS min_value, list_max(p) AS max_value, CAST(list_sum(p) AS DOUBLE) / len(p) AS mean_value
+ FROM (SELECT *, CASE WHEN len(ok) > 0 THEN list_transform(ok, lambda s: s[1]) ELSE pixels END AS p FROM (SELECT *, list_filter(list_zip(pixels, mask), lambda s: s[2]) AS ok FROM observations)))"""
 
 
-@query(f"SELECT tile_id, year_month, band, num_observations, min_value, max_value, round(mean_value, 4) AS mean_value, round(cloud_cover, 4) AS cloud_cover, product_id, resolution FROM ({_ROLLUP})")
-def tile_month_rollup(spark, sf):
-    r = ops.tile_month_rollup(_sane(spark, sf))
-    return r.withColumns({c: F.round(c, 4) for c in ("mean_value", "cloud_cover")})
-
-
-@query(f"SELECT tile_id, band, min(min_value) AS min_value, max(max_value) AS max_value, round(avg(mean_value), 4) AS mean_value, round(avg(cloud_cover), 4) AS cloud_cover, CAST(sum(num_observations) AS BIGINT) AS num_observations FROM ({_ROLLUP}) GROUP BY 1, 2")
-def tile_band_statistics(spark, sf):
-    s = ops.tile_band_statistics(ops.tile_month_rollup(_sane(spark, sf)))
-    return s.withColumns({c: F.round(c, 4) for c in ("mean_value", "cloud_cover")})
+def measured(spark, sf) -> DataFrame:
+    """All observations with statistics of their pixels in the place of the stored ones, some of which are wild."""
+    return obs(spark, sf).withColumns(ops.pixel_stats(F.col("pixels"), F.col("mask")))
 
 
-_ROLLUP_WHOLE = _ROLLUP.replace("FROM observations WHERE min_value IS NULL OR (min_value >= 0 AND max_value < 1e6)", f"FROM {_BY_TILE}")
+_ROLLUP = f"""SELECT tile_id, year_month, band, count(*) AS num_observations, CAST(min(min_value) AS DOUBLE) AS min_value, CAST(max(max_value) AS DOUBLE) AS max_value, avg(CAST(mean_value AS FLOAT)) AS mean_value,
+ coalesce(avg(CAST(cloud_cover AS DOUBLE)) FILTER (NOT isnan(cloud_cover)), 0) AS cloud_cover, min(product_id) AS product_id, CAST(min(resolution) AS DOUBLE) AS resolution FROM {_MEASURED} GROUP BY 1, 2, 3"""
 
 
-# No SQL: sums of wild statistics may differ between engines in their last digits. tests/test_whole.py has rows by hand.
-@query()
-def tile_month_rollup_whole(spark, sf):
-    return ops.tile_month_rollup(by_tile(spark, sf))
+@query(f"SELECT tile_id, year_month, band, num_observations, min_value, max_value, round(mean_value, 3) AS mean_value, round(cloud_cover, 4) AS cloud_cover, product_id, resolution FROM ({_ROLLUP})")
+def tile_month_rollup(spark, sf):
+    return ops.tile_month_rollup(measured(spark, sf)).withColumns({"mean_value": F.round("mean_value", 3), "cloud_cover": F.round("cloud_cover", 4)}).drop("bounds_wkb")
 
 
-@query()
-def tile_band_statistics_whole(spark, sf):
-    return ops.tile_band_statistics(ops.tile_month_rollup(by_tile(spark, sf)))
+@query(f"SELECT tile_id, band, min(min_value) AS min_value, max(max_value) AS max_value, round(avg(mean_value), 3) AS mean_value, round(avg(cloud_cover), 4) AS cloud_cover, CAST(sum(num_observations) AS BIGINT) AS num_observations FROM ({_ROLLUP}) GROUP BY 1, 2")
+def tile_band_statistics(spark, sf):
+    return ops.tile_band_statistics(ops.tile_month_rollup(measured(spark, sf))).withColumns({"mean_value": F.round("mean_value", 3), "cloud_cover": F.round("cloud_cover", 4)})
 
 
-@query()
-def series_trend_whole(spark, sf):
-    """Every usable reading counts and has a position; series of one reading have no slope."""
-    df = by_tile(spark, sf).where("mean_value IS NOT NULL AND NOT isnan(mean_value)").select("tile_id", "satellite_id", "band", F.struct("time", "obs_id").alias("at"), "mean_value")
-    return cubes.trend(df, ["tile_id", "satellite_id", "band"], "at", "mean_value")
+@query("SELECT tile_id, year_month, band, first(bounds_wkb ORDER BY time, obs_id) FILTER (bounds_wkb IS NOT NULL) AS bounds_wkb FROM observations GROUP BY 1, 2, 3")
+def rollup_bounds(spark, sf):
+    """The first bounds that a tile, month and band has."""
+    return ops.tile_month_rollup(obs(spark, sf)).select("tile_id", "year_month", "band", "bounds_wkb")
 
 
 @query("""WITH v AS (SELECT tile_id, band, list_filter(list_zip(pixels, mask), lambda s: s[2]) AS ok, pixels FROM observations), w AS (SELECT tile_id, band, CASE WHEN len(ok) > 0 THEN list_transform(ok, lambda s: s[1]) ELSE pixels END AS p FROM v)
 SELECT tile_id, band, CAST(sum(len(p)) AS BIGINT) AS n_pixels, CAST(sum(list_sum(p)) AS BIGINT) AS pixel_sum FROM w GROUP BY 1, 2""")
-def weighted_mean(spark, sf, read=obs):
-    return ops.weighted_mean(read(spark, sf), ["tile_id", "band"])
+def weighted_mean(spark, sf):
+    return ops.weighted_mean(obs(spark, sf), ["tile_id", "band"])
 
 
 @query(f"SELECT DISTINCT {tile_sql('tile_id')} AS tile_id FROM observations")
@@ -515,66 +409,52 @@ def time_extent(spark, sf):
     return obs(spark, sf).where("product_id = 'kestrel_sr'").agg(F.min(F.unix_micros("time")).alias("first_us"), F.max(F.unix_micros("time")).alias("last_us"))
 
 
-@query(f"SELECT count(*) AS n FROM observations WHERE tile_id = '{HOT}' AND band = 'nir' AND year_month BETWEEN '2023-06' AND '2024-06'")
-def count_observations(spark, sf):
-    return ops.in_months(ops.in_tiles(obs(spark, sf), [HOT]).where("band = 'nir'"), "2023-06", "2024-06").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(_SCENES + """, g AS (SELECT product_id, count(*) AS scenes, min(epoch_us(instant)) AS first_us, max(epoch_us(instant)) AS last_us FROM b GROUP BY 1),
  n AS (SELECT product_id, list_sort(list_distinct(flatten(list(band_names)))) AS bands FROM scenes_index GROUP BY 1)
 SELECT g.product_id, scenes, first_us, last_us, n.bands, p.provider, p.resolution FROM g LEFT JOIN n USING (product_id) LEFT JOIN product_profiles p USING (product_id)""")
-def warehouse_summary(spark, sf, read=scenes):
-    s = read(spark, sf)
-    per = s.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("scenes"), F.min(F.unix_micros("instant")).alias("first_us"), F.max(F.unix_micros("instant")).alias("last_us"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("band_names")))).alias("bands"),
-    )
-    return per.join(table(spark, sf, "product_profiles").select("product_id", "provider", "resolution"), "product_id", "left")
-
-
-@query(ORACLE["warehouse_summary"].replace(_SCENES, _SCENES_WHOLE))
-def warehouse_summary_whole(spark, sf):
-    return warehouse_summary(spark, sf, read=scenes_whole)
+def warehouse_summary(spark, sf):
+    s = scenes(spark, sf).drop("acquisition_time").withColumnRenamed("instant", "acquisition_time")
+    per = api.product_summary(s, table(spark, sf, "product_profiles").select("product_id", "provider", "resolution"))
+    return per.select("product_id", "scenes", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "bands", "provider", "resolution")
 
 
 @query("SELECT product_id, list_sort(list_distinct(flatten(list(band_names)))) AS bands FROM scenes_index GROUP BY 1")
 def band_union(spark, sf):
-    return table(spark, sf, "scenes_index").groupBy("product_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("band_names")))).alias("bands"))
+    return table(spark, sf, "scenes_index").groupBy("product_id").agg(api.all_bands().alias("bands"))
 
 
-@query("""WITH s AS (SELECT tile_id, satellite_id, band, CAST(mean_value AS DOUBLE) AS v, row_number() OVER (PARTITION BY tile_id, satellite_id, band ORDER BY time, obs_id) - 1 AS x FROM observations WHERE mean_value BETWEEN 0 AND 1e6)
-SELECT tile_id, satellite_id, band, count(*) AS n, round(avg(v), 4) AS mean, min(v) AS min, max(v) AS max, round(stddev_pop(v), 3) AS std, round(regr_slope(v, x), 3) AS slope FROM s GROUP BY 1, 2, 3 HAVING count(*) > 2""")
+@query(f"""WITH s AS (SELECT tile_id, satellite_id, band, mean_value AS v, row_number() OVER (PARTITION BY tile_id, satellite_id, band ORDER BY time, obs_id) - 1 AS x FROM {_MEASURED})
+SELECT tile_id, satellite_id, band, count(*) AS n, round(avg(v), 3) AS mean, round(min(v), 3) AS min, round(max(v), 3) AS max, round(stddev_pop(v), 2) AS std, round(regr_slope(v, x), 2) AS slope FROM s GROUP BY 1, 2, 3""")
 def series_trend(spark, sf):
-    df = obs(spark, sf).where("mean_value BETWEEN 0 AND 1e6").select("tile_id", "satellite_id", "band", F.struct("time", "obs_id").alias("at"), "mean_value")
-    t = cubes.trend(df, ["tile_id", "satellite_id", "band"], "at", "mean_value").where("n > 2")
-    return t.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 3), "slope": F.round("slope", 3)})
+    """Every observation counts and has a position; its value is the mean of its valid pixels."""
+    v = ops.valid_pixels(F.col("pixels"), F.col("mask"))
+    value = F.try_divide(F.aggregate(v, F.lit(0).cast("long"), lambda a, p: a + p).cast("double"), F.size(v).cast("double"))
+    df = obs(spark, sf).select("tile_id", "satellite_id", "band", F.struct("time", "obs_id").alias("at"), value.alias("value"))
+    t = cubes.trend(df, ["tile_id", "satellite_id", "band"], "at", "value")
+    return t.withColumns({c: F.round(c, 3) for c in ("mean", "min", "max")} | {c: F.round(c, 2) for c in ("std", "slope")})
 
 
 @query("SELECT count(*) AS records, count(DISTINCT tile_id) AS tiles, list_sort(list(DISTINCT band)) AS bands, min(epoch_us(time)) AS first_us, max(epoch_us(time)) AS last_us FROM observations")
-def info_report(spark, sf, read=obs):
-    return read(spark, sf).agg(F.count(F.lit(1)).alias("records"), F.countDistinct("tile_id").alias("tiles"), F.sort_array(F.collect_set("band")).alias("bands"), F.min(F.unix_micros("time")).alias("first_us"), F.max(F.unix_micros("time")).alias("last_us"))
+def info_report(spark, sf):
+    return summarised(obs(spark, sf)).select("records", "tiles", "bands", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 
 
 @query("SELECT regexp_extract(lower(chunk_path), '(\\.[a-z]+)$', 1) AS suffix, count(*) AS files, CAST(sum(file_bytes) AS BIGINT) AS bytes FROM tile_metadata GROUP BY 1")
 def storage_stats(spark, sf):
-    return table(spark, sf, "tile_metadata").groupBy(F.regexp_extract(F.lower("chunk_path"), r"(\.[a-z]+)$", 1).alias("suffix")).agg(F.count(F.lit(1)).alias("files"), F.sum("file_bytes").alias("bytes"))
+    return by_suffix(table(spark, sf, "tile_metadata").select(F.col("chunk_path").alias("path"), F.col("file_bytes").alias("bytes")))
 
 
-@query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT tile_id, band, year_month FROM observations)) AS stored, (SELECT count(*) FROM (SELECT DISTINCT tile_id, band, year_month FROM tile_metadata)) AS listed,
- (SELECT count(*) FROM (SELECT DISTINCT tile_id, band, year_month FROM tile_metadata EXCEPT SELECT DISTINCT tile_id, band, year_month FROM observations)) AS missing""")
-def migration_check(spark, sf, read=obs):
-    """Chunks of the store against those of the catalogue."""
-    key = ["tile_id", "band", "year_month"]
-    a = read(spark, sf).select(*key).distinct().withColumn("s", F.lit(1))
-    b = read(spark, sf, "tile_metadata").select(*key).distinct().withColumn("l", F.lit(1))
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
-    both = a.alias("a").join(b.alias("b"), on, "full")
-    return both.agg(F.count("s").alias("stored"), F.count("l").alias("listed"), F.count_if(F.col("l").isNotNull() & F.col("s").isNull()).alias("missing"))
+@query("""SELECT tile_id, band, year_month, coalesce(l.n, 0) AS listed, coalesce(s.n, 0) AS stored FROM (SELECT tile_id, band, year_month, count(*) AS n FROM tile_metadata GROUP BY 1, 2, 3) l
+ FULL JOIN (SELECT tile_id, band, year_month, count(*) AS n FROM observations GROUP BY 1, 2, 3) s USING (tile_id, band, year_month) WHERE l.n IS DISTINCT FROM s.n""")
+def migration_check(spark, sf):
+    """Chunks of the catalogue against those of the store: what differs in number."""
+    diff = maintenance.chunk_counts_differ(obs(spark, sf, "tile_metadata"), obs(spark, sf))
+    return diff.select("tile_id", "band", "year_month", F.col("in_files").alias("listed"), "stored")
 
 
 @query("SELECT tile_id, band, obs_id, epoch_us(time) AS time_us FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, band ORDER BY time DESC, obs_id DESC) AS r FROM observations) WHERE r = 1")
-def latest_per_tile(spark, sf, read=obs):
-    newest = read(spark, sf).groupBy("tile_id", "band").agg(F.max(F.struct("time", "obs_id")).alias("n"))
+def latest_per_tile(spark, sf):
+    newest = obs(spark, sf).groupBy("tile_id", "band").agg(F.max(F.struct("time", "obs_id")).alias("n"))
     return newest.select("tile_id", "band", "n.obs_id", F.unix_micros("n.time").alias("time_us"))
 
 
@@ -584,15 +464,8 @@ def first_observations(spark, sf):
 
 
 # products, masks and radiometry
-@query("""SELECT obs_id, CAST(i AS INT) AS i, CASE WHEN value <> nodata THEN value * scale_factor + value_offset END AS value FROM (SELECT o.obs_id, unnest(range(len(pixels))) AS i, unnest(pixels) AS value, p.* EXCLUDE (product_id) FROM observations o JOIN product_profiles p USING (product_id) WHERE band = 'nir')""")
+@query("""SELECT obs_id, CAST(i AS INT) AS i, CASE WHEN value <> nodata THEN value * scale_factor + value_offset END AS value FROM (SELECT o.obs_id, unnest(range(len(pixels))) AS i, unnest(pixels) AS value, p.* EXCLUDE (product_id) FROM (SELECT obs_id, product_id, pixels FROM observations) o JOIN product_profiles p USING (product_id))""")
 def reflectance(spark, sf):
-    df = obs(spark, sf).where("band = 'nir'").select("obs_id", "product_id", "pixels")
-    r = products.to_reflectance(df, table(spark, sf, "product_profiles"))
-    return r.select("obs_id", F.posexplode("reflectance").alias("i", "value"))
-
-
-@query(ORACLE["reflectance"].replace(" WHERE band = 'nir'", ""))
-def reflectance_whole(spark, sf):
     r = products.to_reflectance(obs(spark, sf).select("obs_id", "product_id", "pixels"), table(spark, sf, "product_profiles"))
     return r.select("obs_id", F.posexplode("reflectance").alias("i", "value"))
 
@@ -605,9 +478,9 @@ def nodata_mask(spark, sf):
 
 @query(f"""WITH a AS ({_aligned_sql("green", "red")}), p AS (SELECT tile_id, satellite_id, time, unnest(red) AS v, unnest(green) AS q FROM a WHERE red IS NOT NULL AND green IS NOT NULL)
 SELECT tile_id, satellite_id, epoch_us(time) AS time_us, count(*) FILTER (q % 8 IN (0, 1, 2, 5)) AS n, CAST(sum(v) FILTER (q % 8 IN (0, 1, 2, 5)) AS DOUBLE) / nullif(count(*) FILTER (q % 8 IN (0, 1, 2, 5)), 0) AS value FROM p GROUP BY 1, 2, 3""")
-def cloud_masked_mean(spark, sf, read=obs):
+def cloud_masked_mean(spark, sf):
     """The low bits of another band stand for a quality band with eight classes, four of them clear."""
-    df = _aligned(read(spark, sf), "green", "red").where("red IS NOT NULL AND green IS NOT NULL")
+    df = _aligned(obs(spark, sf), "green", "red").where("red IS NOT NULL AND green IS NOT NULL")
     kept = F.filter(ops.keep_clear(F.col("red"), F.transform("green", lambda q: q % 8), [0, 1, 2, 5]), lambda p: p.isNotNull())
     total = F.aggregate(kept, F.lit(0).cast("long"), lambda a, p: a + p)
     n = F.size(kept).cast("long")
@@ -631,7 +504,7 @@ def common_bands(spark, sf):
 
 @query("SELECT product_id, band, wavelength FROM product_bands WHERE native_name IN ('H04', 'M01')")
 def band_by_native_name(spark, sf):
-    return table(spark, sf, "product_bands").where(F.col("native_name").isin("H04", "M01")).select("product_id", "band", "wavelength")
+    return products.bands_by_native_name(table(spark, sf, "product_bands"), ["H04", "M01"]).select("product_id", "band", "wavelength")
 
 
 @query()
@@ -678,10 +551,10 @@ def pixels_for_resolution(spark, sf):
 
 @query("""SELECT site_id, record FROM (SELECT s.site_id, o.tile AS record, row_number() OVER (PARTITION BY s.site_id, o.tile) AS r FROM (SELECT site_id, CAST(floor(lon * 111319.49079327358 * cos(radians(lat)) / 2560.0) AS INT) AS x,
  CAST(floor(lat * 111319.49079327358 / 2560.0) AS INT) AS y FROM sites) s JOIN (SELECT DISTINCT tile_id AS tile, CAST(regexp_extract(tile_id, '[xX]([+-]?[0-9]+)', 1) AS INT) AS x, CAST(regexp_extract(tile_id, '[yY]([+-]?[0-9]+)', 1) AS INT) AS y FROM observations) o USING (x, y)) WHERE r = 1""")
-def point_in_tile_join(spark, sf, read=obs):
+def point_in_tile_join(spark, sf):
     """Points meet tiles by an equi-join on the computed id, not by a range join."""
     sites = table(spark, sf, "sites").select("site_id", tiles.tile_of_point(F.col("lon"), F.col("lat")).alias("id"))
-    seen = read(spark, sf).select(F.col("tile_id").alias("record")).distinct().withColumn("id", tiles.canonical("record"))
+    seen = obs(spark, sf).select(F.col("tile_id").alias("record")).distinct().withColumn("id", tiles.canonical("record"))
     return sites.join(seen, "id").select("site_id", "record")
 
 
@@ -708,8 +581,8 @@ def buffer_tiles(spark, sf):
 
 
 @query("SELECT DISTINCT tile_id FROM tile_metadata WHERE tile_id IN (SELECT tile_id FROM observations)")
-def available_tiles_semi(spark, sf, read=obs):
-    return read(spark, sf, "tile_metadata").select("tile_id").distinct().join(read(spark, sf).select("tile_id").distinct(), "tile_id", "left_semi")
+def available_tiles_semi(spark, sf):
+    return obs(spark, sf, "tile_metadata").select("tile_id").distinct().join(obs(spark, sf).select("tile_id").distinct(), "tile_id", "left_semi")
 
 
 @query("SELECT b AS band FROM (VALUES ('red'), ('nir'), ('thermal'), ('b9')) v(b) WHERE b NOT IN (SELECT band FROM observations)")
@@ -719,9 +592,9 @@ def invalid_bands_anti(spark, sf):
 
 
 @query("SELECT tile_id, band, year_month FROM observations WHERE tile_id IS NOT NULL AND band IS NOT NULL AND year_month IS NOT NULL INTERSECT SELECT tile_id, band, year_month FROM tile_metadata")
-def chunks_in_both(spark, sf, read=obs):
+def chunks_in_both(spark, sf):
     key = ["tile_id", "band", "year_month"]
-    return read(spark, sf).select(*key).where("tile_id IS NOT NULL AND band IS NOT NULL AND year_month IS NOT NULL").intersect(read(spark, sf, "tile_metadata").select(*key))
+    return obs(spark, sf).select(*key).where("tile_id IS NOT NULL AND band IS NOT NULL AND year_month IS NOT NULL").intersect(obs(spark, sf, "tile_metadata").select(*key))
 
 
 @query("""WITH e AS (SELECT satellite_id, min(time AT TIME ZONE 'UTC') AS lo, max(time AT TIME ZONE 'UTC') AS hi FROM observations GROUP BY 1)
@@ -752,54 +625,33 @@ SELECT d.satellite_id, d.source_file, m.mask_file FROM (SELECT DISTINCT satellit
 def mask_file_match(spark, sf):
     """Files meet the first mask of their satellite and date."""
     day = F.regexp_extract(F.regexp_extract("source_file", r"([^/]+)$", 1), r"_(\d{8})_", 1)
-    d = table(spark, sf, "scenes_index").where("source_file IS NOT NULL").select("satellite_id", "source_file", "mask_source_file", day.alias("day"))
-    masks = d.where("mask_source_file IS NOT NULL AND day <> ''").groupBy("satellite_id", "day").agg(F.min("mask_source_file").alias("mask_file"))
-    return d.select("satellite_id", "source_file", "day").distinct().join(masks, ["satellite_id", "day"], "left").select("satellite_id", "source_file", "mask_file")
-
-
-@query(f"""WITH c AS (SELECT time, y, x, max(value) AS value FROM {_CELLS} WHERE band = 'green' GROUP BY 1, 2, 3), t AS (SELECT DISTINCT time FROM c), p AS (SELECT DISTINCT y, x FROM c)
-SELECT epoch_us(t.time) AS time_us, p.y, p.x, c.value FROM t CROSS JOIN p LEFT JOIN c ON c.time = t.time AND c.y = p.y AND c.x = p.x""")
-def scene_outer_align(spark, sf):
-    df = ops.in_tiles(obs(spark, sf), [HOT]).where("product_id = 'halo2_l2a' AND band = 'green'")
-    cells = ops.explode_pixels(df, ["time"]).where("valid").groupBy("time", "y", "x").agg(F.max("value").alias("value"))
-    return cubes.align_outer(cells, {"outer": ["time"], "inner": ["y", "x"]}).select(us(), "y", "x", "value")
+    d = table(spark, sf, "scenes_index").where("source_file IS NOT NULL").select("satellite_id", "source_file", "mask_source_file", F.when(day != "", day).alias("day"))
+    files = d.select("satellite_id", "source_file", "day").distinct()
+    found = ingest.with_first_mask(files, d.select("satellite_id", "day", F.col("mask_source_file").alias("path")), ["satellite_id", "day"])
+    return found.select("satellite_id", "source_file", F.col("mask_source_file").alias("mask_file"))
 
 
-@query(f"""WITH n AS (SELECT *, {tile_sql("tile_id")} AS tile FROM observations WHERE band = 'red' AND tile_id IN ('{HOT}', 'x4554_y-0505')),
- l AS (SELECT tile, arg_max(pixels, (time, obs_id)) AS pixels FROM n GROUP BY 1), g AS (SELECT CAST(substr(tile, 2, 4) AS INT) AS tx, CAST(regexp_extract(tile, '_y(.*)$', 1) AS INT) AS ty, unnest(range(16)) AS i, unnest(pixels) AS value FROM l),
- o AS (SELECT min(tx) AS x0, max(ty) AS y1 FROM g)
-SELECT CAST((y1 - ty) * 4 + i // 4 AS BIGINT) AS row, CAST((tx - x0) * 4 + i % 4 AS BIGINT) AS col, value FROM g, o""")
-def mosaic_tiles(spark, sf):
-    """Latest image of several tiles on one raster: rows run south, columns east, counted from the north-western tile."""
-    df = obs(spark, sf).where(F.col("tile_id").isin(HOT, "x4554_y-0505") & (F.col("band") == "red"))
-    newest = df.groupBy(tiles.canonical_or_self("tile_id").alias("tile_id")).agg(F.max_by("pixels", F.struct("time", "obs_id")).alias("pixels")).withColumn("mask", F.transform("pixels", lambda p: F.lit(True)))
-    px = ops.explode_pixels(newest.withColumns({"tx": tiles.tile_x("tile_id"), "ty": tiles.tile_y("tile_id")}), ["tx", "ty"])
-    corner = newest.agg(F.min(tiles.tile_x("tile_id")).alias("x0"), F.max(tiles.tile_y("tile_id")).alias("y1"))
-    both = px.join(F.broadcast(corner))  # one row
-    return both.select(((F.col("y1") - F.col("ty")) * 4 + F.col("y")).cast("long").alias("row"), ((F.col("tx") - F.col("x0")) * 4 + F.col("x")).cast("long").alias("col"), "value")
-
-
-@query("""WITH o AS (SELECT obs_id, pixels FROM observations WHERE tile_id = 'x4554_y-0505'), a AS (SELECT unnest(range(7)) AS k), s AS (SELECT k, k * 0.5 AS p, CAST(floor(k * 0.5) AS INT) AS lo, least(CAST(floor(k * 0.5) AS INT) + 1, 3) AS hi FROM a)
+@query("""WITH o AS (SELECT obs_id, pixels FROM observations), a AS (SELECT unnest(range(7)) AS k), s AS (SELECT k, k * 0.5 AS p, CAST(floor(k * 0.5) AS INT) AS lo, least(CAST(floor(k * 0.5) AS INT) + 1, 3) AS hi FROM a)
 SELECT obs_id, CAST(y.k * 7 + x.k AS INT) AS i, CAST(least(greatest(floor((pixels[y.lo * 4 + x.lo + 1] * (1 - (x.p - x.lo)) + pixels[y.lo * 4 + x.hi + 1] * (x.p - x.lo)) * (1 - (y.p - y.lo)) + (pixels[y.hi * 4 + x.lo + 1] * (1 - (x.p - x.lo)) + pixels[y.hi * 4 + x.hi + 1] * (x.p - x.lo)) * (y.p - y.lo) + 0.5), 0), 65535) AS INT) AS value
 FROM o, s y, s x""")
 def resample_bilinear(spark, sf):
-    df = ops.in_tiles(obs(spark, sf), ["x4554_y-0505"]).select("obs_id", raster.bilinear_column(F.col("pixels"), 7, 7).alias("p"))
+    df = obs(spark, sf).select("obs_id", raster.bilinear_column(F.col("pixels"), 7, 7).alias("p"))
     return df.select("obs_id", F.posexplode("p").alias("i", "value"))
 
 
 @query("""WITH s AS (SELECT k, CAST(least(greatest(floor((k + 0.5) * 4 / 6), 0), 3) AS INT) AS n FROM (SELECT unnest(range(6)) AS k))
-SELECT obs_id, CAST(y.k * 6 + x.k AS INT) AS i, mask[y.n * 4 + x.n + 1] AS valid FROM observations, s y, s x WHERE tile_id = 'x4554_y-0505'""")
+SELECT obs_id, CAST(y.k * 6 + x.k AS INT) AS i, mask[y.n * 4 + x.n + 1] AS valid FROM observations, s y, s x""")
 def resample_nearest(spark, sf):
-    df = ops.in_tiles(obs(spark, sf), ["x4554_y-0505"]).select("obs_id", raster.nearest_column(F.col("mask"), 6, 6).alias("m"))
+    df = obs(spark, sf).select("obs_id", raster.nearest_column(F.col("mask"), 6, 6).alias("m"))
     return df.select("obs_id", F.posexplode("m").alias("i", "valid"))
 
 
-@query(f"""WITH l AS (SELECT tile_id AS tile, arg_max(pixels, (time, obs_id)) AS pixels FROM {_BY_TILE} WHERE band = 'red' AND regexp_matches(tile_id, '^x-?[0-9]+_y-?[0-9]+$') GROUP BY 1),
+@query(f"""WITH l AS (SELECT tile_id AS tile, arg_max(pixels, (time, obs_id)) AS pixels FROM observations WHERE band = 'red' AND regexp_matches(tile_id, '^x-?[0-9]+_y-?[0-9]+$') GROUP BY 1),
  g AS (SELECT CAST(regexp_extract(tile, '^x(-?[0-9]+)_', 1) AS INT) AS tx, CAST(regexp_extract(tile, '_y(-?[0-9]+)$', 1) AS INT) AS ty, unnest(range(16)) AS i, unnest(pixels) AS value FROM l), o AS (SELECT min(tx) AS x0, max(ty) AS y1 FROM g)
 SELECT CAST((y1 - ty) * 4 + i // 4 AS BIGINT) AS row, CAST((tx - x0) * 4 + i % 4 AS BIGINT) AS col, value FROM g, o""")
-def mosaic_whole(spark, sf):
+def mosaic_tiles(spark, sf):
     """Latest image of every tile of the data on one raster; cells between the tiles have no row."""
-    df = by_tile(spark, sf).where((F.col("band") == "red") & tiles.canonical("tile_id").isNotNull())
+    df = obs(spark, sf).where((F.col("band") == "red") & tiles.canonical("tile_id").isNotNull())
     newest = df.groupBy("tile_id").agg(F.max_by("pixels", F.struct("time", "obs_id")).alias("pixels")).withColumn("mask", F.transform("pixels", lambda p: F.lit(True)))
     px = ops.explode_pixels(newest.withColumns({"tx": tiles.tile_x("tile_id"), "ty": tiles.tile_y("tile_id")}), ["tx", "ty"])
     seen = df.select("tile_id").distinct()
@@ -807,55 +659,42 @@ def mosaic_whole(spark, sf):
     return px.select(((y1 - F.col("ty")) * 4 + F.col("y")).cast("long").alias("row"), ((F.col("tx") - x0) * 4 + F.col("x")).cast("long").alias("col"), "value")
 
 
-@query(ORACLE["resample_bilinear"].replace(" WHERE tile_id = 'x4554_y-0505'", ""))
-def resample_bilinear_whole(spark, sf):
-    df = obs(spark, sf).select("obs_id", raster.bilinear_column(F.col("pixels"), 7, 7).alias("p"))
-    return df.select("obs_id", F.posexplode("p").alias("i", "value"))
-
-
-@query(ORACLE["resample_nearest"].replace(" WHERE tile_id = 'x4554_y-0505'", ""))
-def resample_nearest_whole(spark, sf):
-    df = obs(spark, sf).select("obs_id", raster.nearest_column(F.col("mask"), 6, 6).alias("m"))
-    return df.select("obs_id", F.posexplode("m").alias("i", "valid"))
-
-
-@query(f"SELECT obs_id, band, epoch_us(time) AS time_us, pixels[2 * 4 + 1 + 1] AS value FROM observations WHERE tile_id = '{HOT}' AND time >= TIMESTAMPTZ '2024-01-01 00:00:00+00' AND time <= TIMESTAMPTZ '2024-12-31 00:00:00+00'")
-def point_timeseries(spark, sf):
-    """Series of the pixel that holds a point, by the tile's affine transform."""
-    b = (148.82289385609283, 52.24889153330055, 148.8604659070537, 52.271888404574014)
-    lon, lat = b[0] + (b[2] - b[0]) * 0.3, b[3] - (b[3] - b[1]) * 0.6
-    col, row = int((lon - b[0]) / (b[2] - b[0]) * 4), int((b[3] - lat) / (b[3] - b[1]) * 4)
-    df = ops.between_times(ops.in_tiles(obs(spark, sf), [HOT]), _ts(2024, 1, 1), _ts(2024, 12, 31))
-    return df.select("obs_id", "band", us(), F.get("pixels", F.lit(row * 4 + col)).alias("value"))
+def _history(spark, sf) -> Warehouse:
+    """A store in the shared folder that took in the observations in three commits, by the time of their arrival."""
+    df, came = obs(spark, sf).select("obs_id", "product_id", "band", "ingestion_time"), F.col("ingestion_time")
+    store = Warehouse(spark, f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}", df.schema, ["band"])
+    ends = [F.lit(_ts(2023, 12, 31)), F.lit(_ts(2024, 6, 1))]
+    store.append(df.where(came <= ends[0]), "until 2023")
+    store.append(df.where((came > ends[0]) & (came <= ends[1])), "until June")
+    store.append(df.where(came.isNull() | (came > ends[1])), "the rest")
+    return store
 
 
 @query("SELECT product_id, band, count(*) AS n FROM observations WHERE ingestion_time <= TIMESTAMPTZ '2024-06-01 00:00:00+00' GROUP BY 1, 2")
 def time_travel_asof(spark, sf):
-    """The table as it stood at an instant, by the time of each row's arrival."""
-    return obs(spark, sf).where(F.col("ingestion_time") <= F.lit(_ts(2024, 6, 1))).groupBy("product_id", "band").agg(F.count(F.lit(1)).alias("n"))
+    """The store as of its second snapshot."""
+    store = _history(spark, sf)
+    return store.read(as_of=store.log()[1].snapshot_id).groupBy("product_id", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT strftime(date_trunc('month', ingestion_time AT TIME ZONE 'UTC'), '%Y-%m') AS batch, count(*) AS records, CAST(sum(count(*)) OVER (ORDER BY date_trunc('month', ingestion_time AT TIME ZONE 'UTC')) AS BIGINT) AS total
- FROM observations WHERE ingestion_time IS NOT NULL GROUP BY date_trunc('month', ingestion_time AT TIME ZONE 'UTC')""")
+@query("""WITH c AS (SELECT CASE WHEN ingestion_time <= TIMESTAMPTZ '2023-12-31 00:00:00+00' THEN 'until 2023' WHEN ingestion_time <= TIMESTAMPTZ '2024-06-01 00:00:00+00' THEN 'until June' ELSE 'the rest' END AS message FROM observations)
+SELECT message, 'append' AS operation, count(*) AS records FROM c GROUP BY 1""")
 def snapshot_history(spark, sf):
-    """Growth of the table by batches of arrival: one row per batch, so the running total is a small window."""
-    from pyspark.sql import Window
-
-    per = obs(spark, sf).where("ingestion_time IS NOT NULL").groupBy(F.date_format("ingestion_time", "yyyy-MM").alias("batch")).agg(F.count(F.lit(1)).alias("records"))
-    return per.withColumn("total", F.sum("records").over(Window.orderBy("batch")))
+    """The log of the store, one row per commit."""
+    return _history(spark, sf).history().select("message", "operation", "records")
 
 
 @query("SELECT tile_id, satellite_id, product_id, band, epoch_us(time) AS time_us, obs_id FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, satellite_id, product_id, band, time ORDER BY coalesce(epoch_us(ingestion_time), -2208988800000000) DESC, obs_id DESC) AS r FROM observations) WHERE r = 1")
-def latest_delivery(spark, sf, read=obs):
+def latest_delivery(spark, sf):
     keys = ["tile_id", "satellite_id", "product_id", "band", "time"]
-    return ops.latest_delivery(read(spark, sf).select(*keys, "ingestion_time", "obs_id"), keys).select("tile_id", "satellite_id", "product_id", "band", us(), "obs_id")
+    return ops.latest_delivery(obs(spark, sf).select(*keys, "ingestion_time", "obs_id"), keys).select("tile_id", "satellite_id", "product_id", "band", us(), "obs_id")
 
 
 @query("""WITH p AS (SELECT tile_id, band, strftime(time AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, product_id, list_sum(pixels) AS s, len(pixels) AS n FROM observations WHERE band IN ('red', 'nir'))
 SELECT tile_id, band, day, count(DISTINCT product_id) AS products, CAST(sum(s) AS DOUBLE) / sum(n) AS value FROM p GROUP BY 1, 2, 3""")
-def daily_fusion(spark, sf, read=obs):
+def daily_fusion(spark, sf):
     """Products of a tile brought together by day; tiles of every product share one 4 x 4 raster here."""
-    px = read(spark, sf).where("band IN ('red', 'nir')").select("tile_id", "band", F.date_format("time", "yyyy-MM-dd").alias("day"), "product_id", F.size("pixels").cast("long").alias("n"), F.aggregate("pixels", F.lit(0).cast("long"), lambda a, p: a + p).alias("s"))
+    px = obs(spark, sf).where("band IN ('red', 'nir')").select("tile_id", "band", F.date_format("time", "yyyy-MM-dd").alias("day"), "product_id", F.size("pixels").cast("long").alias("n"), F.aggregate("pixels", F.lit(0).cast("long"), lambda a, p: a + p).alias("s"))
     return px.groupBy("tile_id", "band", "day").agg(F.countDistinct("product_id").alias("products"), F.try_divide(F.sum("s").cast("double"), F.sum("n").cast("double")).alias("value"))
 
 
@@ -865,25 +704,6 @@ def bulk_rollup(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
 
 
-# the same under canonical tile ids
-def _canonical_ids(f: Query) -> Query:
-    return lambda spark, sf: f(spark, sf, read=by_tile)
-
-
-def _by_tile_sql(sql: str) -> str:
-    return re.sub(r"\b(FROM|JOIN) (observations|tile_metadata)\b", lambda m: f"{m[1]} {_BY_TILE.replace('observations', m[2])}", sql)
-
-
-for _f in (
-    ndvi_tile_month, ndvi_pixels, evi_pixels, pivot_bands, band_arith, bandmath_expr,
-    cloud_masked_mean, latest_per_tile, weighted_mean, latest_delivery, migration_check, chunks_in_both,
-    available_tiles_semi, filter_product, nearest_time_sel, isel_time, isel_time_slice, daily_fusion,
-    info_report, point_in_tile_join,
-):
-    QUERIES[f"{_f.__name__}_whole"] = _canonical_ids(_f)
-    ORACLE[f"{_f.__name__}_whole"] = _by_tile_sql(ORACLE[_f.__name__])
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

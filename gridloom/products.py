@@ -90,12 +90,17 @@ def bands_of_resolution(bands: DataFrame, metres: float) -> DataFrame:
 
 
 def band_by_native_name(bands: DataFrame, product_id: str, native_name: str) -> str:
-    row = bands.where((F.col("product_id") == product_id) & (F.col("native_name") == native_name)).select("band").first()
+    row = bands_by_native_name(bands, [native_name]).where(F.col("product_id") == product_id).select("band").first()
     if row is None:
         raise KeyError(f"{product_id} has no band {native_name}")
     return row[0]
 
 
+def bands_by_native_name(bands: DataFrame, names: list[str]) -> DataFrame:
+    """The bands of all products that carry one of the native names."""
+    return bands.where(F.col("native_name").isin(names))
+
+
 def common_bands(bands: DataFrame) -> DataFrame:
     """Bands that every product has."""
     products = bands.agg(F.countDistinct("product_id").alias("_n"))  # one row

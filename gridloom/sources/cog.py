@@ -1,103 +1,138 @@
 """Rasters as a Spark source: spark.read.format("cog").load(path).
 
 One input partition is a file and a stretch of its blocks; a block of a band is one
-row. A filter on ``band`` is pushed into the reader. Header facts of many files come
-from ``headers`` without decoding a pixel.
+row. The options ``band``, ``rows`` and ``cols`` (``low:high``) leave all other blocks unread.
+Files are read by ranges, on local disks and on stores named by a URI. Header facts of many files come from
+``headers`` without reading more than the headers; ``blocks_of`` reads rasters named in a
+table.
 """
 
 from __future__ import annotations
 
-import glob
 import math
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from gridloom.functions.crs import to_degrees
 from gridloom.sources import tiff
+from gridloom.sources.files import listed, opened, store_of
 
 SCHEMA = "path string, band int, row int, col int, height int, width int, pixels array<double>"
 HEADER = "path string, crs string, minx double, miny double, maxx double, maxy double, width int, height int, band_count int, dtype string, resolution double, nodata double, driver string, band_names array<string>, transform array<double>, error string"
-BLOCKS_PER_PARTITION = 64
+#: Bytes of a raster that are work for one task.
+PART_BYTES = 16 << 20
 
 
-def files_in(path: str, pattern: str = "**/*.tif*") -> list[str]:
-    """Raster files of a folder in sorted order, or the file itself."""
-    path = path.removeprefix("file://")
-    if os.path.isdir(path):
-        return sorted(f for f in glob.glob(os.path.join(path, pattern), recursive=True) if os.path.isfile(f))
-    if not os.path.exists(path):
-        raise NotADirectoryError(path)
-    return [path]
+class _Part(InputPartition):
+    """The ``index``-th of ``count`` equal stretches of a file's blocks."""
 
+    def __init__(self, path: str, index: int, count: int):
+        self.path, self.index, self.count = path, index, count
 
-class _Part(InputPartition):
-    def __init__(self, path: str, first: int, end: int):
-        self.path, self.first, self.end = path, first, end
+
+def _span(text: str | None) -> tuple[int, float]:
+    """``low:high`` as numbers, either left out for no bound; high is exclusive."""
+    low, _, high = (text or ":").partition(":")
+    return int(low or 0), int(high) if high else math.inf
 
 
 class CogReader(DataSourceReader):
+    """Plans by the names and sizes of files; headers and blocks are read by ranges where the work is done.
+
+    What is not wanted is named by options, not by filters pushed down: this version of Spark keeps the filters of a
+    query for every later one over the same DataFrame."""
+
     def __init__(self, path: str, options: dict):
-        self.path, self.band = path, None
-        self.chunk = int(options.get("blocks", BLOCKS_PER_PARTITION))
+        self.path, self.band = path, int(options["band"]) if "band" in options else None
+        self.part_bytes = int(options.get("bytes", PART_BYTES))
         self.pattern = options.get("glob", "**/*.tif*")
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and tuple(f.attribute) == ("band",):
-                self.band = f.value
-            else:
-                yield f
+        self.rows, self.cols = _span(options.get("rows")), _span(options.get("cols"))
 
     def partitions(self):
         out = []
-        for f in files_in(self.path, self.pattern):
-            with open(f, "rb") as fh:
-                n = len(tiff.blocks(tiff.read_header(fh.read())))
-            out += [_Part(f, k, min(k + self.chunk, n)) for k in range(0, n, self.chunk)]
+        for f, size in listed(self.path, self.pattern):
+            n = max(1, -(-size // self.part_bytes))
+            out += [_Part(f, k, n) for k in range(n)]
         return out or [_Part("", 0, 0)]
 
+    def _wanted(self, row: int, col: int, height: int, width: int) -> bool:
+        return row < self.rows[1] and row + height > self.rows[0] and col < self.cols[1] and col + width > self.cols[0]
+
     def read(self, part: _Part):
-        if not part.path:
-            return
-        with open(part.path, "rb") as fh:
-            raw = fh.read()
-        h = tiff.read_header(raw)
-        for number, plane, row, col in tiff.blocks(h)[part.first : part.end]:
-            if plane >= 0 and self.band not in (None, plane + 1):
-                continue
-            a = tiff.read_block(raw, h, number)
-            for k in range(a.shape[2]):
-                band = plane + 1 if plane >= 0 else k + 1
-                if self.band in (None, band):
-                    yield part.path, band, row, col, a.shape[0], a.shape[1], a[:, :, k].astype(float).ravel().tolist()
+        if part.path:
+            with opened(part.path) as raw:
+                h = tiff.read_header(raw)
+                n = len(tiff.blocks(h))
+                yield from _block_rows(part.path, raw, h, n * part.index // part.count, n * (part.index + 1) // part.count, self.band, self._wanted)
+
+
+def _block_rows(path: str, raw, h: tiff.Header, first: int, end: int, only: int | None = None, wanted=lambda *block: True) -> Iterator[tuple]:
+    """Rows of the source for a stretch of a raster's blocks; blocks that are not wanted are not read."""
+    for number, plane, row, col in tiff.blocks(h)[first:end]:
+        if (plane >= 0 and only not in (None, plane + 1)) or not wanted(row, col, *h.block):
+            continue
+        a = tiff.read_block(raw, h, number)
+        for k in range(a.shape[2]):
+            band = plane + 1 if plane >= 0 else k + 1
+            if only in (None, band):
+                yield path, band, row, col, a.shape[0], a.shape[1], a[:, :, k].astype(float).ravel().tolist()
+
+
+def blocks_of(files: DataFrame, path: str = "path", bytes_per_part: int = PART_BYTES) -> DataFrame:
+    """Blocks of the rasters that a column names, with the raster's affine transform; paths come out as they are given.
+    Headers are read first, and stretches of blocks are then spread over tasks, so that one large raster is work for many."""
+    from gridloom.session import ship_package
+
+    ship_package(files.sparkSession)
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name in pdf["path"]:
+                with opened(name) as raw:
+                    n, parts = len(tiff.blocks(tiff.read_header(raw))), max(1, -(-len(raw) // bytes_per_part))
+                rows += [(name, n * k // parts, n * (k + 1) // parts) for k in range(parts)]
+            yield pd.DataFrame(rows, columns=["path", "first", "end"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in f"{SCHEMA}, transform array<double>".split(", ")]
+        for pdf in batches:
+            for name, first, end in zip(pdf["path"], pdf["first"], pdf["end"], strict=True):
+                with opened(name) as raw:
+                    h = tiff.read_header(raw)
+                    rows = [(*r, list(h.affine) if h.affine else None) for r in _block_rows(name, raw, h, first, end)]
+                yield pd.DataFrame(rows, columns=names)
+
+    stretches = files.select(F.col(path).alias("path")).where("path IS NOT NULL").distinct().mapInPandas(plan, "path string, first int, end int")
+    return stretches.repartition("path", "first").mapInPandas(read, f"{SCHEMA}, transform array<double>")
 
 
 class CogWriter(DataSourceWriter):
     """Writes rows (name, height, width, pixels array<array<double>> by band) as one GeoTIFF each."""
 
     def __init__(self, options: dict):
-        self.folder = options["path"].removeprefix("file://")
+        self.folder = options["path"].rstrip("/")
         self.dtype = options.get("dtype", "uint16")
         self.epsg = int(options.get("epsg", 4326))
 
     def write(self, rows):
-        os.makedirs(self.folder, exist_ok=True)
+        store, folder = store_of(self.folder)
+        store.create_dir(folder, recursive=True)
         n = 0
         for r in rows:
             a = np.array(r["pixels"], float).reshape(len(r["pixels"]), r["height"], r["width"]).astype(self.dtype)
             bounds = (r["minx"], r["miny"], r["maxx"], r["maxy"])
             if any(v is None for v in bounds):
                 raise ValueError("a raster without bounds")
-            target = os.path.join(self.folder, f"{r['name']}.tif")
-            with open(target + ".part", "wb") as fh:
-                fh.write(tiff.write(a, bounds, self.epsg))
-            os.replace(target + ".part", target)  # whole or not at all, however often a task runs
+            target = f"{folder}/{r['name']}.tif"
+            with store.open_output_stream(target + ".part") as out:
+                out.write(tiff.write(a, bounds, self.epsg))
+            store.move(target + ".part", target)  # whole or not at all, however often a task runs
             n += 1
         message = WriterCommitMessage()
         message.count = n
@@ -123,7 +158,6 @@ def register(spark: SparkSession) -> None:
     from gridloom.session import ship_package
 
     ship_package(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CogSource)
 
 
@@ -155,12 +189,17 @@ def headers(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFram
     from gridloom.session import ship_package
 
     ship_package(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    # Without a wish for the content only names are listed.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.strip().split()[0] for c in HEADER.split(", ")]
         for pdf in batches:
-            yield pd.DataFrame([header_row(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=names)
+            rows = []
+            for name in pdf["path"]:
+                with opened(name) as raw:
+                    rows.append(header_row(name, raw))
+            yield pd.DataFrame(rows, columns=names)
 
     return files.mapInPandas(parse, HEADER)
 

@@ -92,29 +92,34 @@ class Header:
         return names if all(names) else []
 
 
+def _at(form: str, raw, place: int) -> tuple:
+    """Numbers at a place of bytes, or of a file read by ranges."""
+    return struct.unpack(form, raw[place : place + struct.calcsize(form)])
+
+
 def read_header(raw: bytes) -> Header:
     if len(raw) < 8 or raw[:2] not in (b"II", b"MM"):
         raise TiffError("no TIFF")
     o = "<" if raw[:2] == b"II" else ">"
-    (magic,) = struct.unpack_from(o + "H", raw, 2)
+    (magic,) = _at(o + "H", raw, 2)
     if magic == 42:
-        at, count, entry, inline = struct.unpack_from(o + "I", raw, 4)[0], "H", "HHI", 4
+        at, count, entry, inline = _at(o + "I", raw, 4)[0], "H", "HHI", 4
     elif magic == 43:
-        at, count, entry, inline = struct.unpack_from(o + "Q", raw, 8)[0], "Q", "HHQ", 8
+        at, count, entry, inline = _at(o + "Q", raw, 8)[0], "Q", "HHQ", 8
     else:
         raise TiffError("no TIFF")
     tags: dict = {}
     try:
-        (n,) = struct.unpack_from(o + count, raw, at)
+        (n,) = _at(o + count, raw, at)
         at += struct.calcsize(o + count)
         for _ in range(n):
-            tag, kind, k = struct.unpack_from(o + entry, raw, at)
+            tag, kind, k = _at(o + entry, raw, at)
             at += struct.calcsize(o + entry)
             if kind in _TYPES:
                 form = _TYPES[kind]
                 size = struct.calcsize("=" + form) * k
-                place = at if size <= inline else struct.unpack_from(o + ("I" if inline == 4 else "Q"), raw, at)[0]
-                tags[tag] = raw[place : place + k].split(b"\0")[0].decode("latin-1") if kind == 2 else struct.unpack_from(f"{o}{k * len(form)}{form[0]}", raw, place)
+                place = at if size <= inline else _at(o + ("I" if inline == 4 else "Q"), raw, at)[0]
+                tags[tag] = raw[place : place + k].split(b"\0")[0].decode("latin-1") if kind == 2 else _at(f"{o}{k * len(form)}{form[0]}", raw, place)
             at += inline
     except struct.error as e:
         raise TiffError("a TIFF cut short") from e

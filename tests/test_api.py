@@ -73,6 +73,22 @@ def test_scenes(spark, tmp_path):
         api.open_scenes(spark, w, product_id="none")
 
 
+def test_scenes_of_one_file_name_in_two_folders_and_on_coordinates(spark, tmp_path):
+    """Files meet by their full names; scenes of different extent are aligned on coordinates."""
+    for k, (folder, west) in enumerate((("a", 0.0), ("b", 1.0))):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        px = np.full((1, 2, 2), 10 * (k + 1), np.uint16)
+        (tmp_path / "in" / folder / f"scene_2024010{k + 1}.tif").write_bytes(tiff.write(px, (west, 0.0, west + 2.0, 2.0), 4326, names=["red"], compression=tiff.NONE, tile=16))
+        (tmp_path / "in" / folder / "scene.tif").write_bytes(tiff.write(px + 5, (west, 0.0, west + 2.0, 2.0), 4326, names=["nir"], compression=tiff.NONE, tile=16))
+    (tmp_path / "in/a/not_registered.tif").write_bytes(b"no raster")
+    w = str(tmp_path / "w")
+    ingest(spark, str(tmp_path / "in"), w)
+    plain = api.open_scenes(spark, w).df.groupBy("band").agg(F.sum("value").alias("s"), F.count("value").alias("n")).collect()
+    assert {(r["band"], r["s"], r["n"]) for r in plain} == {("red", 4 * 10 + 4 * 20, 8), ("nir", 4 * 15 + 4 * 25, 8)}
+    cells = {(r["x"], r["y"]): r["v"] for r in api.open_scenes(spark, w, ["red"], coordinates=True).df.groupBy("x", "y").agg(F.sum("value").alias("v")).collect()}
+    assert cells == {(x, y): v for x, v in ((0.5, 10.0), (1.5, 30.0), (2.5, 20.0)) for y in (0.5, 1.5)}
+
+
 def test_cloud_masks(spark, tmp_path):
     sample.create_sample_data(str(tmp_path / "in"))
     quality = np.zeros((2, 64, 64), np.uint8)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridloom import cli, ingest
 from gridloom.errors import QueryError, TransactionError, ValidationError
 from gridloom.schema import OBSERVATIONS, SCENES
-from gridloom.sources import chunks, cog, sample, tiff
+from gridloom.sources import chunks, cog, files, sample, tiff
 from gridloom.streaming import scenes as streams
 from gridloom.warehouse import Warehouse
 
@@ -120,20 +120,73 @@ def test_no_raster():
 
 
 def test_sample_and_source(spark, tmp_path):
-    files = sample.create_sample_data(str(tmp_path / "a/prod"))
-    assert [open(f, "rb").read() for f in files] == [open(f, "rb").read() for f in sample.create_sample_data(str(tmp_path / "b"))]
+    made = sample.create_sample_data(str(tmp_path / "a/prod"))
+    assert [open(f, "rb").read() for f in made] == [open(f, "rb").read() for f in sample.create_sample_data(str(tmp_path / "b"))]
     cog.register(spark)
-    df = spark.read.format("cog").option("blocks", "2").load(files[0])
+    df = spark.read.format("cog").option("bytes", os.path.getsize(made[0]) // 2 + 1).load(made[0])
     assert df.rdd.getNumPartitions() == 2
+    whole = {(r["band"], r["row"], r["col"]): r["pixels"] for r in df.collect()}
+    part = spark.read.format("cog").option("rows", "33:40").option("cols", ":32").option("band", 2).load(made[0])
+    assert {(r["band"], r["row"], r["col"]): r["pixels"] for r in part.collect()} == {k: v for k, v in whole.items() if k == (2, 32, 0)}
+    by_name = cog.blocks_of(spark.createDataFrame([(f,) for f in made], "path string"), bytes_per_part=3000)
+    assert {(r["band"], r["row"], r["col"]): r["pixels"] for r in by_name.where(F.col("path") == made[0]).collect()} == whole
     assert df.agg(F.sum(F.size("pixels"))).first()[0] == 4 * 64 * 64
     nir = df.where("band = 4")
-    raw = open(files[0], "rb").read()
+    raw = open(made[0], "rb").read()
     assert nir.agg(F.sum(F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v))).first()[0] == float(tiff.read_window(raw, tiff.read_header(raw), 4).sum())
     (tmp_path / "a/broken.tif").write_bytes(b"x")
     heads = {os.path.basename(r["path"]): r for r in cog.headers(spark, str(tmp_path / "a")).collect()}
     assert heads["broken.tif"]["error"] and heads["sample_20240115.tif"]["band_names"] == list(sample.BANDS) and heads["sample_20240115.tif"]["resolution"] == 10.0
 
 
+def test_rasters_are_read_by_ranges(tmp_path, monkeypatch):
+    """A header or one block of a large raster costs a few ranges, not the file."""
+    a = np.arange(3 * 1024 * 1024, dtype=np.uint16).reshape(3, 1024, 1024)
+    path = tmp_path / "big.tif"
+    path.write_bytes(tiff.write(a, (0.0, 0.0, 1.0, 1.0), 4326, compression=tiff.NONE))
+    with files.opened(f"file:{path}") as raw:
+        read = []
+        handle = raw.handle
+
+        class Counting:
+            def seek(self, at):
+                handle.seek(at)
+
+            def read(self, n):
+                read.append(n)
+                return handle.read(n)
+
+        raw.handle = Counting()
+        h = tiff.read_header(raw)
+        assert (tiff.read_window(raw, h, 2, 512, 512, 10, 10) == a[1, 512:522, 512:522]).all()
+        assert sum(read) < len(raw) / 4
+
+
+def test_a_half_written_or_left_over_entry_is_not_read(spark, observations, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "w"))
+    for k in range(4):
+        w.append(batch(observations, 1), f"c{k}")
+    log = tmp_path / "w/_log"
+    (log / "abc.draft").write_text('{"number":')  # a writer that died
+    old = (log / f"{1:020d}.json").read_text()
+    assert w.read().count() == 4 and len(w.log()) == 4
+    assert not w._put(str(log / f"{4:020d}.json"), {"number": 4})  # taken
+    assert w.expire(retain_last=2, older_than_ms=-1) == 2 and w.read().count() == 4
+    (log / f"{1:020d}.json").write_text(old)  # as if the deletion had not got so far
+    assert w.read().count() == 4 and [s.message for s in w.log()] == ["c2", "c3"]
+    w.append(batch(observations, 1), "c4")
+    assert w.read().count() == 5 and w.expire(retain_last=1, older_than_ms=-1) == 2 and w.read().count() == 5
+    assert len(list(log.glob("*.json"))) == 1
+
+
+def test_many_commits_are_one_scan(spark, observations, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "w"))
+    for k in range(3):
+        w.append(batch(observations, 2))
+    plan = w.read()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan
+
+
 def test_raster_writer(spark, tmp_path):
     cog.register(spark)
     df = spark.createDataFrame([("a", 2, 2, [[1.0, 2.0, 3.0, 4.0]], 0.0, 0.0, 1.0, 1.0)], "name string, height int, width int, pixels array<array<double>>, minx double, miny double, maxx double, maxy double")
