@@ -128,6 +128,46 @@ def statistics(spark: SparkSession, warehouse: str, tile_id: str, band: str, mon
     return row.asDict() if row else {}
 
 
+def chunk_paths(spark: SparkSession, warehouse: str, tile_id: str | None = None, band: str | None = None, months: tuple[str, str] | None = None, as_of: int | None = None) -> DataFrame:
+    """(path, commit, tile_id, band, year_month) of the files that hold a tile, band or span of months."""
+    df = Warehouse(spark, warehouse).data_files(as_of)
+    df = ops.in_tiles(df, [tile_id]) if tile_id is not None else df
+    df = df.where(F.col("band") == band) if band is not None else df
+    return ops.in_months(df, *months) if months else df
+
+
+def metadata(spark: SparkSession, warehouse: str, tiles: list[str] | None = None, bands: list[str] | None = None, months: tuple[str, str] | None = None, as_of: int | None = None) -> DataFrame:
+    """Catalogue rows (see tile_month_rollup) with ``bounds`` of the tile and the ``chunk_paths`` that hold them."""
+    df = Warehouse(spark, warehouse).read(as_of)
+    df = ops.in_tiles(df, tiles) if tiles is not None else df
+    df = df.where(F.col("band").isin(bands)) if bands is not None else df
+    rows = ops.tile_month_rollup(ops.in_months(df, *months) if months else df)
+    key = ["tile_id", "band", "year_month"]
+    paths = chunk_paths(spark, warehouse, months=months, as_of=as_of).groupBy(*key).agg(F.sort_array(F.collect_list("path")).alias("chunk_paths"))
+    return rows.join(paths, key, "left").withColumn("bounds", tile_bounds(tile_x("tile_id"), tile_y("tile_id")))
+
+
+def export_geotiff(df: DataFrame, folder: str, dtype: str = "uint16") -> int:
+    """Write observations as one GeoTIFF per tile and time, its bands in order of name, LZW in blocks of 256, degrees by the
+    tile's bounds; the number of rasters. Bands of one tile and time of different size, or tiles whose id cannot be read,
+    raise."""
+    from gridloom.sources import cog
+
+    cog.register(df.sparkSession)
+    bounds = tile_bounds(tile_x("tile_id"), tile_y("tile_id"))
+    per = df.groupBy("tile_id", "time").agg(F.sort_array(F.collect_list(F.struct("band", "pixels"))).alias("b"))  # a few bands
+    side = ops.width_of(F.size(F.col("b")[0]["pixels"]))
+    rows = per.select(
+        F.concat_ws("_", "tile_id", F.date_format("time", "yyyyMMdd'T'HHmmss")).alias("name"),
+        (F.size(F.col("b")[0]["pixels"]) / side).cast("int").alias("height"),
+        side.cast("int").alias("width"),
+        F.transform("b", lambda s: s["pixels"].cast("array<double>")).alias("pixels"),
+        *[bounds[c].alias(c) for c in ("minx", "miny", "maxx", "maxy")],
+    )
+    rows.write.format("cog").option("dtype", dtype).mode("append").save(folder)
+    return rows.count()
+
+
 def scenes(spark: SparkSession, warehouse: str, time: tuple[datetime, datetime] | None = None, box: Box | None = None, product_id: str | None = None, as_of: int | None = None) -> DataFrame:
     """Registered scenes in order of time. A scene without bounds passes every box, one without time no time range."""
     return filter_scenes(Warehouse(spark, warehouse, SCENES, []).read(as_of), time, box, product_id)

@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     move.add_argument("warehouse")
     move.add_argument("--dry-run", action="store_true")
     move.add_argument("--backup")
+    move.add_argument("--batches", type=int, default=1, help="commits to divide the work into")
     rec = sub.add_parser("recovery", help="look for what broken commits left")
     rec.add_argument("action", choices=["diagnose", "repair", "verify"])
     rec.add_argument("warehouse")
@@ -41,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(result.__dict__, default=str))
         return int(bool(result.errors))
     if args.command == "migrate":
-        print(json.dumps(migrate(spark, args.source, args.warehouse, args.dry_run, args.backup).__dict__))
+        print(json.dumps(migrate(spark, args.source, args.warehouse, args.dry_run, args.backup, batches=args.batches).__dict__))
         return 0
     if args.command == "info":
         store = Warehouse(spark, args.warehouse)

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.tiles import canonical_or_self
 from gridloom.operators.compaction import with_path_key
 from gridloom.operators.observations import pixel_stats
 from gridloom.sources.chunks import load_chunks
+from gridloom.sources.files import store_of
 from gridloom.warehouse import Warehouse
 
 
@@ -47,21 +47,62 @@ def chunk_observations(spark: SparkSession, folder: str) -> DataFrame:
     return out.where("tile_id IS NOT NULL AND band IS NOT NULL AND year_month IS NOT NULL")
 
 
-def migrate(spark: SparkSession, folder: str, warehouse: str, dry_run: bool = False, backup: str | None = None, progress: Callable[[str], None] = lambda _: None) -> MigrationResult:
-    """One commit of everything below ``folder``; with ``dry_run`` only what it would be. ``backup``: copy the files first."""
+def with_catalogue(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Observations with product, resolution and cloud cover of their chunk's entry in a catalogue, where it has one; of
+    several entries of a chunk the one that comes last by chunk_path stands."""
+    key = ["tile_id", "year_month", "band"]
+    facts = ["product_id", "resolution", "cloud_cover"]
+    last = catalogue.withColumn("tile_id", canonical_or_self("tile_id")).groupBy(*key).agg(F.max_by(F.struct(*facts), "chunk_path").alias("_c"))
+    joined = rows.join(last, key, "left")
+    kinds = dict(rows.dtypes)
+    known = {c: F.coalesce(F.col(f"_c.{c}").cast(kinds[c]), F.col(c)) if c in kinds else F.col(f"_c.{c}").cast("float") for c in facts}
+    return joined.withColumns(known).drop("_c")
+
+
+def migrate(spark: SparkSession, folder: str, warehouse: str, dry_run: bool = False, backup: str | None = None, progress: Callable[[str], None] = lambda _: None, batches: int = 1, catalogue: DataFrame | None = None) -> MigrationResult:
+    """Take over everything below ``folder``, in one commit or in ``batches`` of chunk files; with ``dry_run`` only tell what
+    it would be. ``backup``: copy the files first. ``catalogue``: what it says of a chunk goes with its rows. A batch that
+    fails takes back those before it, and the error is raised. A migration tried again commits nothing twice."""
     rows = chunk_observations(spark, folder)
+    rows = rows if catalogue is None else with_catalogue(rows, catalogue)
     counts = rows.agg(F.countDistinct("source_file").alias("c"), F.count(F.lit(1)).alias("n")).first()
     progress(f"{counts['c']} chunks, {counts['n']} observations")
     if dry_run:
         return MigrationResult(counts["c"], counts["n"], None, True)
     if backup:
-        shutil.copytree(folder, backup, dirs_exist_ok=True)
+        _copy(folder, backup)
         progress(f"copied to {backup}")
-    snapshot = Warehouse(spark, warehouse).append(rows, f"migration of {folder}", batch=f"migration {os.path.abspath(folder)}")
-    progress(f"snapshot {snapshot}")
+    store = Warehouse(spark, warehouse)
+    start, snapshot = store.current_snapshot_id(), None
+    try:
+        for k in range(batches):
+            part = rows if batches == 1 else rows.where(F.pmod(F.xxhash64("source_file"), F.lit(batches)) == k)
+            snapshot = store.append(part, f"migration of {folder}", batch=f"migration {folder} {k} of {batches}")
+            progress(f"snapshot {snapshot}")
+    except Exception:
+        if store.current_snapshot_id() != start:
+            store.rollback(start, f"migration of {folder} failed")
+        raise
     return MigrationResult(counts["c"], counts["n"], snapshot, False)
 
 
+def _copy(folder: str, target: str) -> None:
+    """A copy of a folder on any store."""
+    from pyarrow import fs
+
+    (a, source), (b, there) = store_of(folder), store_of(target)
+    fs.copy_files(source, there, source_filesystem=a, destination_filesystem=b)
+
+
+def write_metadata(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Keep catalogue rows as Parquet: added to those there, or in their place. Another mode, or no row, raises ValueError."""
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"mode is append or overwrite, not {mode}")
+    if rows.isEmpty():
+        raise ValueError("no metadata to write")
+    rows.write.mode(mode).option("compression", "zstd").parquet(path)
+
+
 def verify(spark: SparkSession, folder: str, warehouse: str) -> DataFrame:
     """Chunks (tile, band, month) whose number of observations differs between files and warehouse; empty if all is there."""
     return chunk_counts_differ(chunk_observations(spark, folder), Warehouse(spark, warehouse).read())

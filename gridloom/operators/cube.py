@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -64,6 +64,23 @@ class Cube:
             return Cube(self.df.where(F.col(dim) == F.lit(labels[position])).select(*rest, "value"), rest, self.name)
         return replace(self, df=self.df.where(F.col(dim).isin(labels[position])))
 
+    def sel(self, dim: str, label: float | slice) -> Cube:
+        """By label: the nearest one, the lower of two as near; of a slice both ends are snapped to their nearest labels,
+        which are included, and a step counts labels. An unknown dimension or one without labels raises."""
+        self._require(dim)
+        if not isinstance(label, slice):
+            return self.nearest(dim, label)
+        snap = lambda v: F.min_by(dim, F.struct(F.abs(F.col(dim) - F.lit(v)), dim))
+        ends = self.df.agg(*[(snap(v) if v is not None else other(dim)).alias(n) for n, v, other in (("low", label.start, F.min), ("high", label.stop, F.max))]).first()
+        if ends["low"] is None:
+            raise KeyError(f"{dim} has no labels")
+        part = self.between(dim, ends["low"], ends["high"])
+        if label.step in (None, 1):
+            return part
+        # Positions among the labels of one dimension, not among its cells.
+        place = part.df.select(dim).distinct().withColumn("_k", F.row_number().over(Window.orderBy(dim)) - 1).where(F.col("_k") % label.step == 0)
+        return replace(part, df=part.df.join(place.select(dim), dim, "left_semi"))
+
     # arithmetic
     def _with(self, other: Cube | float, f, tag: str, swap: bool = False) -> Cube:
         if not isinstance(other, Cube):
@@ -104,15 +121,16 @@ class Cube:
         return Cube(wide.select(*rest, compile_expression(expression, {b: F.col(b) for b in bands}).cast("double").alias("value")), rest, "bandmath")
 
     # reduction
-    def reduce(self, how: str, dims: str | Sequence[str] | None = None) -> Cube:
-        """mean, max, min, median, std (population), count or sum over dimensions, over all if none is named. NULL cells
-        are skipped."""
+    def reduce(self, how: str | Callable[[Column], Column], dims: str | Sequence[str] | None = None) -> Cube:
+        """mean, max, min, median, std (population), count or sum over dimensions, over all if none is named, or any aggregate
+        given as a function from the value's column. NULL cells are skipped."""
         over = set(self.dims if dims is None else [dims] if isinstance(dims, str) else dims)
         for d in over:
             self._require(d)
         rest = tuple(d for d in self.dims if d not in over)
-        value = REDUCERS[how](F.col("value")).cast("double").alias("value")
-        return Cube(self.df.groupBy(*rest).agg(value) if rest else self.df.agg(value), rest, f"{self.name}_{how}")
+        named = how if isinstance(how, str) else getattr(how, "__name__", "reduced")
+        value = (REDUCERS[how] if isinstance(how, str) else how)(F.col("value")).cast("double").alias("value")
+        return Cube(self.df.groupBy(*rest).agg(value) if rest else self.df.agg(value), rest, f"{self.name}_{named}")
 
     def resample(self, period: str, how: str) -> Cube:
         """Aggregate over calendar periods of ``time``: days, ISO weeks, months, quarters or years, labelled by start."""
@@ -143,6 +161,18 @@ class Cube:
         out[tuple(inverse for _, inverse in codes)] = pdf["value"]
         return out
 
+    def to_xarray(self, bounds: tuple[float, float, float, float] | None = None, attrs: Mapping | None = None):
+        """An xarray.DataArray of the dense cube, where that library is installed; ``bounds`` (degrees) give lon and lat."""
+        import xarray
+
+        cells = self.to_pandas()
+        labels = {d: np.sort(cells[d].unique()) for d in self.dims}
+        out = xarray.DataArray(self.to_numpy(), coords=labels, dims=list(self.dims), name=self.name, attrs=dict(attrs or {}))
+        if bounds:
+            x0, y0, x1, y1 = bounds
+            out = out.assign_coords(lon=("x", np.linspace(x0, x1, len(labels["x"]))), lat=("y", np.linspace(y1, y0, len(labels["y"]))))
+        return out
+
 
 def align_outer(cells: DataFrame, dims: Mapping[str, Sequence[str]]) -> DataFrame:
     """Dense union of scenes of different extents: every instant of the first group of dims with every cell of the

@@ -45,6 +45,22 @@ class ProductProfile:
         return ProductProfile(**{**d, "cloud_mask": CloudMask(**{**mask, "clear_values": tuple(mask["clear_values"])}) if mask else None})
 
 
+# Profiles of common public products, bands in the order of their files. Band indices of masks count from 1.
+_LANDSAT = {"coastal_aerosol": 0, "blue": 1, "green": 2, "red": 3, "nir": 4, "swir_1": 5, "swir_2": 6}
+BUILT_IN = [
+    ProductProfile("planet_sr", {"blue": 0, "green": 1, "red": 2, "nir": 3}, 3.0, "Planet", "PlanetScope Surface Reflectance (4-band)", CloudMask(6, (0,), "_udm2")),
+    ProductProfile(
+        "sentinel2_l2a",
+        {
+            "coastal_aerosol": 0, "blue": 1, "green": 2, "red": 3, "vegetation_red_edge_1": 4, "vegetation_red_edge_2": 5, "vegetation_red_edge_3": 6,
+            "nir": 7, "narrow_nir": 8, "water_vapour": 9, "swir_cirrus": 10, "swir_1": 11, "swir_2": 12,
+        },
+        10.0, "ESA", "Sentinel-2 Level-2A Surface Reflectance", CloudMask(1, (4, 5, 6, 7, 11), "_SCL"),
+    ),
+    ProductProfile("landsat8_sr", _LANDSAT, 30.0, "USGS", "Landsat 8 Collection 2 Surface Reflectance", CloudMask(1, (21824,), "_QA_PIXEL")),
+    ProductProfile("landsat9_sr", _LANDSAT, 30.0, "USGS", "Landsat 9 Collection 2 Surface Reflectance", CloudMask(1, (21824,), "_QA_PIXEL")),
+]
+
 SCHEMA = "product_id string, bands map<string,int>, resolution double, provider string, description string, cloud_mask struct<band_index:int,clear_values:array<int>,file_suffix:string>, extra_fields string"
 
 
@@ -54,6 +70,10 @@ class ProductRegistry:
     def __init__(self, profiles: list[ProductProfile] | None = None):
         self._profiles = {p.product_id: p for p in profiles or []}
 
+    @staticmethod
+    def with_built_in() -> ProductRegistry:
+        return ProductRegistry(BUILT_IN)
+
     def register(self, profile: ProductProfile) -> None:
         self._profiles[profile.product_id] = profile
 
@@ -75,6 +95,20 @@ class ProductRegistry:
             extra = json.loads(r["extra_fields"]) if "extra_fields" in df.columns and r["extra_fields"] else {}
             self.register(ProductProfile(r["product_id"], dict(r["bands"] or {}), r["resolution"], r["provider"], r["description"], CloudMask(mask["band_index"], tuple(mask["clear_values"]), mask["file_suffix"]) if mask else None, extra))
 
+    def save(self, spark: SparkSession, warehouse: str) -> int:
+        """Keep the profiles beside a warehouse, in place of those kept there before; the id of the snapshot."""
+        return self._store(spark, warehouse).overwrite(self.to_df(spark), message="products")
+
+    def load_from(self, spark: SparkSession, warehouse: str) -> None:
+        """Register the profiles kept beside a warehouse."""
+        self.load(self._store(spark, warehouse).read())
+
+    @staticmethod
+    def _store(spark: SparkSession, warehouse: str):
+        from gridloom.warehouse import Warehouse
+
+        return Warehouse(spark, f"{warehouse.rstrip('/')}/_products", spark.createDataFrame([], SCHEMA).schema, [])
+
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [(p.product_id, p.bands, p.resolution, p.provider, p.description, (p.cloud_mask.band_index, list(p.cloud_mask.clear_values), p.cloud_mask.file_suffix) if p.cloud_mask else None, json.dumps(p.extra_fields)) for p in self._profiles.values()]
         return spark.createDataFrame(rows, SCHEMA)

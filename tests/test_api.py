@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom import api, cli, maintenance
 from gridloom.errors import QueryError
 from gridloom.ingest import ingest
+from gridloom.operators.cube import Cube
 from gridloom.products import CloudMask, ProductProfile, ProductRegistry
 from gridloom.sources import chunks, sample, tiff
 from gridloom.warehouse import Warehouse
@@ -115,3 +116,75 @@ def test_migration(spark, tmp_path):
     chunks.append_chunk(f"{src}/{TILES[0]}/2024-01/red.arrow", {"time": [utc("2024-01-07")], "pixels": [[1, 2]], "mask": [[True, True]]}, "p", 10.0)
     assert [r["tile_id"] for r in maintenance.verify(spark, src, w).collect()] == [TILES[0]]
     assert cli.main(["migrate", src, w, "--dry-run"]) == 0
+
+
+def test_migration_in_batches_is_taken_back_when_one_fails(spark, tmp_path):
+    src, w = str(tmp_path / "tiles"), str(tmp_path / "w")
+    for k in range(6):
+        chunks.write_chunk(f"{src}/x000{k}_y0001/2024-01/red.arrow", {"time": [utc("2024-01-05")], "pixels": [[k, 2]], "mask": [[True, True]]}, "p", 10.0)
+    entry = [("X0_Y1", "2024-01", "red", "a", "q", 3.0, 50.0), ("x0000_y0001", "2024-01", "red", "b", "r", 30.0, 7.0)]
+    catalogue = spark.createDataFrame(entry, "tile_id string, year_month string, band string, chunk_path string, product_id string, resolution double, cloud_cover double")
+    store = Warehouse(spark, w)
+    first = store.append(maintenance.chunk_observations(spark, src).limit(1))
+    calls = []
+
+    def stop(said):
+        calls.append(said)
+        if len(calls) == 3:
+            raise RuntimeError("stop")
+
+    with pytest.raises(RuntimeError):
+        maintenance.migrate(spark, src, w, progress=stop, batches=3)
+    assert store.read().count() == 1 and store.log()[-1].operation == "rollback" and store.current_snapshot_id() != first
+    other = str(tmp_path / "v")
+    maintenance.migrate(spark, src, other, batches=3, catalogue=catalogue)
+    got = {r["tile_id"]: (r["product_id"], r["resolution"], r["cloud_cover"]) for r in Warehouse(spark, other).read().collect()}
+    assert len(got) == 6 and got["x0000_y0001"] == ("r", 30.0, 7.0) and got["x0001_y0001"] == ("p", 10.0, None)
+
+
+def test_metadata_paths_and_missing_files(spark, tmp_path):
+    src, w = str(tmp_path / "tiles"), str(tmp_path / "w")
+    for k in range(2):
+        chunks.write_chunk(f"{src}/x000{k}_y0001/2024-0{k + 1}/red.arrow", {"time": [utc(f"2024-0{k + 1}-05")], "pixels": [[k, 2, 3, 4]], "mask": [[True] * 4]}, "p", 10.0)
+    maintenance.migrate(spark, src, w)
+    rows = {r["tile_id"]: r for r in api.metadata(spark, w).collect()}
+    assert set(rows) == {"x0000_y0001", "x0001_y0001"} and all(len(r["chunk_paths"]) == 1 and r["bounds"]["miny"] < r["bounds"]["maxy"] for r in rows.values())
+    (path,) = [r["path"] for r in api.chunk_paths(spark, w, "x0001_y0001", "red", ("2024-01", "2024-02")).collect()]
+    assert path == rows["x0001_y0001"]["chunk_paths"][0] and api.chunk_paths(spark, w, months=("2024-01", "2024-01")).count() == 1
+    assert api.export_geotiff(Warehouse(spark, w).read(), str(tmp_path / "out")) == 2
+    raw = (tmp_path / "out/x0001_y0001_20240205T000000.tif").read_bytes()
+    assert tiff.read_window(raw, tiff.read_header(raw), 1).tolist() == [[1, 2], [3, 4]]
+    (tmp_path / "w" / path).unlink()
+    assert [r["tile_id"] for r in Warehouse(spark, w).read(skip_missing=True).collect()] == ["x0000_y0001"]
+    (tmp_path / "w/data/left.tmp").write_bytes(b"x")
+    found = Warehouse(spark, w).diagnose()
+    assert found["missing"] == [path] and found["temporary"] == ["data/left.tmp"] and Warehouse(spark, w).repair() == ["data/left.tmp"]
+    with pytest.raises(ValueError, match="mode"):
+        maintenance.write_metadata(spark.range(1), str(tmp_path / "m"), "merge")
+    with pytest.raises(ValueError, match="no metadata"):
+        maintenance.write_metadata(spark.range(0), str(tmp_path / "m"))
+    for mode, n in (("append", 2), ("append", 4), ("overwrite", 2)):
+        maintenance.write_metadata(spark.range(2), str(tmp_path / "m"), mode)
+        assert spark.read.parquet(str(tmp_path / "m")).count() == n
+
+
+def test_profiles_are_kept_beside_a_warehouse(spark, tmp_path):
+    built = ProductRegistry.with_built_in()
+    assert built.list() == ["landsat8_sr", "landsat9_sr", "planet_sr", "sentinel2_l2a"] and built.get("sentinel2_l2a").band_names[7] == "nir"
+    built.save(spark, str(tmp_path / "w"))
+    built.register(ProductProfile("own", {"red": 0}, 1.0))
+    built.save(spark, str(tmp_path / "w"))
+    other = ProductRegistry()
+    other.load_from(spark, str(tmp_path / "w"))
+    assert other.to_dict() == built.to_dict()
+
+
+def test_labels_of_slices_are_snapped(spark):
+    c = Cube.of(spark.createDataFrame([(float(k), k) for k in (1, 2, 4, 7, 11)], "y double, value int"), ["y"])
+    labels = lambda s: sorted(r["y"] for r in c.sel("y", s).df.collect())
+    assert labels(slice(1.6, 8.9)) == [2.0, 4.0, 7.0] and labels(slice(None, 3.0)) == [1.0, 2.0] and labels(slice(9.0, None)) == [7.0, 11.0]
+    assert labels(slice(None, None, 2)) == [1.0, 4.0, 11.0] and c.sel("y", 5.4).df.first()["value"] == 4
+    with pytest.raises(KeyError):
+        c.sel("z", 1.0)
+    with pytest.raises(KeyError):
+        Cube.of(c.df.limit(0), ["y"]).sel("y", slice(1, 2))
