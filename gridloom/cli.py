@@ -1,4 +1,4 @@
-"""Command line: info, ingest, migrate, recovery."""
+"""Command line: info, ingest, migrate, consolidate, sample, recovery."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import json
 
 from gridloom.ingest import ingest
 from gridloom.maintenance import migrate
+from gridloom.operators.compaction import write_consolidated
 from gridloom.session import local_session
+from gridloom.sources.sample import sample_data_path
 from gridloom.warehouse import Warehouse
 
 
@@ -27,6 +29,12 @@ def parser() -> argparse.ArgumentParser:
     move.add_argument("--dry-run", action="store_true")
     move.add_argument("--backup")
     move.add_argument("--batches", type=int, default=1, help="commits to divide the work into")
+    few = sub.add_parser("consolidate", help="merge the records of many small chunk files into few files")
+    few.add_argument("records", help="Parquet table of records: row_id, chunk_path, time, pixels, mask")
+    few.add_argument("target", help="folder of the new files, their list and metadata")
+    few.add_argument("--catalogue", help="Parquet table of the old catalogue")
+    few.add_argument("--bytes", type=int, default=128 << 20, help="size at which a file is closed")
+    sub.add_parser("sample", help="make sample rasters and tell where they are")
     rec = sub.add_parser("recovery", help="look for what broken commits left")
     rec.add_argument("action", choices=["diagnose", "repair", "verify"])
     rec.add_argument("warehouse")
@@ -44,6 +52,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "migrate":
         print(json.dumps(migrate(spark, args.source, args.warehouse, args.dry_run, args.backup, batches=args.batches).__dict__))
         return 0
+    if args.command == "consolidate":
+        old = spark.read.parquet(args.catalogue) if args.catalogue else None
+        made = write_consolidated(spark.read.parquet(args.records), args.target, args.bytes, catalogue=old)
+        print(json.dumps({"chunks": made.count(), "files": made.select("out_file").distinct().count()}))
+        return 0
+    if args.command == "sample":
+        print(sample_data_path())
+        return 0
     if args.command == "info":
         store = Warehouse(spark, args.warehouse)
         print(json.dumps(store.summary(), default=str))

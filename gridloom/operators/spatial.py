@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.tiles import METRES_PER_DEGREE, TILE_METRES, tile_bounds, tile_of_point, tile_text
+from gridloom.functions.tiles import METRES_PER_DEGREE, TILE_METRES, tile_bounds, tile_text
+from gridloom.functions.trapezoids import Trapezoids
 
 KM_PER_DEGREE = 111.32
 Ring = list[tuple[float, float]]
@@ -172,7 +173,14 @@ def clipped_area(tiles: DataFrame, rings: list[Ring]) -> DataFrame:
     def clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             boxes = np.stack([batch.column(c).to_numpy() for c in ("minx", "miny", "maxx", "maxy")], axis=1)
-            share = np.array([min(sum(ring_area(clip_to_box(r, tuple(b))) for r in rings) / ((b[2] - b[0]) * (b[3] - b[1])), 1.0) for b in boxes])
+            near = [ring_meets_boxes(r, boxes) for r in rings]  # all boxes of the batch at once
+            share = np.zeros(len(boxes))
+            for k in np.flatnonzero(np.any(near, axis=0)) if rings else ():
+                x0, y0, x1, y1 = boxes[k]
+                parts = [p for r, m in zip(rings, near, strict=True) if m[k] and len(p := clip_to_box(r, tuple(boxes[k]))) > 2]
+                # Rings that overlap count once.
+                area = ring_area(parts[0]) if len(parts) == 1 else Trapezoids([np.asarray(p, float) for p in parts], np.arange(len(parts))).area()
+                share[k] = min(area / ((x1 - x0) * (y1 - y0)), 1.0)
             keep = pa.array(share > 0)
             yield pa.RecordBatch.from_arrays([*batch.filter(keep).columns, pa.array(share).filter(keep)], names=[*batch.schema.names, "share"])
 
@@ -180,9 +188,10 @@ def clipped_area(tiles: DataFrame, rings: list[Ring]) -> DataFrame:
     return tiles.mapInArrow(clip, f"{fields}, share double")
 
 
-def boxes_on_tiles(boxes: DataFrame, keys: list[str], size: float = TILE_METRES, most: int = 4096) -> DataFrame:
+def boxes_on_tiles(boxes: DataFrame, keys: list[str], size: float = TILE_METRES) -> DataFrame:
     """keys, tile_id: every tile whose index range a row's box (minx, miny, maxx, maxy in degrees) touches. This turns a
-    range join of boxes with tiles into an equi-join on tile_id. Boxes of more than ``most`` tiles raise."""
+    range join of boxes with tiles into an equi-join on tile_id. Columns and rows of a box are listed one after the other,
+    so that even a box around the globe is no array of more than 16,000 numbers."""
     index = lambda v: F.floor(v / size).cast("int")
     col = lambda lon, lat: index(F.col(lon) * METRES_PER_DEGREE * F.cos(F.radians(F.col(lat))))
     at = [col(a, b) for a in ("minx", "maxx") for b in ("miny", "maxy")]
@@ -190,9 +199,7 @@ def boxes_on_tiles(boxes: DataFrame, keys: list[str], size: float = TILE_METRES,
     wide = F.when((F.col("miny") < 0) & (F.col("maxy") > 0), F.struct(F.least(west, index(F.col("minx") * METRES_PER_DEGREE)), F.greatest(east, index(F.col("maxx") * METRES_PER_DEGREE)))).otherwise(F.struct(west, east))
     south, north = (index(F.col(c) * METRES_PER_DEGREE) for c in ("miny", "maxy"))
     ranged = boxes.select(*keys, wide.alias("_c"), south.alias("_s"), north.alias("_n")).select(*keys, F.col("_c.col1").alias("_w"), F.col("_c.col2").alias("_e"), "_s", "_n")
-    count = (F.col("_e") - F.col("_w") + 1).cast("long") * (F.col("_n") - F.col("_s") + 1)
-    checked = ranged.withColumn("_w", F.when(count <= most, F.col("_w")).otherwise(F.raise_error(F.lit("a box of too many tiles"))))
-    spread = checked.withColumn("_x", F.explode(F.sequence("_w", "_e"))).withColumn("_y", F.explode(F.sequence("_s", "_n")))
+    spread = ranged.withColumn("_x", F.explode(F.sequence("_w", "_e"))).withColumn("_y", F.explode(F.sequence("_s", "_n")))
     return spread.select(*keys, tile_text(F.col("_x"), F.col("_y")).alias("tile_id"))
 
 
@@ -231,7 +238,3 @@ class SpatialQuery:
             raise GeometryError("no geometry given")
         found = tiles_meeting(spark, list(self.rings), self.reach)
         return found if self.available is None else found.join(self.available.select("tile_id").distinct(), "tile_id", "left_semi")
-
-
-def tile_at(lon: float, lat: float) -> Column:
-    return tile_of_point(F.lit(float(lon)), F.lit(float(lat)))

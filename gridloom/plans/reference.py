@@ -323,6 +323,18 @@ def nearest_label_sel(spark, sf):
     return c.join(label, [*keys, "y"]).select(*keys, us(), "x", "value")
 
 
+@query(f"SELECT tile_id, product_id, band, epoch_us(time) AS time_us, y, x, CAST(value AS DOUBLE) AS value FROM {_CELLS} WHERE y BETWEEN 1 AND 2 AND x IN (0, 2)")
+def label_slice_sel(spark, sf):
+    """Slices whose ends are snapped to the nearest labels, both included; a step counts labels."""
+    return _cube(spark, sf).sel("y", slice(0.6, 2.3)).sel("x", slice(None, None, 2)).df.select(*_PLACE, "band", us(), "y", "x", "value")
+
+
+@query(f"SELECT tile_id, product_id, band, CAST(count(*) FILTER (value % 2 = 1) AS DOUBLE) AS value FROM {_CELLS} GROUP BY 1, 2, 3")
+def reduce_by_function(spark, sf):
+    """A reduction by any aggregate."""
+    return _cube(spark, sf).reduce(lambda v: F.count_if(v % 2 == 1), ["time", "y", "x"]).df
+
+
 @query(f"""WITH c AS (SELECT tile_id, product_id, band, time, y, x, max(value) AS value FROM {_CELLS} GROUP BY 1, 2, 3, 4, 5, 6), t AS (SELECT DISTINCT tile_id, product_id, band, time FROM c), p AS (SELECT DISTINCT tile_id, product_id, band, y, x FROM c)
 SELECT tile_id, product_id, band, epoch_us(time) AS time_us, y, x, c.value FROM t JOIN p USING (tile_id, product_id, band) LEFT JOIN c USING (tile_id, product_id, band, time, y, x)""")
 def scene_outer_align(spark, sf):
@@ -562,7 +574,23 @@ TRIANGLE = [(10.0, 45.0), (11.0, 45.1), (10.4, 45.9)]
 GEOJSON = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[*map(list, TRIANGLE), list(TRIANGLE[0])]]}}, {"type": "Feature", "geometry": {"type": "Point", "coordinates": [12.0, 45.0]}}]}
 
 
-@query()
+def _apart_sql() -> str:
+    """A box meets a convex polygon unless an axis keeps them apart: here the normals of the polygon's edges, the box's own
+    axes being taken by its tiles' range."""
+    tests = []
+    for (px, py), (qx, qy) in zip(TRIANGLE, [*TRIANGLE[1:], TRIANGLE[0]]):
+        a, b = qy - py, px - qx
+        at = [a * x + b * y for x, y in TRIANGLE]
+        low = f"{a!r} * {'minx' if a > 0 else 'maxx'} + {b!r} * {'miny' if b > 0 else 'maxy'}"
+        high = f"{a!r} * {'maxx' if a > 0 else 'minx'} + {b!r} * {'maxy' if b > 0 else 'miny'}"
+        tests.append(f"{low} <= {max(at)!r} AND {high} >= {min(at)!r}")
+    return " AND ".join(tests)
+
+
+@query(f"""WITH t AS (SELECT x, y FROM ({_tiles_sql((10.0, 45.0, 12.0, 45.9))})), b AS (SELECT *, y * 2560.0 / 111319.49079327358 AS miny, (y + 1) * 2560.0 / 111319.49079327358 AS maxy FROM t),
+ c AS (SELECT *, cos(radians((miny + maxy) / 2)) * 111319.49079327358 AS s FROM b), d AS (SELECT *, x * 2560.0 / s AS minx, (x + 1) * 2560.0 / s AS maxx FROM c)
+SELECT 'x' || printf('%04d', x) || '_y' || printf('%04d', y) AS tile_id, x, y FROM d
+WHERE (minx <= 11.0 AND {_apart_sql()}) OR (12.0 BETWEEN minx AND maxx AND 45.0 BETWEEN miny AND maxy)""")
 def polygon_tiles(spark, sf):
     return spatial.SpatialQuery().from_geojson(GEOJSON).tiles(spark).select("tile_id", "x", "y")
 
@@ -677,6 +705,23 @@ def time_travel_asof(spark, sf):
     return store.read(as_of=store.log()[1].snapshot_id).groupBy("product_id", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT product_id, band, count(*) AS n FROM observations WHERE ingestion_time <= TIMESTAMPTZ '2023-12-31 00:00:00+00' GROUP BY 1, 2")
+def rollback_read(spark, sf):
+    """The store taken back to its first snapshot."""
+    store = _history(spark, sf)
+    store.rollback(store.log()[0].snapshot_id)
+    return store.read().groupBy("product_id", "band").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT obs_id, band, product_id FROM observations WHERE band <> 'red' OR product_id = 'halo2_l2a'")
+def overwrite_where(spark, sf):
+    """One band of the store replaced by a part of it; the files of the others stay."""
+    store = _history(spark, sf)
+    red = obs(spark, sf).select("obs_id", "product_id", "band", "ingestion_time").where("band = 'red' AND product_id = 'halo2_l2a'")
+    store.overwrite(red, F.col("band") == "red")
+    return store.read().select("obs_id", "band", "product_id")
+
+
 @query("""WITH c AS (SELECT CASE WHEN ingestion_time <= TIMESTAMPTZ '2023-12-31 00:00:00+00' THEN 'until 2023' WHEN ingestion_time <= TIMESTAMPTZ '2024-06-01 00:00:00+00' THEN 'until June' ELSE 'the rest' END AS message FROM observations)
 SELECT message, 'append' AS operation, count(*) AS records FROM c GROUP BY 1""")
 def snapshot_history(spark, sf):

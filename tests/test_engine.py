@@ -173,7 +173,17 @@ def test_geometry(spark):
     assert abs(total - 0.03) < 0.002
 
 
+def test_overlapping_rings_count_once(spark):
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    tiles = spatial.tiles_in_box(spark, (10.0, 45.0, 10.2, 45.2))
+    shares = lambda rings: {r["tile_id"]: r["share"] for r in spatial.clipped_area(tiles, rings).collect()}
+    one = shares([box(10.0, 45.0, 10.3, 45.3)])
+    two = shares([box(10.0, 45.0, 10.2, 45.3), box(10.1, 45.0, 10.3, 45.3), [(10.05, 45.1), (10.25, 45.1), (10.15, 45.2)]])
+    assert set(one) == set(two) and all(abs(one[k] - two[k]) < 1e-9 for k in one) and max(one.values()) > 0.99
+
+
 def test_boxes_become_tiles(spark):
+    assert spatial.boxes_on_tiles(spark.createDataFrame([(1, -30.0, -20.0, 30.0, 20.0)], "k int, minx double, miny double, maxx double, maxy double"), ["k"]).count() > 2_000_000
     df = spark.createDataFrame([(1, 10.0, -0.05, 10.1, 0.05)], "k int, minx double, miny double, maxx double, maxy double")
     got = {r["tile_id"] for r in spatial.boxes_on_tiles(df, ["k"]).collect()}
     want = {r["tile_id"] for r in spatial.tiles_in_box(spark, (10.0, -0.05, 10.1, 0.05)).collect()}

@@ -257,4 +257,8 @@ def test_cli(spark, observations, tmp_path, capsys):
     Warehouse(spark, str(tmp_path / "w")).append(batch(observations, 2))
     assert cli.main(["info", str(tmp_path / "w")]) == 0 and '"records": 2' in capsys.readouterr().out
     assert cli.main(["recovery", "verify", str(tmp_path / "w")]) == 0
+    assert cli.main(["consolidate", "/root/testdata/sf0.001/chunk_rows.parquet", str(tmp_path / "c"), "--catalogue", "/root/testdata/sf0.001/tile_metadata.parquet"]) == 0
+    told = capsys.readouterr().out.strip().splitlines()[-1]
+    assert '"files": ' in told and (tmp_path / "c/metadata").exists()
+    assert cli.main(["sample"]) == 0 and os.path.isdir(capsys.readouterr().out.strip().splitlines()[-1])
     assert utc("2024-01-01").year == 2024
