@@ -1,13 +1,13 @@
-import random
 import os
+import random
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import words as e
 from gridloom.llm import pack
+from gridloom.llm import words as e
 
 
 def check(entries, rows, capacity):
