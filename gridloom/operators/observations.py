@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import divide
-from gridloom.functions.tiles import canonical, tile_bounds, tile_x, tile_y
+from gridloom.functions.tiles import tile_bounds, tile_x, tile_y
 
 
 def in_tiles(df: DataFrame, tiles: list[str]) -> DataFrame:
@@ -124,7 +124,8 @@ def pixel_places(df: DataFrame, keys: list[str]) -> DataFrame:
     both ends included, from north to south. Rows whose tile id cannot be read, or of one pixel a side, have no place and
     are left out."""
     side = width_of(F.size("pixels"))
-    placed = df.where(canonical("tile_id").isNotNull()).withColumns({"_b": tile_bounds(tile_x("tile_id"), tile_y("tile_id")), "_last": side - 1}).where(F.col("_last") > 0)
+    named = df.withColumns({"_tx": tile_x("tile_id"), "_ty": tile_y("tile_id"), "_last": side - 1}).where(F.col("_tx").isNotNull() & (F.col("_last") > 0))
+    placed = named.withColumn("_b", tile_bounds(F.col("_tx"), F.col("_ty"))).drop("_tx", "_ty")
     px = explode_pixels(placed, [*keys, "_b", "_last"])
     lon = F.col("_b.minx") + F.col("x") * (F.col("_b.maxx") - F.col("_b.minx")) / F.col("_last")
     lat = F.col("_b.maxy") + F.col("y") * (F.col("_b.miny") - F.col("_b.maxy")) / F.col("_last")

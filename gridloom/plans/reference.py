@@ -566,8 +566,8 @@ def pixels_for_resolution(spark, sf):
 def point_in_tile_join(spark, sf):
     """Points meet tiles by an equi-join on the computed id, not by a range join."""
     sites = table(spark, sf, "sites").select("site_id", tiles.tile_of_point(F.col("lon"), F.col("lat")).alias("id"))
-    seen = obs(spark, sf).select(F.col("tile_id").alias("record")).distinct().withColumn("id", tiles.canonical("record"))
-    return sites.join(seen, "id").select("site_id", "record")
+    seen = obs(spark, sf).select(F.col("tile_id").alias("record")).distinct()
+    return sites.join(seen, F.col("id") == F.col("record")).select("site_id", "record")
 
 
 TRIANGLE = [(10.0, 45.0), (11.0, 45.1), (10.4, 45.9)]

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -24,6 +25,7 @@ from gridloom.sources.files import listed, opened, store_of
 
 SCHEMA = "path string, band int, row int, col int, height int, width int, pixels array<double>"
 HEADER = "path string, crs string, minx double, miny double, maxx double, maxy double, width int, height int, band_count int, dtype string, resolution double, nodata double, driver string, band_names array<string>, transform array<double>, error string"
+BLOCKS = f"{SCHEMA}, transform array<double>"
 #: Bytes of a raster that are work for one task.
 PART_BYTES = 16 << 20
 
@@ -99,17 +101,24 @@ def blocks_of(files: DataFrame, path: str = "path", bytes_per_part: int = PART_B
                 rows += [(name, n * k // parts, n * (k + 1) // parts) for k in range(parts)]
             yield pd.DataFrame(rows, columns=["path", "first", "end"])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in f"{SCHEMA}, transform array<double>".split(", ")]
-        for pdf in batches:
-            for name, first, end in zip(pdf["path"], pdf["first"], pdf["end"], strict=True):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in BLOCKS.split(", ")]
+        for batch in batches:
+            for name, first, end in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "end")), strict=True):
                 with opened(name) as raw:
                     h = tiff.read_header(raw)
-                    rows = [(*r, list(h.affine) if h.affine else None) for r in _block_rows(name, raw, h, first, end)]
-                yield pd.DataFrame(rows, columns=names)
+                    affine = list(h.affine) if h.affine else None
+                    for number, plane, row, col in tiff.blocks(h)[first:end]:
+                        a = tiff.read_block(raw, h, number)
+                        n = a.shape[2]
+                        size = a.shape[0] * a.shape[1]
+                        px = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(np.moveaxis(a, 2, 0).astype(float).ravel()))
+                        ints = [pa.array([v] * n, pa.int32()) for v in (row, col, a.shape[0], a.shape[1])]
+                        band = pa.array(range(1, n + 1) if plane < 0 else [plane + 1], pa.int32())
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * n), band, *ints, px, pa.array([affine] * n, pa.list_(pa.float64()))], names=names)
 
     stretches = files.select(F.col(path).alias("path")).where("path IS NOT NULL").distinct().mapInPandas(plan, "path string, first int, end int")
-    return stretches.repartition("path", "first").mapInPandas(read, f"{SCHEMA}, transform array<double>")
+    return stretches.repartition("path", "first").mapInArrow(read, BLOCKS)
 
 
 class CogWriter(DataSourceWriter):
