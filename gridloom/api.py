@@ -130,7 +130,7 @@ def statistics(spark: SparkSession, warehouse: str, tile_id: str, band: str, mon
 
 def chunk_paths(spark: SparkSession, warehouse: str, tile_id: str | None = None, band: str | None = None, months: tuple[str, str] | None = None, as_of: int | None = None) -> DataFrame:
     """(path, commit, tile_id, band, year_month) of the files that hold a tile, band or span of months."""
-    df = Warehouse(spark, warehouse).data_files(as_of)
+    df = Warehouse(spark, warehouse).holders("tile_id", "band", "year_month", as_of=as_of)
     df = ops.in_tiles(df, [tile_id]) if tile_id is not None else df
     df = df.where(F.col("band") == band) if band is not None else df
     return ops.in_months(df, *months) if months else df

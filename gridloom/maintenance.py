@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.tiles import canonical_or_self
 from gridloom.operators.compaction import with_path_key
-from gridloom.operators.observations import pixel_stats
-from gridloom.sources.chunks import load_chunks
+from gridloom.operators.observations import stats_of, valid_pixels
+from gridloom.sources.chunks import count_rows, list_chunks, load_files
 from gridloom.sources.files import store_of
 from gridloom.warehouse import Warehouse
 
 
+NAMED = "tile_id IS NOT NULL AND band IS NOT NULL AND year_month IS NOT NULL"
+#: Folder levels of a store that chunk files are the first to fill: a folder a chunk would make a file of each again.
+LEVELS = ["band", "year_month"]
+
+
 @dataclass
 class MigrationResult:
     chunks: int
@@ -27,9 +32,9 @@ class MigrationResult:
 def chunk_observations(spark: SparkSession, folder: str) -> DataFrame:
     """Observations of all chunk files below a folder, with tile, month and band from the path. Files whose path names
     none of them are left out."""
-    hashed = F.concat(F.lit("/"), F.regexp_replace("path", r"([^/]+)\.arrow$", "$1-0000.arrow"))
-    rows = with_path_key(load_chunks(spark, folder).withColumn("_hashed", hashed), "_hashed")
-    stats = pixel_stats(F.col("pixels"), F.col("mask"))
+    # The names are read before the files, once a file; the valid pixels are a step of their own, so that they are found once a row.
+    rows = load_files(_keyed(list_chunks(spark, folder))).withColumn("_v", valid_pixels(F.col("pixels"), F.col("mask")))
+    stats = stats_of(F.col("_v"))
     out = rows.select(
         "tile_id",
         "year_month",
@@ -37,14 +42,20 @@ def chunk_observations(spark: SparkSession, folder: str) -> DataFrame:
         "time",
         "pixels",
         "mask",
-        F.coalesce(F.get_json_object(F.to_json("metadata"), "$.product_id"), F.lit("default")).alias("product_id"),
-        F.coalesce(F.get_json_object(F.to_json("metadata"), "$.resolution").try_cast("float"), F.lit(10.0)).cast("float").alias("resolution"),
+        F.coalesce(F.try_element_at("metadata", F.lit("product_id")), F.lit("default")).alias("product_id"),
+        F.coalesce(F.try_element_at("metadata", F.lit("resolution")).try_cast("float"), F.lit(10.0)).cast("float").alias("resolution"),
         F.size("pixels").alias("num_pixels"),
         *[c.alias(n) for n, c in stats.items()],
         F.col("path").alias("source_file"),
         F.current_timestamp().alias("ingestion_time"),
     )
-    return out.where("tile_id IS NOT NULL AND band IS NOT NULL AND year_month IS NOT NULL")
+    return out.where(NAMED)
+
+
+def _keyed(files: DataFrame) -> DataFrame:
+    """With tile, month and band of each path, NULL where it does not name them."""
+    hashed = F.concat(F.lit("/"), F.regexp_replace("path", r"([^/]+)\.arrow$", "$1-0000.arrow"))
+    return with_path_key(files.withColumn("_hashed", hashed), "_hashed").drop("_hashed")
 
 
 def with_catalogue(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -65,14 +76,15 @@ def migrate(spark: SparkSession, folder: str, warehouse: str, dry_run: bool = Fa
     fails takes back those before it, and the error is raised. A migration tried again commits nothing twice."""
     rows = chunk_observations(spark, folder)
     rows = rows if catalogue is None else with_catalogue(rows, catalogue)
-    counts = rows.agg(F.countDistinct("source_file").alias("c"), F.count(F.lit(1)).alias("n")).first()
+    found = count_rows(_keyed(list_chunks(spark, folder))).where(NAMED).where("rows > 0")
+    counts = found.agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()
     progress(f"{counts['c']} chunks, {counts['n']} observations")
     if dry_run:
         return MigrationResult(counts["c"], counts["n"], None, True)
     if backup:
         _copy(folder, backup)
         progress(f"copied to {backup}")
-    store = Warehouse(spark, warehouse)
+    store = Warehouse(spark, warehouse, partition_by=LEVELS)
     start, snapshot = store.current_snapshot_id(), None
     try:
         for k in range(batches):

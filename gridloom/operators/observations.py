@@ -141,7 +141,11 @@ def valid_pixels(pixels: Column, mask: Column) -> Column:
 
 def pixel_stats(pixels: Column, mask: Column) -> dict[str, Column]:
     """min, max and mean of an observation's valid pixels as its statistics define them."""
-    v = valid_pixels(pixels, mask)
+    return stats_of(valid_pixels(pixels, mask))
+
+
+def stats_of(v: Column) -> dict[str, Column]:
+    """The same of pixels that are chosen already."""
     total = F.aggregate(v, F.lit(0).cast("long"), lambda a, p: a + p)
     return {"min_value": F.array_min(v).cast("float"), "max_value": F.array_max(v).cast("float"), "mean_value": F.when(F.size(v) > 0, F.try_divide(total.cast("double"), F.size(v).cast("double"))).cast("float")}
 

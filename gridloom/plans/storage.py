@@ -3,10 +3,12 @@ back through the library's readers, so each has SQL over the table they came fro
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,13 +97,41 @@ def _chunks(spark: SparkSession, sf: str) -> str:
     folder = _folder(spark, "chunks")
     df = obs(spark, sf).select("tile_id", "band", expr.year_month(F.date_trunc("quarter", "time")).alias("month"), "time", F.transform("pixels", lambda p: F.least(p, F.lit(65535))).alias("pixels"), "mask")
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        tile, band, month = pdf["tile_id"][0], pdf["band"][0], pdf["month"][0]
-        path = f"{store_of(folder)[1]}/{tile}/{month}/{band}.arrow"
-        chunks.write_chunk(path, {c: pdf[c].tolist() for c in ("time", "pixels", "mask")}, "p", 10.0)
-        return pd.DataFrame({"path": [path]})
-
-    df.groupBy("tile_id", "band", "month").applyInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    root, key = store_of(folder)[1], ["tile_id", "month", "band"]
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        """Rows of each chunk: a run of the sorted rows, which may go on in the next batch."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            codes = [rows[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in key]
+            starts = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1)]
+            yield from cut(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield from cut(held, [0])
+
+    def cut(rows: pa.Table, starts: list[int]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        if not starts:
+            return
+        names = zip(*(rows[c].take(pa.array(starts)).to_pylist() for c in key), strict=True)
+        whole = rows.select(chunks.SCHEMA.names).cast(chunks.SCHEMA, safe=False).combine_chunks()
+        data = whole.to_batches()[0]
+        for name, a, b in zip(names, starts, [*starts[1:], rows.num_rows], strict=True):
+            yield name, data.slice(a, b - a)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, n = None, 0
+        for (tile, month, band), rows in runs(batches):
+            if there != (there := f"{root}/{tile}/{month}"):
+                os.makedirs(there, exist_ok=True)
+            chunks.write_rows(f"{there}/{band}.arrow", rows, "p", 10.0)
+            n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    df.repartition(*key).sortWithinPartitions(*key).mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
     return folder
 
 

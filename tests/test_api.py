@@ -1,6 +1,7 @@
 """Entry points over a stored warehouse."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from conftest import utc
 from pyspark.sql import functions as F
@@ -142,6 +143,27 @@ def test_migration_in_batches_is_taken_back_when_one_fails(spark, tmp_path):
     assert len(got) == 6 and got["x0000_y0001"] == ("r", 30.0, 7.0) and got["x0001_y0001"] == ("p", 10.0, None)
 
 
+def test_migration_of_many_chunks_makes_few_files_and_tasks(spark, observations, tmp_path):
+    src, w = str(tmp_path / "tiles"), str(tmp_path / "w+x")
+    for k in range(60):
+        chunks.write_chunk(f"{src}/x{k:04d}_y0001/2024-01/red.arrow", {"time": [utc("2024-01-05")], "pixels": [[k, 2]], "mask": [[True, True]]}, "p", 10.0)
+    (tmp_path / "tiles/_hidden").mkdir()
+    (tmp_path / "tiles/_hidden/red.arrow").write_bytes(b"x")
+    loaded = chunks.load_chunks(spark, src)
+    assert loaded.rdd.getNumPartitions() <= 16 and {r["path"] for r in loaded.collect()} == {f"file:{src}/x{k:04d}_y0001/2024-01/red.arrow" for k in range(60)}
+    assert maintenance.migrate(spark, src, w).chunks == 60
+    store = Warehouse(spark, w)
+    assert store.data_files().count() <= 8 and store.partition_by == maintenance.LEVELS
+    paths = {r["tile_id"]: r["chunk_paths"] for r in api.metadata(spark, w).collect()}
+    assert len(paths) == 60
+    for tile, (path,) in paths.items():
+        assert tile in pq.read_table(tmp_path / "w+x" / path, columns=["tile_id"], partitioning=None)["tile_id"].to_pylist()
+    # What comes later keeps the folders that are there.
+    store.append(observations([{"tile_id": "x0000_y0001", "band": "a+b %:c", "year_month": "2024-02", "resolution": 1.0, "num_pixels": 2}], extra=False))
+    (path,) = [r["path"] for r in api.chunk_paths(spark, w, "x0000_y0001", "a+b %:c").collect()]
+    assert (tmp_path / "w+x" / path).exists() and store.read().count() == 61
+
+
 def test_metadata_paths_and_missing_files(spark, tmp_path):
     src, w = str(tmp_path / "tiles"), str(tmp_path / "w")
     for k in range(2):
