@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import QueryError
@@ -148,7 +148,8 @@ def metadata(spark: SparkSession, warehouse: str, tiles: list[str] | None = None
 
 
 def export_geotiff(df: DataFrame, folder: str, dtype: str = "uint16") -> int:
-    """Write observations as one GeoTIFF per tile and time, its bands in order of name, LZW in blocks of 256, degrees by the
+    """Write observations as one GeoTIFF per tile and time, its bands in order of name, LZW in blocks of 256 or, of
+    a smaller raster, of its own side, degrees by the
     tile's bounds; the number of rasters. Bands of one tile and time of different size, or tiles whose id cannot be read,
     raise."""
     from gridloom.sources import cog
@@ -164,8 +165,9 @@ def export_geotiff(df: DataFrame, folder: str, dtype: str = "uint16") -> int:
         F.transform("b", lambda s: s["pixels"].cast("array<double>")).alias("pixels"),
         *[bounds[c].alias(c) for c in ("minx", "miny", "maxx", "maxy")],
     )
-    rows.write.format("cog").option("dtype", dtype).mode("append").save(folder)
-    return rows.count()
+    counted = Observation()
+    rows.observe(counted, F.count(F.lit(1)).alias("n")).write.format("cog").option("dtype", dtype).mode("append").save(folder)
+    return counted.get["n"]
 
 
 def scenes(spark: SparkSession, warehouse: str, time: tuple[datetime, datetime] | None = None, box: Box | None = None, product_id: str | None = None, as_of: int | None = None) -> DataFrame:

@@ -43,18 +43,17 @@ def with_first_mask(files: DataFrame, masks: DataFrame, keys: list[str]) -> Data
 def scene_table(spark: SparkSession, source: str, product_id: str | None = None, band_names: list[str] | None = None, date_pattern: str | None = None, pattern: str = "*.tif*", mask_path: str | None = None) -> DataFrame:
     """Scenes of all rasters below a folder, from their headers alone: date from the name, else the file's own time;
     product from the folder; band names from the header; the first mask file (by name) of the same date."""
-    facts = cog.headers(spark, source, pattern).where("error IS NULL")
-    times = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(source).select(F.col("path").alias("_p"), "modificationTime")
+    facts = cog.headers(spark, source, pattern, times=True).where("error IS NULL")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     day = date_in_name(name, date_pattern)
-    rows = facts.join(times, F.col("path") == F.col("_p")).withColumn("day", day)
+    rows = facts.withColumn("day", day)
     if mask_path:
         masks = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(mask_path).select("path")
         masks = masks.select(date_in_name(F.regexp_extract("path", r"([^/]+)$", 1), date_pattern).alias("day"), "path")
         rows = with_first_mask(rows, masks, ["day"])
     else:
         rows = rows.withColumn("mask_source_file", F.lit(None).cast("string"))
-    at = F.coalesce(F.col("day").cast("timestamp"), F.col("modificationTime"))
+    at = F.coalesce(F.col("day").cast("timestamp"), F.col("modification_time"))
     names = F.array(*map(F.lit, band_names)) if band_names else F.col("band_names")
     # The id follows from the file, so that a repeated try registers the same scene.
     scene_id = F.concat(F.lit("scene_"), F.date_format(at, "yyyyMMdd"), F.lit("_"), F.substring(F.md5("path"), 1, 8))

@@ -28,6 +28,8 @@ HEADER = "path string, crs string, minx double, miny double, maxx double, maxy d
 BLOCKS = f"{SCHEMA}, transform array<double>"
 #: Bytes of a raster that are work for one task.
 PART_BYTES = 16 << 20
+#: Rows or pixels of blocks that go on as one batch.
+BATCH_ROWS, BATCH_PIXELS = 2000, 1 << 17
 
 
 class _Part(InputPartition):
@@ -101,26 +103,42 @@ def blocks_of(files: DataFrame, path: str = "path", bytes_per_part: int = PART_B
                 rows += [(name, n * k // parts, n * (k + 1) // parts) for k in range(parts)]
             yield pd.DataFrame(rows, columns=["path", "first", "end"])
 
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+
+    def joined(held: list[tuple]) -> pa.RecordBatch:
+        """Images of blocks (bands, rows, columns) with what goes before and after them, one row a band."""
+        ends = np.cumsum([0, *[a.shape[1] * a.shape[2] for *_, a in held for _ in range(len(a))]], dtype=np.int64)
+        px = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([a.astype(float).ravel() for *_, a in held])))
+        per = [(name, band + k, row, col, *a.shape[1:], affine) for name, band, row, col, affine, a in held for k in range(len(a))]
+        columns = [pa.array(c, t) for c, t in zip(zip(*per, strict=True), (pa.string(), *[pa.int32()] * 5, pa.list_(pa.float64())), strict=True)]
+        return pa.RecordBatch.from_arrays([*columns[:6], px, columns[6]], names=names)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in BLOCKS.split(", ")]
+        held, rows, size = [], 0, 0  # small blocks go on together
         for batch in batches:
             for name, first, end in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "end")), strict=True):
                 with opened(name) as raw:
                     h = tiff.read_header(raw)
                     affine = list(h.affine) if h.affine else None
                     for number, plane, row, col in tiff.blocks(h)[first:end]:
-                        a = tiff.read_block(raw, h, number)
-                        n = a.shape[2]
-                        size = a.shape[0] * a.shape[1]
-                        px = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(np.moveaxis(a, 2, 0).astype(float).ravel()))
-                        ints = [pa.array([v] * n, pa.int32()) for v in (row, col, a.shape[0], a.shape[1])]
-                        band = pa.array(range(1, n + 1) if plane < 0 else [plane + 1], pa.int32())
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * n), band, *ints, px, pa.array([affine] * n, pa.list_(pa.float64()))], names=names)
+                        a = np.moveaxis(tiff.read_block(raw, h, number), 2, 0)
+                        held.append((name, max(plane, 0) + 1, row, col, affine, a))
+                        rows, size = rows + len(a), size + a.size
+                        if rows >= BATCH_ROWS or size >= BATCH_PIXELS:
+                            yield joined(held)
+                            held, rows, size = [], 0, 0
+        if held:
+            yield joined(held)
 
     stretches = files.select(F.col(path).alias("path")).where("path IS NOT NULL").distinct().mapInPandas(plan, "path string, first int, end int")
     return stretches.repartition("path", "first").mapInArrow(read, BLOCKS)
 
 
+def _block(height: int, width: int) -> int:
+    """Side of a raster's blocks: 256 or, of a smaller one, its own, in steps of 16 as the format wants them."""
+    return min(256, -(-max(height, width, 1) // 16) * 16)
+
+
 class CogWriter(DataSourceWriter):
     """Writes rows (name, height, width, pixels array<array<double>> by band) as one GeoTIFF each."""
 
@@ -140,7 +158,7 @@ class CogWriter(DataSourceWriter):
                 raise ValueError("a raster without bounds")
             target = f"{folder}/{r['name']}.tif"
             with store.open_output_stream(target + ".part") as out:
-                out.write(tiff.write(a, bounds, self.epsg))
+                out.write(tiff.write(a, bounds, self.epsg, tile=_block(*a.shape[1:])))
             store.move(target + ".part", target)  # whole or not at all, however often a task runs
             n += 1
         message = WriterCommitMessage()
@@ -193,13 +211,16 @@ def header_row(path: str, raw: bytes) -> tuple:
     return path, crs, *b, h.width, h.height, h.bands, h.dtype, metres_per_pixel(h.affine, h.epsg, b), h.nodata, "GTiff", names, list(h.affine) if h.affine else None, None
 
 
-def headers(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFrame:
-    """One row per raster file below a folder. A file that is none has its reason in ``error`` and NULL elsewhere."""
+def headers(spark: SparkSession, path: str, pattern: str = "*.tif*", times: bool = False) -> DataFrame:
+    """One row per raster file below a folder, with ``times`` its ``modification_time`` too. A file that is none has its
+    reason in ``error`` and NULL elsewhere."""
     from gridloom.session import ship_package
 
     ship_package(spark)
     # Without a wish for the content only names are listed.
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
+    # Spark makes a task of every few files: together they are as many as there are cores to read headers.
+    files = files.coalesce(4 * spark.sparkContext.defaultParallelism)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.strip().split()[0] for c in HEADER.split(", ")]
@@ -208,9 +229,10 @@ def headers(spark: SparkSession, path: str, pattern: str = "*.tif*") -> DataFram
             for name in pdf["path"]:
                 with opened(name) as raw:
                     rows.append(header_row(name, raw))
-            yield pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame(rows, columns=names)
+            yield out.assign(modification_time=pdf["modificationTime"]) if times else out
 
-    return files.mapInPandas(parse, HEADER)
+    return files.mapInPandas(parse, HEADER + ", modification_time timestamp" * times)
 
 
 def bounds_in_degrees(code: int | None, bounds: tuple[float, float, float, float]) -> tuple[float, float, float, float]:

@@ -195,6 +195,23 @@ def test_raster_writer(spark, tmp_path):
     assert tiff.read_window(raw, tiff.read_header(raw), 1).tolist() == [[1, 2], [3, 4]]
 
 
+def test_many_small_rasters(spark, tmp_path):
+    """Small rasters have small blocks, their headers are read by a few tasks, and their blocks go on together."""
+    cog.register(spark)
+    rows = [(f"a{k:03d}", 2, 2, [[1.0 + k, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0]], 0.0, 0.0, 1.0, 1.0) for k in range(90)] + [("big", 300, 20, [[float(i) for i in range(6000)]], 0.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "name string, height int, width int, pixels array<array<double>>, minx double, miny double, maxx double, maxy double")
+    df.write.format("cog").mode("append").save(str(tmp_path / "out"))
+    side = {f: tiff.read_header((tmp_path / f"out/{f}.tif").read_bytes()).block for f in ("a007", "big")}
+    assert side == {"a007": (16, 16), "big": (256, 256)} and os.path.getsize(tmp_path / "out/a007.tif") < 600
+    heads = cog.headers(spark, str(tmp_path / "out"), times=True)
+    assert heads.rdd.getNumPartitions() <= 16 and heads.where("error IS NULL AND modification_time IS NOT NULL").count() == 91
+    got = {(os.path.basename(r["path"]), r["band"], r["row"]): r for r in cog.blocks_of(heads.select("path")).collect()}
+    assert len(got) == 182 and all(r["width"] == (20 if "big" in f else 2) for (f, _, _), r in got.items())
+    assert got["a007.tif", 1, 0]["pixels"] == [8.0, 2.0, 3.0, 4.0] and got["a007.tif", 2, 0]["pixels"] == [5.0, 6.0, 7.0, 8.0]
+    assert got["big.tif", 1, 256]["pixels"] == [float(i) for i in range(256 * 20, 6000)] and got["big.tif", 1, 256]["height"] == 44
+    assert len(got["a007.tif", 1, 0]["transform"]) == 6
+
+
 def test_scene_ingest(spark, tmp_path):
     sample.create_sample_data(str(tmp_path / "in/prod"))
     sample.create_sample_data(str(tmp_path / "masks"))
